@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from ampfold.functions.common import as_col
 
-POS_INF = F.lit(float("inf"))
-NEG_INF = F.lit(float("-inf"))
+
+
+def POS_INF() -> Column:  # noqa: N802 - constant-like
+    return F.lit(float("inf"))
+
+
+def NEG_INF() -> Column:  # noqa: N802
+    return F.lit(float("-inf"))
 
 
 def nan_to_null(c) -> Column:
@@ -22,8 +28,8 @@ def fill_nonfinite(c, nan: float = 0.0, posinf: float = 1.0, neginf: float = -1.
     c = as_col(c).cast("double")
     return (
         F.when(c.isNull() | F.isnan(c), F.lit(float(nan)))
-        .when(c == POS_INF, F.lit(float(posinf)))
-        .when(c == NEG_INF, F.lit(float(neginf)))
+        .when(c == POS_INF(), F.lit(float(posinf)))
+        .when(c == NEG_INF(), F.lit(float(neginf)))
         .otherwise(c)
     )
 
@@ -39,8 +45,8 @@ def safe_double(c) -> Column:
     s = F.trim(as_col(c).cast("string"))
     low = F.lower(s)
     return (
-        F.when(low.isin("inf", "+inf", "infinity", "+infinity"), POS_INF)
-        .when(low.isin("-inf", "-infinity"), NEG_INF)
+        F.when(low.isin("inf", "+inf", "infinity", "+infinity"), POS_INF())
+        .when(low.isin("-inf", "-infinity"), NEG_INF())
         .otherwise(nan_to_null(s.try_cast("double")))
     )
 
@@ -48,4 +54,4 @@ def safe_double(c) -> Column:
 def error_pct(actual, predicted) -> Column:
     """abs(actual - predicted) / actual * 100, +inf when actual is 0."""
     a, p = as_col(actual), as_col(predicted)
-    return F.when(a != 0, F.abs(a - p) / a * 100.0).otherwise(POS_INF)
+    return F.when(a != 0, F.abs(a - p) / a * 100.0).otherwise(POS_INF())
