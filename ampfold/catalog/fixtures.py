@@ -86,7 +86,7 @@ def cycle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.minute("ts").cast("double"),
         F.col("level"),
         F.col("reading"),
-        F.col("value") / F.lit(100.0),
+        F.col("value") / F.lit(97.0),
         F.sqrt(F.col("value")),
         F.dayofmonth("ts").cast("double"),
         *[(F.col("event_type") == F.lit(k)).cast("double") for k in kinds],
