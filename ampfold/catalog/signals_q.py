@@ -155,3 +155,26 @@ def q_nonfinite_fill(spark, sf_dir):
 
 
 __all__ = ["r6"]
+
+
+# --- peaks: events per user, y = level (many plateaus) -----------------------------------
+
+@register("peak_candidates", sql=f"""
+WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, level AS y
+           FROM {SIGNALS_SQL}),
+c AS (SELECT *, CASE WHEN lag(y) OVER (PARTITION BY user_id ORDER BY pos) IS NOT DISTINCT FROM y THEN 0 ELSE 1 END AS chg
+      FROM s),
+r AS (SELECT *, sum(chg) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM c),
+g AS (SELECT user_id, run, min(pos) AS lo, max(pos) AS hi, min(y) AS y FROM r GROUP BY user_id, run),
+n AS (SELECT *, lag(y) OVER (PARTITION BY user_id ORDER BY run) AS py,
+                lead(y) OVER (PARTITION BY user_id ORDER BY run) AS ny FROM g),
+m AS (SELECT user_id, max(level) AS mx FROM {SIGNALS_SQL} GROUP BY user_id)
+SELECT user_id, CAST((lo + hi) // 2 AS BIGINT) AS position, y AS height
+FROM n JOIN m USING (user_id) WHERE py < y AND ny < y AND y >= mx * 0.1""")
+def q_peak_candidates(spark, sf_dir):
+    return ops.peak_candidates(signals(spark, sf_dir), "user_id", ORDER, "level", rel_height=0.1)
+
+
+@register("peak_detection")
+def q_peak_detection(spark, sf_dir):
+    return ops.peak_detection(signals(spark, sf_dir), "user_id", ORDER, "level", rel_height=0.1, distance=5)

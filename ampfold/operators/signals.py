@@ -150,23 +150,92 @@ def curve_areas(df: DataFrame, group, x: str, y: str, tie=None, area: str = "are
 
 
 def peak_candidates(df: DataFrame, group, order, y: str, rel_height: float = 0.1) -> DataFrame:
-    """Local maxima of y along ``order`` (0-based positions), plateaus reduced to their middle sample.
+    """Local maxima of y along ``order``: ``group..., position, height`` (0-based sample positions).
 
-    Returns ``group, position, height`` for maxima whose height >= ``rel_height`` * max(y).
-    The ends of a series are never peaks. Positions are dense per group (skew-safe helper).
+    A maximum is a run of equal values with a strictly lower neighbour on both sides; a plateau
+    reports its middle sample (lower middle for an even length). The ends of a series are never
+    peaks. Kept when height >= ``rel_height`` * max(y) of the group (inclusive).
+
+    Plan: one skew-safe neighbour pass gives position, previous and next value; the run edges
+    (every run start, and every end with a lower next value) are paired by a second neighbour
+    pass over that much smaller set. No window ever spans a whole group.
     """
     group, order = as_list(group), as_list(order)
     base = df.select(*group, *order, nan_to_null(y).alias("_y"))
-    pos = ordered.dense_positions(base, group, order, name="_pos")
-    # plateau runs: a new run starts where the value changes
-    w = Window.partitionBy(*group).orderBy("_pos")
-    with_change = pos.withColumn("_chg", F.when(F.lag("_y").over(w).eqNullSafe(F.col("_y")), 0).otherwise(1))
-    runs = with_change.withColumn("_run", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    r = runs.groupBy(*group, "_run").agg(F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"), F.first("_y").alias("_y"))
-    wr = Window.partitionBy(*group).orderBy("_run")
-    r = r.withColumn("_prev", F.lag("_y").over(wr)).withColumn("_next", F.lead("_y").over(wr))
-    peaks = r.where((F.col("_prev") < F.col("_y")) & (F.col("_next") < F.col("_y")))
-    peaks = peaks.select(*group, F.floor((F.col("_lo") + F.col("_hi")) / 2).cast("long").alias("position"),
-                         F.col("_y").alias("height"))
+    nb = ordered.neighbors(base, group, order, ["_y"], pos="_pos")
+    y_, prev_, next_ = F.col("_y"), F.col("prev__y"), F.col("next__y")
+    is_start = ~prev_.eqNullSafe(y_) | prev_.isNull()
+    is_end = ~next_.eqNullSafe(y_) | next_.isNull()
+    rising = is_start & prev_.isNotNull() & (prev_ < y_)
+    falling = is_end & next_.isNotNull() & (next_ < y_)
+    edges = nb.where(y_.isNotNull() & (is_start | falling)).select(
+        *group, "_pos", "_y", rising.alias("_rising"), is_start.alias("_start"), falling.alias("_falling"))
+    paired = ordered.neighbors(edges.withColumn("_rise_i", F.col("_rising").cast("int"))
+                               .withColumn("_pos_d", F.col("_pos").cast("double")),
+                               group, ["_pos"], ["_rise_i", "_pos_d"], pos="_edge_pos")
+    # an end that is not itself a start: its run start is the previous edge row
+    start_pos = F.when(F.col("_start"), F.col("_pos")).otherwise(F.col("prev__pos_d").cast("long"))
+    start_rising = F.when(F.col("_start"), F.col("_rising")).otherwise(F.col("prev__rise_i") == 1)
+    peaks = paired.where(F.col("_falling") & start_rising).select(
+        *group, F.floor((start_pos + F.col("_pos")) / F.lit(2)).cast("long").alias("position"),
+        F.col("_y").alias("height"))
     ymax = base.groupBy(*group).agg(F.max("_y").alias("_ymax"))
     return peaks.join(ymax, on=group).where(F.col("height") >= F.col("_ymax") * F.lit(rel_height)).drop("_ymax")
+
+
+def select_by_distance(peaks: DataFrame, group, distance: int = 5) -> DataFrame:
+    """Keep the highest peaks first and drop every peak closer than ``distance`` samples to a kept one.
+
+    Priority: height, then the later position on equal heights. Exact, without a per-group pass:
+    peaks within ``distance`` of each other are linked once (equi-join on position buckets, at most
+    a few neighbours per peak); then in rounds every undecided peak that outranks all its undecided
+    neighbours is kept and its neighbours are dropped. This yields the same set as the sequential
+    highest-first rule. Rounds run until nothing is undecided (no cap). The candidate table, the
+    links and every round's state are checkpointed to the shared folder, so each round's plan is a
+    scan of small tables (no lineage growth, and a lost executor recomputes one round at most).
+    """
+    from ampfold.session import checkpoint_dir
+
+    group = as_list(group)
+    d = int(distance)
+    spark = peaks.sparkSession
+    checkpoint_dir(spark)
+    p = peaks.select(*group, "position", "height")
+    if d <= 1:
+        return p
+    p = p.checkpoint(eager=True)
+    prio = lambda pre: F.struct(F.col(f"{pre}height").alias("h"), F.col(f"{pre}position").alias("p"))
+    a = p.withColumn("_b", F.floor(F.col("position") / F.lit(d)))
+    b = p.select(*group, F.col("position").alias("q_position"), F.col("height").alias("q_height"),
+                 F.explode(F.array(*[F.floor(F.col("position") / F.lit(d)) + F.lit(k) for k in (-1, 0, 1)])).alias("_b"))
+    links = (a.join(b, on=[*group, "_b"])
+             .where((F.col("q_position") != F.col("position")) & (F.abs(F.col("q_position") - F.col("position")) < d))
+             .select(*group, "position", "q_position", (prio("q_") > prio("")).alias("_q_higher"))
+             ).checkpoint(eager=True)
+    state = p.withColumn("status", F.lit(0)).checkpoint(eager=True)  # 0 undecided, 1 kept, 2 dropped
+    while True:
+        und = state.where(F.col("status") == 0).select(*group, "position")
+        if und.isEmpty():
+            break
+        und_q = und.select(*group, F.col("position").alias("q_position"))
+        blocked = (links.where(F.col("_q_higher"))
+                   .join(und_q, on=[*group, "q_position"], how="left_semi")
+                   .select(*group, "position").distinct())
+        kept = und.join(blocked, on=[*group, "position"], how="left_anti")
+        kept_q = kept.select(*group, F.col("position").alias("q_position"))
+        dropped = links.join(kept_q, on=[*group, "q_position"], how="left_semi").select(*group, "position").distinct()
+        state = (state.join(kept.withColumn("_k", F.lit(1)), on=[*group, "position"], how="left")
+                 .join(dropped.withColumn("_d", F.lit(1)), on=[*group, "position"], how="left")
+                 .select(*group, "position", "height",
+                         F.when(F.col("status") != 0, F.col("status"))
+                         .when(F.col("_k") == 1, F.lit(1))
+                         .when(F.col("_d") == 1, F.lit(2))
+                         .otherwise(F.lit(0)).alias("status"))
+                 ).checkpoint(eager=True)
+    return state.where(F.col("status") == 1).select(*group, "position", "height")
+
+
+def peak_detection(df: DataFrame, group, order, y: str, rel_height: float = 0.1, distance: int = 5) -> DataFrame:
+    """``group..., position, height`` of the peaks kept by the height and distance rules."""
+    cands = peak_candidates(df, group, order, y, rel_height)
+    return select_by_distance(cands, group, distance)

@@ -83,6 +83,50 @@ def adjacent_sums(
     return stitched.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in measures])
 
 
+def neighbors(
+    df: DataFrame,
+    keys: Sequence[str] | str,
+    order: Sequence[str] | str,
+    values: Sequence[str] | str,
+    pos: str = "pos",
+    chunk: Column | None = None,
+    num_chunks: int | None = None,
+) -> DataFrame:
+    """Add the 0-based position ``pos`` in the group and, per value ``v``, ``prev_v`` / ``next_v``
+    (the neighbours in ``order``, null at the group's ends), skew-safe.
+
+    Inside a chunk ``lag``/``lead`` give the neighbours; the first / last row of a chunk takes
+    them from the per-chunk edge rows of the adjacent chunks (a window over the small chunk
+    table, joined back on ``(keys, chunk)``).
+    """
+    keys, order, values = as_list(keys), as_list(order), as_list(values)
+    base = range_chunks(df, keys, order, num_chunks) if chunk is None else df.withColumn(CHUNK, chunk)
+    w = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    local = base.withColumn("_rn", F.row_number().over(w))
+    for v in values:
+        local = local.withColumn(f"_lag_{v}", F.lag(v).over(w)).withColumn(f"_lead_{v}", F.lead(v).over(w))
+    row = F.struct(*[F.col(v) for v in values])
+    per_chunk = local.groupBy(*keys, CHUNK).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min_by(row, F.col("_rn")).alias("_first"),
+        F.max_by(row, F.col("_rn")).alias("_last"),
+    )
+    wc = Window.partitionBy(*keys).orderBy(CHUNK)
+    edges = per_chunk.select(
+        *keys, CHUNK, "_n",
+        F.coalesce(F.sum("_n").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        F.lag("_last").over(wc).alias("_prev_last"),
+        F.lead("_first").over(wc).alias("_next_first"),
+    )
+    out = local.join(edges, on=[*keys, CHUNK], how="inner")
+    cols = [F.col(c) for c in df.columns]
+    for v in values:
+        cols.append(F.when(F.col("_rn") == 1, F.col("_prev_last")[v]).otherwise(F.col(f"_lag_{v}")).alias(f"prev_{v}"))
+        cols.append(F.when(F.col("_rn") == F.col("_n"), F.col("_next_first")[v]).otherwise(F.col(f"_lead_{v}")).alias(f"next_{v}"))
+    cols.append((F.col("_offset") + F.col("_rn") - 1).cast("long").alias(pos))
+    return out.select(*cols)
+
+
 def dense_positions(
     df: DataFrame,
     keys: Sequence[str] | str,
