@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ampfold.catalog import fixtures
 from ampfold.catalog.registry import register
 from ampfold.catalog.tables import SIGNALS_SQL, rounded
-from ampfold.functions.paths import path_datetime, report_datetime
+from ampfold.functions.paths import group_dir_of, path_datetime, report_datetime
 from ampfold.operators import sessions as ses
 from ampfold.sources import cycle_csv, session_csv
 from ampfold.sources.session_csv import CAPACITY, CURRENT, DQDV, DURATION, TEMPERATURE, VOLTAGE
@@ -172,12 +172,14 @@ SELECT vehicle, session, CAST(count(*) AS BIGINT) AS n_rows,
        {_r('sum(dur)')} AS dur_sum, CAST(count(q) AS BIGINT) AS q_n, {_r('sum(q)')} AS q_sum
 FROM raw GROUP BY vehicle, session""")
 def q_session_scan(spark, sf_dir):
-    r = _rows(spark, sf_dir).withColumn("session", SESSION_OF())
-    out = r.groupBy("vehicle", "session").agg(
+    r = _rows(spark, sf_dir)
+    out = r.groupBy("session_file", "_root").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(CAPACITY).alias("cap_sum"),
         F.count(VOLTAGE).alias("volt_n"), F.sum(VOLTAGE).alias("volt_sum"), F.sum(CURRENT).alias("cur_sum"),
         F.count(TEMPERATURE).alias("temp_n"), F.sum(TEMPERATURE).alias("temp_sum"),
         F.sum(DURATION).alias("dur_sum"), F.count(DQDV).alias("q_n"), F.sum(DQDV).alias("q_sum"))
+    out = out.select(group_dir_of("session_file", "_root").alias("vehicle"), SESSION_OF().alias("session"),
+                     *[c for c in out.columns if c not in ("session_file", "_root")])
     return rounded(out, ["cap_sum", "volt_sum", "cur_sum", "temp_sum", "dur_sum", "q_sum"])
 
 

@@ -39,6 +39,15 @@ def group_dir(path, root: str) -> Column:
     return F.regexp_extract(relative_path(path, root), r"^([^/]+)/", 1)
 
 
+def group_dir_of(path, root_prefix_col) -> Column:
+    """Like :func:`group_dir`, with the (scheme-free) root as a column; plain string functions."""
+    p = strip_scheme(path)
+    r = as_col(root_prefix_col)
+    inside = p.startswith(F.concat(r, F.lit("/")))
+    rel = p.substr(F.length(r) + F.lit(2), F.lit(1 << 30))
+    return F.when(inside & (F.instr(rel, "/") > 0), F.substring_index(rel, "/", 1)).otherwise(F.lit(""))
+
+
 def path_datetime(path) -> Column:
     """First ``YYYYMMDD_HHMMSS`` anywhere in the path as TIMESTAMP_NTZ; the sentinel when absent or invalid."""
     p = as_col(path)

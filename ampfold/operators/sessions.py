@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ampfold.functions import signals as S
-from ampfold.functions.paths import report_datetime
+from ampfold.functions.paths import group_dir_of, path_datetime, report_datetime
 from ampfold.operators import signals as ops
 from ampfold.plans import ordered
 from ampfold.sources.session_csv import (CAPACITY, CURRENT, DQDV, DURATION, ORDER, SESSION_COLUMNS,
@@ -144,9 +144,12 @@ def _has(c: str) -> Column:
 
 def _order_free(rows: DataFrame, extractors) -> DataFrame:
     V, C, Tm, D, Q, X = (F.col(c) for c in (VOLTAGE, CURRENT, TEMPERATURE, DURATION, DQDV, CAPACITY))
+    if "vehicle" in rows.columns:
+        keys = [F.max("vehicle").alias("vehicle"), F.max("session_ts").alias("session_ts")]
+    else:  # per-file constants: derived once per session after the aggregate
+        keys = [F.max("_root").alias("_root")]
     aggs = [
-        F.max("vehicle").alias("vehicle"),
-        F.max("session_ts").alias("session_ts"),
+        *keys,
         F.count(F.lit(1)).alias("n_rows"),
         *[_has(c).alias(f"has_{c}") for c in SESSION_COLUMNS],
         F.max(_any([F.col(f"_bad_{c}") for c in SESSION_COLUMNS]).cast("int")).alias("_bad"),
@@ -179,13 +182,20 @@ def _discrete(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
-def session_features(rows: DataFrame, extractors: Sequence = (), chunk: Column | None = None) -> DataFrame:
+def session_features(rows: DataFrame, extractors: Sequence = (), chunk: Column | None = None,
+                     stage: bool = True, keep_root_files: bool = False) -> DataFrame:
     """One row per session file: keys, flags, the 15 built-in features, and ``custom`` (map) features.
 
     ``rows`` is the output of :func:`ampfold.sources.session_csv.read_sessions` (or any frame with
     the same columns). ``chunk`` defaults to the file split, which is contiguous in file order.
+    ``stage`` lands the parsed rows once as Parquet (shared folder) so the four branches read
+    pruned columns instead of parsing the CSV tree four times.
     """
     chunk = F.col("_bs") if chunk is None else chunk
+    if stage:
+        from ampfold.plans.staging import stage as _stage
+
+        rows = _stage(rows, "session-rows")
     a = _order_free(rows, extractors)
     b = _discrete(rows, [CURRENT, TEMPERATURE]).select(
         KEY, F.col("_u0").alias(F_C_UNIQUE), F.col("_m0").alias(F_C_MODE),
@@ -233,6 +243,10 @@ def session_features(rows: DataFrame, extractors: Sequence = (), chunk: Column |
         F_Q_POS: F.when(q_ok & has[CAPACITY], F.coalesce(F.col(F_Q_POS), F.lit(0.0))),
     }
     custom = _custom_map(m, extractors, px is not None)
+    if "vehicle" not in m.columns:
+        m = m.withColumn("vehicle", group_dir_of(KEY, "_root")).withColumn("session_ts", path_datetime(KEY))
+        if not keep_root_files:
+            m = m.where(F.col("vehicle") != F.lit(""))
     out = m.select(
         "vehicle", KEY, "session_ts", F.col("n_rows").cast("long").alias("n_rows"),
         (F.col("_bad") == 1).alias("non_numeric"),

@@ -17,8 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampfold.functions.cleaning import safe_double
-from ampfold.functions.paths import group_dir, path_datetime
+from ampfold.functions.cleaning import nan_to_null, safe_double
+from ampfold.functions.paths import group_dir, group_dir_of, path_datetime, root_prefix
 
 # The telemetry columns a session file may carry.
 CAPACITY = "available_capacity"
@@ -44,6 +44,11 @@ def raw_cell(col: str, v: str = "_v") -> Column:
     return F.expr(f"try_variant_get({v}, \"{_json_path(col)}\", 'string')")
 
 
+def number_cell(col: str, v: str = "_v") -> Column:
+    """The cell as DOUBLE: numbers, ``inf``/``-inf``/``Infinity`` (any case); NaN and missing tokens -> null."""
+    return nan_to_null(F.expr(f"try_variant_get({v}, \"{_json_path(col)}\", 'double')"))
+
+
 def has_column(col: str, v: str = "_v") -> Column:
     return F.expr(f"variant_get({v}, \"{_json_path(col)}\") IS NOT NULL")
 
@@ -68,33 +73,33 @@ def csv_tree(spark: SparkSession, root: str, glob: str = "*.csv", encoding: str
 
 
 def read_sessions(spark: SparkSession, root: str, columns: Sequence[str] = SESSION_COLUMNS,
-                  glob: str = "*.csv", encoding: str = "UTF-8", keep_root_files: bool = False) -> DataFrame:
+                  glob: str = "*.csv", encoding: str = "UTF-8", path_columns: bool = False) -> DataFrame:
     """Rows of all session files below ``root``.
 
-    Columns: ``vehicle, session_file, session_ts, _bs, _mid, <col> DOUBLE..., _has_<col>, _bad_<col>``.
-    Files directly in ``root`` have no group and are left out (unless ``keep_root_files``).
+    Columns: ``session_file, _root, _bs, _mid, <col> DOUBLE..., _has_<col>, _bad_<col>``; with
+    ``path_columns`` also ``vehicle`` and ``session_ts`` per row. Path-derived values are
+    per-file constants, so :func:`ampfold.operators.sessions.session_features` derives them once
+    per session instead of once per row. The per-cell work is one variant lookup as DOUBLE; the
+    text check runs only for cells that did not convert.
     """
     raw = csv_tree(spark, root, glob, encoding)
-    path = F.col("_metadata.file_path")
-    scanned = raw.select(
-        path.alias("session_file"),
+    v = {c: number_cell(c) for c in columns}
+    out = raw.select(
+        F.col("_metadata.file_path").alias("session_file"),
+        F.lit(root_prefix(root)).alias("_root"),
         F.col("_metadata.file_block_start").alias("_bs"),
         F.monotonically_increasing_id().alias("_mid"),
-        *[raw_cell(c).alias(f"_raw_{i}") for i, c in enumerate(columns)],
+        *[v[c].alias(c) for c in columns],
         *[has_column(c).alias(f"_has_{c}") for c in columns],
+        *[F.when(v[c].isNull(), non_numeric(raw_cell(c))).otherwise(F.lit(False)).alias(f"_bad_{c}") for c in columns],
     )
-    out = scanned.select(
-        group_dir("session_file", root).alias("vehicle"),
-        "session_file",
-        path_datetime("session_file").alias("session_ts"),
-        *ORDER,
-        *[safe_double(F.col(f"_raw_{i}")).alias(c) for i, c in enumerate(columns)],
-        *[F.col(f"_has_{c}") for c in columns],
-        *[non_numeric(F.col(f"_raw_{i}")).alias(f"_bad_{c}") for i, c in enumerate(columns)],
-    )
-    if not keep_root_files:
-        out = out.where(F.col("vehicle") != F.lit(""))
-    return out
+    return with_path_columns(out) if path_columns else out
+
+
+def with_path_columns(rows: DataFrame) -> DataFrame:
+    """Add ``vehicle`` (first folder below the root, '' for root files) and ``session_ts`` per row."""
+    return rows.withColumn("vehicle", group_dir_of("session_file", "_root")).withColumn(
+        "session_ts", path_datetime("session_file"))
 
 
 def file_listing(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
