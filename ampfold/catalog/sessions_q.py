@@ -293,3 +293,19 @@ def q_vehicle_rejects(spark, sf_dir):
     root = fixtures.cycle_tree(spark, sf_dir)
     _, rej = cycle_csv.usable_cycles(spark, root, id_from="dir", recursive=True)
     return rej.select(F.regexp_extract("path", r"/(battery=[^/]+)/", 1).alias("battery_id"), "reason", "severity")
+
+
+@register("session_features_stream", sql=FEATURES_SQL + f"\nSELECT {', '.join(FEATURE_COLS)} FROM features")
+def q_session_features_stream(spark, sf_dir):
+    """The same features computed incrementally: file-source stream over the tree, availableNow."""
+    from ampfold.session import scratch_path
+    from ampfold.streaming.sessions import read_features, start_session_features
+
+    out = scratch_path(spark, "stream-features")
+    q = start_session_features(spark, fixtures.session_tree(spark, sf_dir), out, max_files_per_trigger=2000)
+    q.awaitTermination()
+    f = read_features(spark, out).withColumn("session", SESSION_OF()).withColumn("session_time",
+                                                                                  report_datetime("session_ts"))
+    f = ses.valid_sessions(f)
+    dbl = [c for c in ses.FEATURES if c not in ses.LONG_FEATURES]
+    return rounded(f.select(*FEATURE_COLS), dbl)

@@ -82,7 +82,13 @@ def read_sessions(spark: SparkSession, root: str, columns: Sequence[str] = SESSI
     per session instead of once per row. The per-cell work is one variant lookup as DOUBLE; the
     text check runs only for cells that did not convert.
     """
-    raw = csv_tree(spark, root, glob, encoding)
+    return parse_session_rows(csv_tree(spark, root, glob, encoding), root, columns, path_columns)
+
+
+def parse_session_rows(raw: DataFrame, root: str, columns: Sequence[str] = SESSION_COLUMNS,
+                       path_columns: bool = False) -> DataFrame:
+    """Rows from a variant CSV frame that carries ``_metadata`` (hidden in a batch scan, an explicit
+    column in a streaming micro-batch); shared by the batch and the streaming reader."""
     v = {c: number_cell(c) for c in columns}
     out = raw.select(
         F.col("_metadata.file_path").alias("session_file"),
