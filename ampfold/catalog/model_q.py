@@ -216,6 +216,11 @@ def q_loocv_predictions(spark, sf_dir):
     return evaluation.prediction_errors(preds)
 
 
+@register("prediction_sample")
+def q_prediction_sample(spark, sf_dir):
+    return evaluation.prediction_sample(q_loocv_predictions(spark, sf_dir), k=10)
+
+
 @register("cv_metrics")
 def q_cv_metrics(spark, sf_dir):
     return evaluation.regression_metrics(q_loocv_predictions(spark, sf_dir), n_features=len(feature_names()))

@@ -309,3 +309,26 @@ def q_session_features_stream(spark, sf_dir):
     f = ses.valid_sessions(f)
     dbl = [c for c in ses.FEATURES if c not in ses.LONG_FEATURES]
     return rounded(f.select(*FEATURE_COLS), dbl)
+
+
+@register("feature_csv_roundtrip", sql=FEATURES_SQL + f"""
+SELECT vehicle, CAST(row_number() OVER (PARTITION BY vehicle ORDER BY st, session) - 1 AS BIGINT) AS position,
+       {ses.F_V_MEAN}, {ses.F_C_UNIQUE}, {ses.F_Q_AREA}
+FROM features""")
+def q_feature_csv_roundtrip(spark, sf_dir):
+    """Write the features as one time-ordered CSV tree per vehicle (keys dropped), read back by file order."""
+    from ampfold.plans.ordered import dense_positions
+    from ampfold.session import scratch_path
+    from ampfold.sinks.writers import write_feature_csv
+
+    out = scratch_path(spark, "feature-csv")
+    write_feature_csv(_features(spark, sf_dir), out, ses.FEATURES)
+    back = (spark.read.option("header", True).option("inferSchema", False).csv(out)
+            .select(F.col("vehicle").cast("string").alias("vehicle"), F.col("_metadata.file_name").alias("_f"),
+                    F.monotonically_increasing_id().alias("_m"),
+                    F.col(ses.F_V_MEAN).try_cast("double").alias(ses.F_V_MEAN),
+                    F.col(ses.F_C_UNIQUE).try_cast("long").alias(ses.F_C_UNIQUE),
+                    F.col(ses.F_Q_AREA).try_cast("double").alias(ses.F_Q_AREA)))
+    pos = dense_positions(back, "vehicle", ["_f", "_m"], name="position")
+    return rounded(pos.select("vehicle", "position", ses.F_V_MEAN, ses.F_C_UNIQUE, ses.F_Q_AREA),
+                   [ses.F_V_MEAN, ses.F_Q_AREA])

@@ -69,3 +69,8 @@ def importance_table(spark: SparkSession, importances: Sequence[float], names: S
 def top_features(importances: DataFrame, k: int = 20) -> DataFrame:
     """The k most important features (ties by feature index)."""
     return importances.orderBy(F.desc("importance"), F.asc("feature_idx")).limit(k)
+
+
+def prediction_sample(predictions: DataFrame, k: int = 10, order: str = "battery_id") -> DataFrame:
+    """The first k rows of the error table in id order (the printed sample; the limit is the feature)."""
+    return predictions.orderBy(order).limit(k)
