@@ -30,6 +30,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.files.openCostInBytes", os.environ.get("AMPFOLD_OPEN_COST_BYTES", "262144"))
+        .config("spark.cleaner.periodicGC.interval", "1min")
         .config("spark.driver.memory", os.environ.get("AMPFOLD_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
