@@ -149,17 +149,19 @@ def file_profile(spark: SparkSession, root: str, glob: str = "*.csv", encoding:
 
 
 def charset_profile(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """Per file: is the content valid UTF-8 (else it is read with a single-byte fallback charset)."""
-    raw = (
-        spark.read.format("binaryFile")
+    """Per file: is every line valid UTF-8 (else the file is read with a single-byte fallback charset).
+
+    The text source keeps each line's raw bytes, so the check is per line on splittable input and
+    reduced per file by a partial aggregate (no file is ever loaded as one record).
+    """
+    txt = (
+        spark.read.format("text")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .load(root)
+        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("length"),
+                F.expr("is_valid_utf8(value)").alias("_ok"))
     )
-    utf8 = F.expr("is_valid_utf8(cast(content as string))")
-    return raw.select(
-        F.col("path").alias("file"),
-        F.col("length"),
-        utf8.alias("utf8"),
-        F.when(utf8, F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")).alias("charset"),
-    )
+    per = txt.groupBy("file").agg(F.max("length").alias("length"), F.bool_and("_ok").alias("utf8"))
+    return per.select("file", "length", "utf8",
+                      F.when(F.col("utf8"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")).alias("charset"))

@@ -180,3 +180,39 @@ def test_custom_extractors(spark, tmp_root):
     assert ses.F_V_MEAN not in r["custom"]  # built-in wins
     assert r[ses.F_V_MEAN] == pytest.approx(3.52)
     assert "bad" not in r["custom"] and any("bad" in e for e in r["extractor_errors"])
+
+
+def test_charset_profile(spark, tmp_root):
+    root = Path(tmp_root)
+    (root / "v").mkdir(parents=True)
+    (root / "v" / "u.csv").write_bytes(b"a,b\n1,2\n")
+    (root / "v" / "l.csv").write_bytes(b"caf\xe9,b\n1,2\n")
+    got = {r["file"].rsplit("/", 1)[-1]: r["charset"] for r in session_csv.charset_profile(spark, str(root)).collect()}
+    assert got == {"u.csv": "UTF-8", "l.csv": "ISO-8859-1"}
+
+
+def test_feature_csv_export_sorted_per_vehicle(spark, tmp_root):
+    from ampfold.sinks.writers import write_feature_csv
+
+    root = Path(tmp_root)
+    for name, value in [("b_20230102_000000.csv", 2), ("a_20230101_000000.csv", 1), ("c_20230103_000000.csv", 3)]:
+        write_csv(root / "in" / "v" / name, f"charge_current\n{value}\n")
+    f = ses.session_features(session_csv.read_sessions(spark, str(root / "in")))
+    write_feature_csv(f, str(root / "out"), ses.FEATURES)
+    files = sorted((root / "out" / "vehicle=v").glob("*.csv"))
+    lines = [ln for p in files for ln in p.read_text().splitlines()[1:]]
+    assert [ln.split(",")[ses.FEATURES.index(ses.F_C_MODE)] for ln in lines] == ["1.0", "2.0", "3.0"]
+
+
+def test_streaming_matches_batch(spark, tmp_root):
+    from ampfold.streaming.sessions import read_features, start_session_features
+
+    root = Path(tmp_root)
+    write_csv(root / "in" / "v1" / "a_20230101_010203.csv", G1)
+    write_csv(root / "in" / "v2" / "b_20230102_010203.csv", reversed_header(G1))
+    q = start_session_features(spark, str(root / "in"), str(root / "out"))
+    q.awaitTermination()
+    rows = read_features(spark, str(root / "out")).collect()
+    assert len(rows) == 2
+    for r in rows:
+        assert_close(r.asDict(), G1_EXPECTED)
