@@ -66,8 +66,16 @@ def unique_values(df: DataFrame, group, col: str, name: str = "n_unique") -> Dat
 
 
 def value_mode(df: DataFrame, group, col: str, name: str = "mode") -> DataFrame:
+    """Most frequent non-missing value per group, the smallest on ties; null when all are missing.
+
+    Two-level aggregate: counts per ``(group, value)`` (partial aggregation, spill-safe), then the
+    best ``(count desc, value asc)`` per group with ``min_by`` - no per-group value map.
+    """
     group = as_list(group)
-    return df.select(*group, nan_to_null(col).alias("_v")).groupBy(*group).agg(S.smallest_mode("_v").alias(name))
+    counts = (df.select(*group, nan_to_null(col).alias("_v")).groupBy(*group, "_v")
+              .agg(F.count(F.lit(1)).alias("_n")))
+    key = F.when(F.col("_v").isNotNull(), F.struct((-F.col("_n")).alias("nn"), F.col("_v").alias("v")))
+    return counts.groupBy(*group).agg(F.min_by(F.col("_v"), key).alias(name))
 
 
 def peak_location(df: DataFrame, group, order, x: str, y: str) -> DataFrame:
