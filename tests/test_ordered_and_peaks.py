@@ -135,3 +135,21 @@ def test_peaks_match_sequential_reference_on_random_series(spark):
         got.setdefault(r["g"], []).append((r["position"], r["height"]))
     for g, ys in series.items():
         assert sorted(got.get(g, [])) == sequential_peaks(ys), g
+
+
+def test_value_at_first_max_keeps_missing_x(spark):
+    from ampfold.functions import signals as S
+
+    df = spark.createDataFrame([(1, 0, 1.0, 1.0), (1, 1, None, 9.0), (1, 2, 3.0, 9.0), (1, 3, 4.0, 2.0),
+                                (2, 0, 5.0, 1.0), (2, 1, 6.0, 3.0), (2, 2, 7.0, 3.0)],
+                               "g int, t int, x double, y double")
+    got = {r["g"]: r["xm"] for r in df.groupBy("g").agg(S.value_at_first_max("x", "y", ["t"]).alias("xm")).collect()}
+    assert got == {1: None, 2: 6.0}
+
+
+def test_value_mode_smallest_on_ties(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 1.0), (1, 2.0), (1, 1.0), (1, None), (2, None)], "g int, v double")
+    got = {r["g"]: r["mode"] for r in ops.value_mode(df, "g", "v").collect()}
+    assert got == {1: 1.0, 2: None}
+    u = {r["g"]: r["n_unique"] for r in ops.unique_values(df, "g", "v").collect()}
+    assert u == {1: 3, 2: 1}

@@ -139,8 +139,10 @@ def test_root_files_ignored_and_profile(spark, tmp_root):
     write_csv(root / "root_20230101_000000.csv", "charge_current\n1\n")
     write_csv(root / "v" / "a_20230101_000001.csv", "charge_current,max_temperature\n1,2\n3,4\n")
     write_csv(root / "v" / "h_20230101_000002.csv", "charge_current\n")
-    rows = session_csv.read_sessions(spark, str(root))
-    assert {r["vehicle"] for r in rows.collect()} == {"v"}
+    rows = session_csv.read_sessions(spark, str(root), path_columns=True)
+    assert {r["vehicle"] for r in rows.collect()} == {"v", ""}  # root files have no group ...
+    feats = ses.session_features(session_csv.read_sessions(spark, str(root)))
+    assert {r["vehicle"] for r in feats.collect()} == {"v"}     # ... and are left out of the features
     prof = {r["file"].rsplit("/", 1)[-1]: r for r in session_csv.file_profile(spark, str(root)).collect()}
     assert prof["a_20230101_000001.csv"]["n_cols"] == 2 and prof["a_20230101_000001.csv"]["n_rows"] == 2
     assert prof["h_20230101_000002.csv"]["n_rows"] == 0
