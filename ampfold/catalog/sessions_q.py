@@ -256,7 +256,7 @@ _PATHS_SQL = """(SELECT event_id, CASE
 
 
 @register("path_datetime", sql=f"""
-SELECT event_id, path, strftime(coalesce(CASE WHEN m <> '' AND CAST(substr(m, 14, 2) AS INTEGER) < 60
+SELECT event_id, path, strftime(coalesce(CASE WHEN m <> '' AND TRY_CAST(substr(m, 14, 2) AS INTEGER) < 60
                                               THEN try_strptime(m, '%Y%m%d_%H%M%S') END,
                                          TIMESTAMP '0001-01-01 00:00:00'), '%Y-%m-%d %H:%M:%S') AS session_time
 FROM (SELECT event_id, path, regexp_extract(path, '(\\d{{8}})_(\\d{{6}})', 0) AS m FROM {_PATHS_SQL})""")

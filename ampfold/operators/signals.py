@@ -60,9 +60,18 @@ def linear_fit(df: DataFrame, group, x: str, y: str, prefix: str = "") -> DataFr
     )
 
 
-def unique_values(df: DataFrame, group, col: str, name: str = "n_unique") -> DataFrame:
+def unique_values(df: DataFrame, group, col: str, name: str = "n_unique", approximate: bool = False,
+                  rsd: float = 0.01) -> DataFrame:
+    """Distinct values per group, "missing" counted as one value.
+
+    Exact by default (partial aggregation on ``(group, value)``); ``approximate=True`` uses a
+    HyperLogLog++ sketch (``approx_count_distinct``, relative error ``rsd``) for very long groups.
+    """
     group = as_list(group)
-    return df.select(*group, nan_to_null(col).alias("_v")).groupBy(*group).agg(S.n_unique("_v").alias(name))
+    v = F.col("_v")
+    expr = S.n_unique("_v") if not approximate else (
+        F.approx_count_distinct(v, rsd) + F.coalesce(F.max(v.isNull().cast("int")), F.lit(0))).cast("long")
+    return df.select(*group, nan_to_null(col).alias("_v")).groupBy(*group).agg(expr.alias(name))
 
 
 def value_mode(df: DataFrame, group, col: str, name: str = "mode") -> DataFrame:
