@@ -182,14 +182,38 @@ def _discrete(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
+def empty_session_features(headers: DataFrame) -> DataFrame:
+    """Feature rows for header-only session files: present columns give the empty-data values
+    (fit 0, unique 0, jumps 0, means and modes null); dQ/dV features are null and flagged."""
+    h = headers.where((F.col("n_rows") <= 0) & F.col("columns").isNotNull())
+    has = {c: F.array_contains("columns", c) for c in SESSION_COLUMNS}
+    zero_d, zero_l, null_d = F.lit(0.0), F.lit(0).cast("long"), F.lit(None).cast("double")
+    feats = {
+        F_V_SLOPE: F.when(has[VOLTAGE], zero_d), F_V_R2: F.when(has[VOLTAGE], zero_d), F_V_MEAN: null_d,
+        F_C_UNIQUE: F.when(has[CURRENT], zero_l), F_C_MODE: null_d, F_C_JUMPS: F.when(has[CURRENT], zero_l),
+        F_T_UNIQUE: F.when(has[TEMPERATURE], zero_l), F_T_MODE: null_d, F_T_JUMPS: F.when(has[TEMPERATURE], zero_l),
+        F_D_SLOPE: F.when(has[DURATION], zero_d), F_D_MEAN: null_d,
+        F_Q_MAX: null_d, F_Q_PEAK: null_d, F_Q_AREA: null_d, F_Q_POS: null_d,
+    }
+    return h.select(
+        group_dir_of(KEY, "_root").alias("vehicle"), KEY, path_datetime(KEY).alias("session_ts"),
+        F.lit(0).cast("long").alias("n_rows"), F.lit(False).alias("non_numeric"),
+        has[DQDV].alias("dqdv_all_missing"), *[has[c].alias(f"has_{c}") for c in SESSION_COLUMNS],
+        *[(feats[f].cast("long") if f in LONG_FEATURES else feats[f].cast("double")).alias(f) for f in FEATURES],
+        F.create_map().cast("map<string,double>").alias("custom"),
+    ).where(F.col("vehicle") != F.lit(""))
+
+
 def session_features(rows: DataFrame, extractors: Sequence = (), chunk: Column | None = None,
-                     stage: bool = True, keep_root_files: bool = False) -> DataFrame:
+                     stage: bool = True, keep_root_files: bool = False,
+                     headers: DataFrame | None = None) -> DataFrame:
     """One row per session file: keys, flags, the 15 built-in features, and ``custom`` (map) features.
 
     ``rows`` is the output of :func:`ampfold.sources.session_csv.read_sessions` (or any frame with
     the same columns). ``chunk`` defaults to the file split, which is contiguous in file order.
     ``stage`` lands the parsed rows once as Parquet (shared folder) so the four branches read
-    pruned columns instead of parsing the CSV tree four times.
+    pruned columns instead of parsing the CSV tree four times. ``headers``
+    (:func:`ampfold.sources.session_csv.small_file_headers`) adds the header-only sessions.
     """
     chunk = F.col("_bs") if chunk is None else chunk
     if stage:
@@ -256,6 +280,8 @@ def session_features(rows: DataFrame, extractors: Sequence = (), chunk: Column |
         custom.alias("custom"),
         *([F.col("extractor_errors")] if px is not None else []),
     )
+    if headers is not None:
+        out = out.unionByName(empty_session_features(headers), allowMissingColumns=True)
     return out
 
 

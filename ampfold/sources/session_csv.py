@@ -165,3 +165,19 @@ def charset_profile(spark: SparkSession, root: str, glob: str = "*.csv") -> Data
     per = txt.groupBy("file").agg(F.max("length").alias("length"), F.bool_and("_ok").alias("utf8"))
     return per.select("file", "length", "utf8",
                       F.when(F.col("utf8"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")).alias("charset"))
+
+
+def small_file_headers(spark: SparkSession, root: str, glob: str = "*.csv", max_bytes: int = 65536) -> DataFrame:
+    """``session_file, _root, columns, n_rows`` for files of at most ``max_bytes`` (header-only candidates).
+
+    ``binaryFile`` pushes the ``length`` filter into the listing, so only small files' bytes are
+    read, one bounded record each. A file without data rows yields no row in the CSV scan; this
+    is how such sessions are still reported.
+    """
+    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+           .load(root).where(F.col("length") <= F.lit(int(max_bytes))))
+    lines = F.filter(F.split(F.col("content").cast("string"), "\r?\n"), lambda ln: F.trim(ln) != F.lit(""))
+    cols = F.transform(F.split(F.element_at(lines, 1), ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+    return raw.select(F.col("path").alias("session_file"), F.lit(root_prefix(root)).alias("_root"),
+                      F.when(F.size(lines) > 0, cols).alias("columns"),
+                      (F.size(lines) - F.lit(1)).cast("long").alias("n_rows"))

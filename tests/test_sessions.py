@@ -218,3 +218,22 @@ def test_streaming_matches_batch(spark, tmp_root):
     assert len(rows) == 2
     for r in rows:
         assert_close(r.asDict(), G1_EXPECTED)
+
+
+def test_header_only_sessions_are_kept(spark, tmp_root):
+    root = Path(tmp_root)
+    write_csv(root / "v" / "full_20230101_000001.csv", G1)
+    write_csv(root / "v" / "hq_20230101_000002.csv", "available_capacity,max_cell_voltage,charge_current,interpolated_dqdv\n")
+    write_csv(root / "v" / "h_20230101_000003.csv", "max_temperature\n")
+    rows = session_csv.read_sessions(spark, str(root))
+    heads = session_csv.small_file_headers(spark, str(root))
+    f = {r["session_file"].rsplit("/", 1)[-1]: r.asDict() for r in ses.session_features(rows, headers=heads).collect()}
+    assert set(f) == {"full_20230101_000001.csv", "hq_20230101_000002.csv", "h_20230101_000003.csv"}
+    assert_close(f["full_20230101_000001.csv"], G1_EXPECTED)
+    hq = f["hq_20230101_000002.csv"]
+    assert hq[ses.F_V_SLOPE] == 0.0 and hq[ses.F_V_R2] == 0.0 and hq[ses.F_V_MEAN] is None
+    assert hq[ses.F_C_UNIQUE] == 0 and hq[ses.F_C_JUMPS] == 0 and hq[ses.F_C_MODE] is None
+    assert hq[ses.F_T_UNIQUE] is None and hq[ses.F_Q_MAX] is None and hq["dqdv_all_missing"]
+    h = f["h_20230101_000003.csv"]
+    assert h[ses.F_T_UNIQUE] == 0 and h[ses.F_V_SLOPE] is None and not h["dqdv_all_missing"]
+    assert str(h["session_ts"]) == "2023-01-01 00:00:03"
