@@ -162,10 +162,7 @@ FROM m CROSS JOIN t""")
 def q_loo_split(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     m = li.groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("m"))
-    t = m.agg(F.sum("m").alias("s"), F.count(F.lit(1)).alias("n"))
-    out = m.crossJoin(F.broadcast(t)).select(
-        "l_suppkey", (F.col("n") - 1).cast("long").alias("train_size"),
-        F.when(F.col("n") > 1, (F.col("s") - F.col("m")) / (F.col("n") - 1)).alias("others_mean"))
+    out = modeling.leave_one_out_aggregates(m, "l_suppkey", "m")
     return rounded(out, ["others_mean"])
 
 
