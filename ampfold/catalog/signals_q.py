@@ -159,8 +159,7 @@ __all__ = ["r6"]
 
 # --- peaks: events per user, y = level (many plateaus) -----------------------------------
 
-@register("peak_candidates", sql=f"""
-WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, level AS y
+_PEAK_CANDIDATES = f"""s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, level AS y
            FROM {SIGNALS_SQL}),
 c AS (SELECT *, CASE WHEN lag(y) OVER (PARTITION BY user_id ORDER BY pos) IS NOT DISTINCT FROM y THEN 0 ELSE 1 END AS chg
       FROM s),
@@ -168,13 +167,30 @@ r AS (SELECT *, sum(chg) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED
 g AS (SELECT user_id, run, min(pos) AS lo, max(pos) AS hi, min(y) AS y FROM r GROUP BY user_id, run),
 n AS (SELECT *, lag(y) OVER (PARTITION BY user_id ORDER BY run) AS py,
                 lead(y) OVER (PARTITION BY user_id ORDER BY run) AS ny FROM g),
-m AS (SELECT user_id, max(level) AS mx FROM {SIGNALS_SQL} GROUP BY user_id)
-SELECT user_id, CAST((lo + hi) // 2 AS BIGINT) AS position, y AS height
-FROM n JOIN m USING (user_id) WHERE py < y AND ny < y AND y >= mx * 0.1""")
+m AS (SELECT user_id, max(level) AS mx FROM {SIGNALS_SQL} GROUP BY user_id),
+cand AS (SELECT user_id, CAST((lo + hi) // 2 AS BIGINT) AS position, y AS height
+         FROM n JOIN m USING (user_id) WHERE py < y AND ny < y AND y >= mx * 0.1)"""
+
+
+@register("peak_candidates", sql=f"WITH {_PEAK_CANDIDATES} SELECT * FROM cand")
 def q_peak_candidates(spark, sf_dir):
     return ops.peak_candidates(signals(spark, sf_dir), "user_id", ORDER, "level", rel_height=0.1)
 
 
-@register("peak_detection")
+# Distance rule as a recursive walk in priority order (height, then the later position): a
+# candidate is kept when no already-kept peak of its user lies closer than the distance.
+@register("peak_detection", sql=f"""
+WITH RECURSIVE {_PEAK_CANDIDATES},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY height DESC, position DESC) AS rk FROM cand),
+walk(user_id, rk, kept) AS (
+    SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM ranked
+    UNION ALL
+    SELECT w.user_id, q.rk,
+           CASE WHEN len(list_filter(w.kept, lambda k: abs(k - q.position) < 5)) = 0
+                THEN list_append(w.kept, q.position) ELSE w.kept END
+    FROM walk w JOIN ranked q ON q.user_id = w.user_id AND q.rk = w.rk + 1),
+fin AS (SELECT user_id, kept FROM walk QUALIFY rk = max(rk) OVER (PARTITION BY user_id))
+SELECT q.user_id, q.position, q.height FROM ranked q JOIN fin f USING (user_id)
+WHERE list_contains(f.kept, q.position)""")
 def q_peak_detection(spark, sf_dir):
     return ops.peak_detection(signals(spark, sf_dir), "user_id", ORDER, "level", rel_height=0.1, distance=5)
