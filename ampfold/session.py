@@ -51,6 +51,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - conf key absent
             conf_dir = None
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder (a machine-local one does not "
+                             "survive a lost executor)")
         conf_dir = tempfile.mkdtemp(prefix="ampfold-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return (sc.getCheckpointDir() or conf_dir).rstrip("/")
