@@ -209,7 +209,7 @@ def q_top_features(spark, sf_dir):
 @register("loocv_predictions")
 def q_loocv_predictions(spark, sf_dir):
     design = _design(spark, sf_dir)
-    preds = modeling.cross_validated_predictions(design, preset=CHECK, folds=5, parallelism=4)
+    preds = modeling.cross_validated_predictions(design, preset=CHECK, folds=5)
     return evaluation.prediction_errors(preds)
 
 
