@@ -6,14 +6,19 @@ helpers here never do that:
 
 1. Rows are cut into *chunks* that are contiguous in ``(group, order)``. By default the
    chunk is the partition of a ``repartitionByRange`` on ``(group, order)`` -- Spark samples
-   the keys and splits a hot group over many partitions. A caller that already knows a
-   contiguous chunk (e.g. the file split of a CSV scan) passes it and saves the range shuffle.
+   the keys and splits a hot group over many partitions. Where the chunk is read by more than
+   one branch of a plan (``neighbors``, ``dense_positions``) the ranged rows are checkpointed
+   with their chunk number and their index in the chunk, so every branch sees the same values:
+   two plans of the same range exchange may sample, and be coalesced, differently. A caller
+   that already knows a contiguous chunk (e.g. the file split of a CSV scan) passes it and
+   saves the range shuffle.
 2. Inside each ``(group, chunk)`` a window computes the pair terms with ``lag`` and an
    aggregate reduces them to one row per chunk, with the chunk's first and last row.
 3. A window over the small per-chunk table (at most one row per partition per group)
    adds the terms of the pairs that straddle two chunks; a final aggregate sums per group.
 
-Only step 1 moves raw rows; steps 2-3 are reductions of bounded size.
+Steps 1 and 2 each move the raw rows once (range, then hash on ``(group, chunk)``); step 3
+works on at most one row per partition per group.
 """
 
 from __future__ import annotations
@@ -24,8 +29,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampfold.functions.common import as_list
+from ampfold.session import checkpoint_dir
 
 CHUNK = "_chunk"
+INDEX = "_index"
 
 Measure = Callable[[Mapping[str, Column], Mapping[str, Column]], Column]
 
@@ -83,13 +90,41 @@ def adjacent_sums(
     return stitched.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in measures])
 
 
+def stored_chunks(df: DataFrame, sort_cols: Sequence[Column], num_chunks: int | None = None) -> DataFrame:
+    """The rows sorted by range, checkpointed with ``_chunk`` (range partition) and ``_index``
+    (0-based index of the row inside its chunk); chunks ascend with the order."""
+    checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(int(num_chunks), *sort_cols) if num_chunks else df.repartitionByRange(*sort_cols)
+    uid = F.monotonically_increasing_id()
+    return (
+        ranged.sortWithinPartitions(*sort_cols)
+        .withColumn(INDEX, uid)
+        .withColumn(CHUNK, F.shiftright(INDEX, 33).cast("int"))
+        .withColumn(INDEX, F.col(INDEX).bitwiseAND(F.lit((1 << 33) - 1)))
+        .checkpoint()
+    )
+
+
+def _ascending(names: Sequence[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_first() for c in names]
+
+
+def _join_chunks(rows: DataFrame, chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the columns of their (keys, chunk); null keys match."""
+    names = {k: f"_of_{k}" for k in [*keys, CHUNK]}
+    chunks = chunks.withColumnsRenamed(names)
+    cond = F.lit(True)
+    for k, other in names.items():
+        cond = cond & F.col(k).eqNullSafe(F.col(other))
+    return rows.join(chunks, cond, "inner").drop(*names.values())
+
+
 def neighbors(
     df: DataFrame,
     keys: Sequence[str] | str,
     order: Sequence[str] | str,
     values: Sequence[str] | str,
     pos: str = "pos",
-    chunk: Column | None = None,
     num_chunks: int | None = None,
 ) -> DataFrame:
     """Add the 0-based position ``pos`` in the group and, per value ``v``, ``prev_v`` / ``next_v``
@@ -97,33 +132,35 @@ def neighbors(
 
     Inside a chunk ``lag``/``lead`` give the neighbours; the first / last row of a chunk takes
     them from the per-chunk edge rows of the adjacent chunks (a window over the small chunk
-    table, joined back on ``(keys, chunk)``).
+    table, joined back on ``(keys, chunk)``). A null key is a group of its own.
     """
     keys, order, values = as_list(keys), as_list(order), as_list(values)
-    base = range_chunks(df, keys, order, num_chunks) if chunk is None else df.withColumn(CHUNK, chunk)
-    w = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    local = base.withColumn("_rn", F.row_number().over(w))
+    base = stored_chunks(df, _ascending([*keys, *order]), num_chunks)
+    w = Window.partitionBy(*keys, CHUNK).orderBy(INDEX)
+    local = base
     for v in values:
         local = local.withColumn(f"_lag_{v}", F.lag(v).over(w)).withColumn(f"_lead_{v}", F.lead(v).over(w))
     row = F.struct(*[F.col(v) for v in values])
-    per_chunk = local.groupBy(*keys, CHUNK).agg(
+    per_chunk = base.groupBy(*keys, CHUNK).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.min_by(row, F.col("_rn")).alias("_first"),
-        F.max_by(row, F.col("_rn")).alias("_last"),
+        F.min(INDEX).alias("_from"),
+        F.min_by(row, F.col(INDEX)).alias("_first"),
+        F.max_by(row, F.col(INDEX)).alias("_last"),
     )
     wc = Window.partitionBy(*keys).orderBy(CHUNK)
     edges = per_chunk.select(
-        *keys, CHUNK, "_n",
+        *keys, CHUNK, "_n", "_from",
         F.coalesce(F.sum("_n").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
         F.lag("_last").over(wc).alias("_prev_last"),
         F.lead("_first").over(wc).alias("_next_first"),
     )
-    out = local.join(edges, on=[*keys, CHUNK], how="inner")
+    out = _join_chunks(local, edges, keys)
+    at = F.col(INDEX) - F.col("_from")
     cols = [F.col(c) for c in df.columns]
     for v in values:
-        cols.append(F.when(F.col("_rn") == 1, F.col("_prev_last")[v]).otherwise(F.col(f"_lag_{v}")).alias(f"prev_{v}"))
-        cols.append(F.when(F.col("_rn") == F.col("_n"), F.col("_next_first")[v]).otherwise(F.col(f"_lead_{v}")).alias(f"next_{v}"))
-    cols.append((F.col("_offset") + F.col("_rn") - 1).cast("long").alias(pos))
+        cols.append(F.when(at == 0, F.col("_prev_last")[v]).otherwise(F.col(f"_lag_{v}")).alias(f"prev_{v}"))
+        cols.append(F.when(at == F.col("_n") - 1, F.col("_next_first")[v]).otherwise(F.col(f"_lead_{v}")).alias(f"next_{v}"))
+    cols.append((F.col("_offset") + at).cast("long").alias(pos))
     return out.select(*cols)
 
 
@@ -133,20 +170,33 @@ def dense_positions(
     order: Sequence[str] | str,
     name: str = "pos",
     start: int = 0,
-    chunk: Column | None = None,
     num_chunks: int | None = None,
 ) -> DataFrame:
     """Add ``name`` = 0-based (or ``start``-based) position of each row inside its group, skew-safe.
 
-    Local ``row_number`` inside each ``(group, chunk)`` plus the number of rows of the group in
-    earlier chunks (a running sum over the small per-chunk count table, joined back by key).
+    The stored index of the row in its chunk, less that of the group's first row there, plus the
+    number of rows of the group in earlier chunks (a running sum over the small per-chunk table,
+    joined back by key). A null key is a group of its own.
     """
     keys, order = as_list(keys), as_list(order)
-    base = range_chunks(df, keys, order, num_chunks) if chunk is None else df.withColumn(CHUNK, chunk)
-    w = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    local = base.withColumn("_local", F.row_number().over(w))
-    counts = local.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    base = stored_chunks(df, _ascending([*keys, *order]), num_chunks)
+    counts = base.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"), F.min(INDEX).alias("_from"))
     wc = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, CHUNK, F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_offset"))
-    out = local.join(offsets, on=[*keys, CHUNK], how="inner")
-    return out.withColumn(name, F.col("_offset") + F.col("_local") - 1 + F.lit(start)).drop("_offset", "_local", CHUNK)
+    offsets = counts.select(*keys, CHUNK, "_from", F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_offset"))
+    out = _join_chunks(base, offsets, keys)
+    at = F.col("_offset") + F.col(INDEX) - F.col("_from") + F.lit(start)
+    return out.select(*df.columns, at.cast("long").alias(name))
+
+
+def global_positions(df: DataFrame, order: Sequence[Column], name: str = "pos", num_chunks: int | None = None) -> DataFrame:
+    """Add ``name`` = 0-based position of each row in the total order ``order`` (sort columns).
+
+    One range exchange, then the offsets of the chunks: one number per chunk, so the table that
+    is broadcast has as many rows as the exchange has partitions, whatever the data.
+    """
+    base = stored_chunks(df, list(order), num_chunks)
+    counts = base.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.partitionBy(F.lit(0)).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(CHUNK).alias("_of"), F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_offset"))
+    out = base.join(F.broadcast(offsets), F.col(CHUNK) == F.col("_of"), "inner")
+    return out.select(*df.columns, (F.col("_offset") + F.col(INDEX)).cast("long").alias(name))
