@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampfold.llm import bpe, exact_dedup, sharding, token_counts
+from ampfold.llm import bpe, exact_dedup, sharding, simhash, token_counts
 from ampfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies after lower-casing A-Z; the largest id of a group stays."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return exact_dedup.exact_duplicates(docs, keep="max", fold_case=True)
+
+
+@query()
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of 3-word shingles; fingerprints of at most 3 differing bits are linked."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return simhash.simhash_groups(docs, shingle=3, radius=3)
