@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampfold.llm import bpe, exact_dedup, sharding, simhash, token_counts
+from ampfold.llm import bpe, exact_dedup, packing, sharding, simhash, token_counts
 from ampfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles; fingerprints of at most 3 differing bits are linked."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return simhash.simhash_groups(docs, shingle=3, radius=3)
+
+
+@query()
+def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens, each with the sources in the corpus's proportions."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=4096, end_id=2)
+    return packed_digest(pieces)
+
+
+def packed_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue"
+    )
