@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampfold.llm.common import whole_text
@@ -35,15 +35,15 @@ class Merger:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.single = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
-        pairs = {}
+        keys, merged = [NONE], [0]
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
-                    pairs[left << 32 | right] = rank
-        self.pairs = pairs
-        self.keys = np.array(sorted(pairs) + [NONE], dtype=np.int64)
-        self.merged = np.array([pairs[k] for k in self.keys[:-1].tolist()] + [0], dtype=np.int64)
+                    keys.append(left << 32 | right)
+                    merged.append(rank)
+        order = np.argsort(keys)
+        self.keys, self.merged = np.array(keys)[order], np.array(merged)[order]
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair, and whether it has one (ids below 0 are no tokens)."""
@@ -51,16 +51,16 @@ class Merger:
         at = np.searchsorted(self.keys, key)
         return self.merged[at], (self.keys[at] == key) & (left >= 0) & (right >= 0)
 
-    def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each byte string."""
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Token ids of each byte string, as the bytes of 32-bit integers."""
         out: list = [None] * len(pieces)
         by_width: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
             rank = self.ranks.get(piece)
             if rank is not None:
-                out[i] = np.array([rank], dtype=np.int32)
+                out[i] = rank.to_bytes(4, "little")
             elif len(piece) > TOGETHER:
-                out[i] = np.array(self.encode_alone(piece), dtype=np.int32)
+                out[i] = np.array(self.encode_alone(piece), dtype=np.int32).tobytes()
             else:
                 by_width.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(i)
         for width, rows in by_width.items():
@@ -70,7 +70,7 @@ class Merger:
                     out[i] = ids
         return out
 
-    def encode_together(self, pieces: list[bytes], width: int) -> Iterator[np.ndarray]:
+    def encode_together(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Byte strings of at most ``width`` bytes (a power of two): a tree each, merged in step."""
         n, positions = len(pieces), np.arange(width)
         lengths = np.array([len(p) for p in pieces])
@@ -117,17 +117,20 @@ class Merger:
                 set_leaf(rows[inside], left[inside], np.where(has, rank * width + left, NONE)[inside])
             rows = rows[tree[rows, 1] != NONE]
         ids = ids[:, :-1].astype(np.int32)
-        for row in ids:
-            yield row[row >= 0]
+        live = ids >= 0
+        flat, ends = ids[live].tobytes(), (np.cumsum(live.sum(axis=1)) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode_alone(self, piece: bytes) -> list[int]:
         """One byte string of any length, in n log n."""
         n = len(piece)
         width = 1 << (n - 1).bit_length()
-        ids = self.single[np.frombuffer(piece, dtype=np.uint8)].tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = lambda a, b: self.pairs.get(ids[a] << 32 | ids[b]) if a >= 0 and b < n else None
-        key = lambda a: NONE if (r := rank(a, after[a])) is None else r * width + a
+
+        def key(a):  # of the pair that starts at a: its bytes end where the live position after next begins
+            rank = self.ranks.get(piece[a : after[after[a]]]) if after[a] < n else None
+            return NONE if rank is None else rank * width + a
+
         tree = [NONE] * (2 * width)
         tree[width : width + n] = [key(i) for i in range(n)]
         for node in range(width - 1, 0, -1):
@@ -141,9 +144,8 @@ class Merger:
                 tree[node] = min(tree[2 * node], tree[2 * node + 1])
 
         while tree[1] != NONE:
-            token, at = divmod(tree[1], width)
+            at = tree[1] % width
             dead = after[at]
-            ids[at], ids[dead] = token, -1
             after[at] = after[dead]
             if after[at] < n:
                 before[after[at]] = at
@@ -151,17 +153,17 @@ class Merger:
             set_leaf(at, key(at))
             if before[at] >= 0:
                 set_leaf(before[at], key(before[at]))
-        return [t for t in ids if t >= 0]
+        out, at = [], 0
+        while at < n:
+            out.append(self.ranks[piece[at : after[at]]])
+            at = after[at]
+        return out
 
 
 @lru_cache(maxsize=2)
 def _encoder(source: bytes, pattern: str):
     merger = Merger(read_ranks(source))
-
-    def encode(pieces: list[str]) -> list[bytes]:
-        return [ids.tobytes() for ids in merger.encode([p.encode() for p in pieces])]
-
-    return splitter(pattern, tiktoken_class), WorkerCache(encode)
+    return splitter(pattern, tiktoken_class), WorkerCache(lambda pieces: merger.encode([p.encode() for p in pieces]))
 
 
 @lru_cache(maxsize=2)
@@ -175,47 +177,24 @@ def _shared(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_column(spark: SparkSession, path: str, pattern: str, text: Column) -> Column:
-    """The token ids of a text column (array of int; null text: no ids)."""
-    source = _shared(spark, path)
+def _encode_texts(source: bytes, pattern: str, texts: list[str]) -> pa.ListArray:
+    split, cache = _encoder(source, pattern)
+    pieces = [split(t) for t in texts]
+    known = cache.of(pieces)
+    ids = [b"".join([known[w] for w in p]) for p in pieces]
+    offsets = np.cumsum([0, *map(len, ids)]) // 4
+    flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
 
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        split, cache = _encoder(source.value, pattern)
-        for batch in batches:
-            ids, counts = [], []
-            for part in slices(batch.to_pylist()):
-                pieces = [split(t) for t in part]
-                known = cache.of(pieces)
-                for p in pieces:
-                    ids.append(b"".join([known[w] for w in p]))
-                    counts.append(len(ids[-1]) // 4)
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
-            yield pa.ListArray.from_arrays(pa.array(offsets), flat)
-
-    return encode(whole_text(text))
-
-
-def decode_column(spark: SparkSession, path: str, ids: Column) -> Column:
-    """The bytes of an array of token ids (binary; null: no bytes)."""
-    source = _shared(spark, path)
-
-    @F.arrow_udf("binary")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = _tokens(source.value)
-        for batch in batches:
-            flat, offsets = batch.values.to_numpy(), batch.offsets.to_numpy()
-            yield pa.array(
-                (b"".join([tokens[t] for t in flat[a:b].tolist()]) for a, b in zip(offsets, offsets[1:], strict=False)),
-                type=pa.binary(),
-            )
 
-    return decode(F.coalesce(ids, F.array().cast("array<int>")))
+def _decode_ids(source: bytes, ids: pa.ListArray) -> pa.Array:
+    tokens, flat, offsets = _tokens(source), ids.values.to_numpy(), ids.offsets.to_numpy()
+    rows = (b"".join([tokens[t] for t in flat[a:b].tolist()]) for a, b in zip(offsets, offsets[1:], strict=False))
+    return pa.array(rows, type=pa.binary())
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", to: str = "ids") -> DataFrame:
-    """Documents with the token ids of their whole texts.
+    """Documents with the token ids (array of int) of their whole texts.
 
     Every match of the pattern is merged alone by the ranks of the file, as the rank library does. Rows stay
     where they are: no shuffle, and each worker merges a pre-token once while it stays in its bounded cache.
@@ -223,9 +202,41 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", to:
     Defined cases: a null or empty text has no ids; a text of any length is taken whole; a column that is
     already called as the new one is replaced.
     """
-    return docs.withColumn(to, encode_column(docs.sparkSession, path, pattern, F.col(text_col)))
+    source = _shared(docs.sparkSession, path)
+
+    @F.arrow_udf("array<int>")
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts in slices(batch):
+                yield _encode_texts(source.value, pattern, texts)
+
+    return docs.withColumn(to, ids_of(whole_text(text_col)))
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
-    """Rows with the bytes of their token ids. An id that the file lacks fails the job with a KeyError."""
-    return tokens.withColumn(to, decode_column(tokens.sparkSession, path, F.col(ids_col)))
+    """Rows with the bytes of their token ids (binary; null: no bytes). An id that the file lacks fails the
+    job with a KeyError."""
+    source = _shared(tokens.sparkSession, path)
+
+    @F.arrow_udf("binary")
+    def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield _decode_ids(source.value, batch)
+
+    return tokens.withColumn(to, bytes_of(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_to: str = "ids", to: str = "decoded") -> DataFrame:
+    """Documents with the ids of :func:`encode` and the bytes that :func:`decode` makes of those, in one pass of
+    one worker. Defined cases as there."""
+    source = _shared(docs.sparkSession, path)
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts in slices(batch):
+                ids = _encode_texts(source.value, pattern, texts)
+                yield pa.StructArray.from_arrays([ids, _decode_ids(source.value, ids)], names=["ids", "decoded"])
+
+    out = docs.withColumn("_both", both(whole_text(text_col)))
+    return out.withColumns({ids_to: F.col("_both.ids"), to: F.col("_both.decoded")}).drop("_both")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampfold.llm.common import whole_text
-from ampfold.llm.pretokens import JsonTokenizer
+from ampfold.llm.pretokens import JsonTokenizer, slices
 from ampfold.session import scratch_path
 
 #: Proportions are whole parts of this.
@@ -165,16 +165,20 @@ def tokenised_queues(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         tokenizer, part, served = _tokenizer(shared.value, dtype), TaskContext.get().partitionId(), {}
         for batch in batches:
-            ids = [b"".join([*v, end]) for v in tokenizer.values(batch.column(2).to_pylist())]
-            counts, firsts = [len(i) // width for i in ids], []
-            for q, n in zip(batch.column(1).to_pylist(), counts, strict=True):
-                firsts.append(served.get(q, 0))
-                served[q] = firsts[-1] + n
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([part] * len(ids), pa.int32()), pa.array(firsts, pa.int64()),
-                 pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
-                names=["_id", "_queue", "_part", "_first", "_n", "_ids"],
-            )
+            at = 0
+            for texts in slices(batch.column(2)):
+                ids = [b"".join([*v, end]) for v in tokenizer.values(texts)]
+                rows = batch.slice(at, len(ids))
+                at += len(ids)
+                counts, firsts = [len(i) // width for i in ids], []
+                for q, n in zip(rows.column(1).to_pylist(), counts, strict=True):
+                    firsts.append(served.get(q, 0))
+                    served[q] = firsts[-1] + n
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), rows.column(1), pa.array([part] * len(ids), pa.int32()), pa.array(firsts, pa.int64()),
+                     pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
+                    names=["_id", "_queue", "_part", "_first", "_n", "_ids"],
+                )
 
     out = scratch_path(spark, "packing")
     docs.select("_id", "_queue", "_text").mapInArrow(tokenise, schema).write.option("compression", "zstd").parquet(out)

@@ -14,37 +14,45 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 CLASSES = (r"\p{L}", r"\p{N}", r"\s")
-ALL_CHARACTERS = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+CHARACTERS = 0x110000
 
 
-def tiktoken_class(name: str) -> set[str]:
+def all_characters() -> str:
+    return "".join(map(chr, chain(range(0xD800), range(0xE000, CHARACTERS))))
+
+
+def mask(found: str) -> np.ndarray:
+    """A flag for every code point: whether it is among the characters found."""
+    flags = np.zeros(CHARACTERS, dtype=bool)
+    flags[np.frombuffer(found.encode("utf-32-le"), dtype=np.uint32)] = True
+    return flags
+
+
+def tiktoken_class(name: str) -> np.ndarray:
     import tiktoken
 
     single = {bytes([i]): i for i in range(256)}
-    match = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
-    return set(bytes(match.encode_ordinary(ALL_CHARACTERS)).decode())
+    match = tiktoken.Encoding("class", pat_str=f"{name}+", mergeable_ranks=single, special_tokens={})
+    return mask(bytes(match.encode_ordinary(all_characters())).decode())
 
 
-def tokenizers_class(name: str) -> set[str]:
+def tokenizers_class(name: str) -> np.ndarray:
     from tokenizers import Regex, pre_tokenizers
 
-    split = pre_tokenizers.Split(Regex(name), behavior="removed", invert=True)
-    return set(chain.from_iterable(piece for piece, _ in split.pre_tokenize_str(ALL_CHARACTERS)))
+    split = pre_tokenizers.Split(Regex(f"{name}+"), behavior="removed", invert=True)
+    return mask("".join(piece for piece, _ in split.pre_tokenize_str(all_characters())))
 
 
-def ranges(characters: Iterable[str]) -> str:
-    """The inside of a bracket class with these characters."""
-    out, run = [], []
-    for c in [*sorted(map(ord, characters)), None]:
-        if run and c != run[-1] + 1:
-            out.append(f"\\U{run[0]:08x}-\\U{run[-1]:08x}")
-            run = []
-        if c is not None:
-            run = [run[0] if run else c, c]
-    return "".join(out)
+def ranges(flags: np.ndarray) -> str:
+    """The inside of a bracket class with the flagged code points."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
 def spelled_out(pattern: str, letters: str, numbers: str, spaces: str) -> str:
@@ -57,15 +65,17 @@ def spelled_out(pattern: str, letters: str, numbers: str, spaces: str) -> str:
 
 
 @lru_cache(maxsize=8)
-def splitter(pattern: str, class_of: Callable[[str], set[str]]) -> Callable[[str], list[str]]:
+def splitter(pattern: str, class_of: Callable[[str], np.ndarray]) -> Callable[[str], list[str]]:
     """A function that lists the matches of the pattern in a text, with the library's character classes."""
+    characters = all_characters()
     own = [class_of(name) for name in CLASSES]
-    known = [set(regex.findall(name, ALL_CHARACTERS)) for name in CLASSES]
-    odd = set().union(*(a ^ b for a, b in zip(own, known, strict=True)))
-    latin = re.compile(spelled_out(pattern, *(ranges(c for c in s if c <= "\xff") for s in own))).findall
+    odd = np.zeros(CHARACTERS, dtype=bool)
+    for name, flags in zip(CLASSES, own, strict=True):
+        odd |= flags ^ mask("".join(regex.findall(f"{name}+", characters)))
+    latin = re.compile(spelled_out(pattern, *(ranges(flags[:256]) for flags in own))).findall
     usual = regex.compile(pattern).findall
     exact = regex.compile(spelled_out(pattern, *map(ranges, own))).findall
-    has_odd = re.compile(f"[{ranges(odd)}]").search if odd else lambda text: None
+    has_odd = re.compile(f"[{ranges(odd)}]").search if odd.any() else lambda text: None
 
     def split(text: str) -> list[str]:
         try:
@@ -86,28 +96,25 @@ class WorkerCache:
 
     def of(self, pieces: list[list[str]], first: dict | None = None) -> dict:
         """A dict that has every one of the pieces."""
-        need = set(chain.from_iterable(pieces))
-        if first:
-            need -= first.keys()
-        if missing := list(need - self.known.keys()):
-            self.known.update(zip(missing, self.encode(missing), strict=True))
+        need, known = set(chain.from_iterable(pieces)), self.known
+        missing = [w for w in need if w not in known and not (first and w in first)]
+        if missing:
+            known.update(zip(missing, self.encode(missing), strict=True))
         found = self.known
         if len(found) > self.limit:
-            self.known = {w: found[w] for w in need}
+            self.known = {w: found[w] for w in need if w in found}
         return found
 
 
-def slices(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
-    """The texts in order, in lists of about ``most`` characters (a longer text is a list of its own)."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[list[str]]:
+    """The texts of a batch in order, in lists of about ``most`` bytes (a longer text is a list of its own)."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield texts.slice(at, to - at).to_pylist()
+        at = to
 
 
 class JsonTokenizer:
@@ -175,13 +182,12 @@ class JsonTokenizer:
 
     def values(self, texts: list[str], first: dict | None = None) -> Iterator[list]:
         """For each text, the values of its pre-tokens in order; ``first``: values that are known already."""
-        for part in slices(texts):
-            if not self.cached:
-                for e in self.whole.encode_batch(part, add_special_tokens=False):
-                    yield [self.value(e.ids)]
-                continue
-            split = [self.pieces(t) for t in part]
-            known = first or self.special
-            found = self.cache.of(split, known)
-            for p in split:
-                yield [known[w] if w in known else found[w] for w in p]
+        if not self.cached:
+            for e in self.whole.encode_batch(texts, add_special_tokens=False):
+                yield [self.value(e.ids)]
+            return
+        split = [self.pieces(t) for t in texts]
+        known = first or self.special
+        found = self.cache.of(split, known)
+        for p in split:
+            yield [known[w] if w in known else found[w] for w in p]

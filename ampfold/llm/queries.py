@@ -37,8 +37,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by the byte-level ranks, and the bytes that its ids give back."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    tokens = bpe.encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return bpe.decode(tokens, path).select(
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

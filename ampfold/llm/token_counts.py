@@ -57,7 +57,7 @@ def frequent_pretokens(docs: DataFrame, source: str, text_col: str = "text", mos
 
         pieces, counts = _tokenizer(shared.value).pieces, Counter()
         for batch in batches:
-            for part in slices(batch.column(0).to_pylist()):
+            for part in slices(batch.column(0)):
                 for text in part:
                     counts.update(pieces(text))
                 if len(counts) > 16 * most:
@@ -127,6 +127,7 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", to: str = "
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer, first = _tokenizer(shared.value), _unpacked(*packed.value)
         for batch in batches:
-            yield pa.array([sum(v) for v in tokenizer.values(batch.to_pylist(), first)], type=pa.int64())
+            for texts in slices(batch):
+                yield pa.array([sum(v) for v in tokenizer.values(texts, first)], type=pa.int64())
 
     return docs.withColumn(to, count(whole_text(text_col)))
