@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampfold.llm import bpe, exact_dedup, packing, sharding, simhash, token_counts
+from ampfold.llm import bpe, exact_dedup, merkle, merkle_sql, packing, sharding, simhash, token_counts
 from ampfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(docs, shingle=3, radius=3)
 
 
+@query(merkle_sql.DIGEST)
+def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle roots of every text and of its half-edited version, and their likeness."""
+    return merkle.fingerprint_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query()
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens, each with the sources in the corpus's proportions."""
