@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Partial results that one task merges into one.
+FAN_IN = 64
 #: One seed for every hash that orders or samples rows.
 SEED = 42
 
@@ -40,3 +44,18 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> D
     kept = kept.select(F.col("_id").alias("_kept_id"), F.col("_sha").alias("_kept_sha"))
     cond = F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
     return rows.join(kept, cond, "left_semi").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+
+
+def merge_in_tree(partials: DataFrame, parts: int, merge: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """One row from a row for each of ``parts`` partitions (column ``part``, their numbers).
+
+    ``merge`` makes one row of up to ``FAN_IN`` of them, of the same size as each; so no task ever holds more
+    than that, however many partitions there are. ``merge`` keeps the number of its first row.
+    """
+    schema = partials.schema
+    while True:
+        parts = -(-parts // FAN_IN)
+        dealt = partials.withColumn("part", F.pmod("part", F.lit(max(1, parts))).cast(schema["part"].dataType))
+        partials = dealt.groupBy("part").applyInArrow(merge, schema)
+        if parts <= 1:
+            return partials

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampfold.llm import bpe, exact_dedup, merkle, merkle_sql, packing, sharding, simhash, token_counts
+from ampfold.llm import bpe, exact_dedup, merkle, merkle_sql, packing, quality, sharding, simhash, token_counts
 from ampfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(docs, keep="max", fold_case=True)
 
 
+@query()
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all texts; rows of remainder 0 are held out of the learning."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.score_documents(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 @query()
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles; fingerprints of at most 3 differing bits are linked."""

@@ -11,13 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampfold.llm.common import whole_text
+from ampfold.llm.common import merge_in_tree, whole_text
 from ampfold.llm.pretokens import JsonTokenizer, slices
 
 #: Entries of the broadcast table of frequent pre-tokens, and of every summary on the way to it.
 FREQUENT = 16_384
-#: Summaries that one task merges into one.
-FAN_IN = 64
 
 
 @lru_cache(maxsize=2)
@@ -40,8 +38,7 @@ def prune(counts: Counter, most: int) -> Counter:
 def frequent_pretokens(docs: DataFrame, source: str, text_col: str = "text", most: int = FREQUENT) -> list[str]:
     """The frequent pre-tokens of all texts, by one bounded summary per partition, merged in a tree.
 
-    What moves are the summaries, of at most ``most`` entries each: one for each partition, then one for each
-    ``FAN_IN`` of them, and so on to a single one.
+    What moves are the summaries, of at most ``most`` entries each, one for each partition.
     """
     shared = docs.sparkSession.sparkContext.broadcast(source)
 
@@ -75,13 +72,7 @@ def frequent_pretokens(docs: DataFrame, source: str, text_col: str = "text", mos
         return []
     schema = "part long, words array<string>, counts array<long>"
     texts = docs.select(whole_text(text_col))
-    parts = texts.rdd.getNumPartitions()
-    found = texts.mapInArrow(summarise, schema)
-    while True:
-        parts = -(-parts // FAN_IN)
-        found = found.withColumn("part", F.pmod("part", F.lit(max(1, parts)))).groupBy("part").applyInArrow(merge, schema)
-        if parts <= 1:
-            break
+    found = merge_in_tree(texts.mapInArrow(summarise, schema), texts.rdd.getNumPartitions(), merge)
     row = found.first()
     return row["words"] if row else []
 
