@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampfold.llm import bpe, exact_dedup, merkle, merkle_sql, packing, quality, sharding, simhash, token_counts
+from ampfold.llm import bpe, exact_dedup, merkle, merkle_sql, packing, quality, secrets, sharding, simhash, token_counts
 from ampfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+@query()
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of all texts with the forest's score; the values as digests."""
+    model, found = secrets.fit(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return model.score(found).select(
+        "doc_id", "start", "length", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score",
+        (F.col("score") >= model.threshold).alias("is_secret"),
+    )
+
+
 @query("""
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                            'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)

@@ -1,0 +1,92 @@
+"""Secret scans: statistics against brute force, planted secrets and false positives, redaction."""
+
+import random
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ampfold.llm import secrets
+from ampfold.llm.queries import QUERIES
+from tests.conftest import SF_MID
+
+
+def corpus(n=400, seed=4):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 8))) for _ in range(300)]
+    hexa = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    upper = lambda k: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=k))
+    plant = {
+        "aws": (lambda: f"AKIA{upper(16)}", 1), "password": (lambda: f"password={hexa(16)}", 1), "token": (lambda: f'token = "{hexa(40)}"', 1),
+        "card": (lambda: "".join(rng.choices("0123456789", k=16)), 0), "word": (lambda: "".join(rng.choices(words, k=5)) + "ination", 0),
+        "commit": (lambda: f"commit {hexa(40)}", 0), "placeholder": (lambda: "password=changeme123", 0), "plain": (lambda: "", 0),
+    }
+    rows, truth = [], {}
+    for i in range(n):
+        kind = list(plant)[i % len(plant)]
+        made, label = plant[kind]
+        text = made()
+        rows.append((i, " ".join(rng.choices(words, k=30) + [text] + rng.choices(words, k=30)), f"src{i % 7}"))
+        truth[i] = label
+    return rows, truth
+
+
+def test_statistics_equal_brute_force(spark):
+    rows, _ = corpus(80)
+    df = spark.createDataFrame([(t,) for _, t, _ in rows], "text string").repartition(1)
+    known = secrets.corpus_statistics(df)
+    words = Counter(w for _, t, _ in rows for w in secrets._letters(t.lower()))
+    assert known.words == set(words)
+    pairs = np.ones((256, 256))
+    data = "\n".join(r["text"] for r in df.collect()).encode()
+    for a, b in zip(data, data[1:], strict=False):
+        pairs[a, b] += 1
+    assert np.allclose(known.transitions, np.log(pairs / pairs.sum(axis=1, keepdims=True)), atol=1e-4)
+
+
+def test_forest_separates_planted_findings(spark):
+    rows, truth = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    model, found = secrets.fit(df)
+    fresh, labels = corpus(400, seed=11)  # other words and values than it learned from
+    cleaned = {r["doc_id"]: r["text"] for r in model.redact(spark.createDataFrame(fresh, df.schema)).collect()}
+    right = sum((secrets.REDACTED in cleaned[i]) == bool(labels[i]) for i in labels)
+    assert right >= 0.98 * len(labels)
+    for i, t, _ in fresh:
+        if not labels[i]:
+            assert cleaned[i] == t or secrets.REDACTED in cleaned[i]
+    scored = model.score(found).collect()
+    assert all(0 <= r["score"] <= 1 for r in scored)
+    assert {r["doc_id"] for r in scored if r["score"] >= 0.5} >= {i for i, v in truth.items() if v}
+
+
+def test_given_labels_teach_otherwise(spark):
+    rows, _ = corpus(160)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    _, found = secrets.fit(df)
+    cards = found.select("doc_id", "start", F.when(F.col("value").rlike("^[0-9]{16}$"), 1).otherwise(0).alias("label"))
+    model, found = secrets.fit(df, labelled=cards)
+    hits = model.score(found).where("score >= 0.5").collect()
+    assert hits and all(r["value"].isdigit() for r in hits)
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, "a"), (2, "", None), (None, f"AKIA{'B7' * 8} and token = \"{'0a' * 20}\"", None), (3, "x" * 300_000, "a"), (3, "y=" * 400, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"features": F.lit("f"), "label": F.lit(1)})
+    model, found = secrets.fit(df)
+    out = model.redact(df)
+    assert out.columns == df.columns and out.count() == 5
+    assert [r["text"] for r in out.where("doc_id = 1").collect()] == [None]
+    assert secrets.redact_secrets(df.limit(0)).count() == 0
+    assert secrets.candidates("") == [] and found.where("doc_id is null").count() == 2
+
+
+def test_query_finds_every_issued_key(spark):
+    rows = QUERIES["op5_secret_scan"](spark, SF_MID).collect()
+    hits = {r["doc_id"] for r in rows if r["is_secret"]}
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_MID}/documents.parquet").collect()}
+    import re
+
+    planted = {i for i, t in docs.items() if re.search(r'AKIA[A-Z0-9]{16}|token = "[0-9a-f]{40}"|password=[0-9a-f]{16}', t)}
+    assert planted <= hits
+    assert len(hits - planted) <= 0.01 * len(docs)
