@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampfold.llm import bpe, exact_dedup, merkle, merkle_sql, packing, quality, secrets, sharding, simhash, token_counts
+from ampfold.llm import bpe, exact_dedup, merkle, merkle_sql, packing, quality, secrets, sharding, simhash, token_counts, warc, warc_sql
 from ampfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,14 @@ def query(sql: str | None = None):
     return add
 
 
+@query(warc_sql.DERIVATIVES)
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of the responses of all pages."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    made = warc.derivatives(warc.page_responses(pages, date="2024-01-01T00:00:00Z"), keep=["page_id"])
+    return made.withColumn("source_headers", F.array_join("source_headers", "|"))
+
+
 @query()
 def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents on 8 shards by the bounded-load ring; the row counts differ by one at most."""
