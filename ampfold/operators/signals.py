@@ -9,15 +9,19 @@ task per group).
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ampfold.functions import signals as S
 from ampfold.functions.cleaning import nan_to_null
 from ampfold.functions.common import as_list
 from ampfold.plans import ordered
+from ampfold.session import checkpoint_dir
 
 # ---------------------------------------------------------------------------------------
 # Pair terms used by the order-dependent features
@@ -174,8 +178,9 @@ def peak_candidates(df: DataFrame, group, order, y: str, rel_height: float = 0.1
     peaks. Kept when height >= ``rel_height`` * max(y) of the group (inclusive).
 
     Plan: one skew-safe neighbour pass gives position, previous and next value; the run edges
-    (every run start, and every end with a lower next value) are paired by a second neighbour
-    pass over that much smaller set. No window ever spans a whole group.
+    (every run start, and every end with a lower next value) are checkpointed with the group's
+    maximum beside them, and paired by a second neighbour pass over that much smaller set. No
+    window ever spans a whole group.
     """
     group, order = as_list(group), as_list(order)
     base = df.select(*group, *order, nan_to_null(y).alias("_y"))
@@ -186,7 +191,7 @@ def peak_candidates(df: DataFrame, group, order, y: str, rel_height: float = 0.1
     rising = is_start & prev_.isNotNull() & (prev_ < y_)
     falling = is_end & next_.isNotNull() & (next_ < y_)
     edges = nb.where(y_.isNotNull() & (is_start | falling)).select(
-        *group, "_pos", "_y", rising.alias("_rising"), is_start.alias("_start"), falling.alias("_falling"))
+        *group, "_pos", "_y", rising.alias("_rising"), is_start.alias("_start"), falling.alias("_falling")).checkpoint()
     paired = ordered.neighbors(edges.withColumn("_rise_i", F.col("_rising").cast("int"))
                                .withColumn("_pos_d", F.col("_pos").cast("double")),
                                group, ["_pos"], ["_rise_i", "_pos_d"], pos="_edge_pos")
@@ -196,63 +201,76 @@ def peak_candidates(df: DataFrame, group, order, y: str, rel_height: float = 0.1
     peaks = paired.where(F.col("_falling") & start_rising).select(
         *group, F.floor((start_pos + F.col("_pos")) / F.lit(2)).cast("long").alias("position"),
         F.col("_y").alias("height"))
-    ymax = base.groupBy(*group).agg(F.max("_y").alias("_ymax"))
+    ymax = edges.groupBy(*group).agg(F.max("_y").alias("_ymax"))  # every run of equal values has its start there
     return peaks.join(ymax, on=group).where(F.col("height") >= F.col("_ymax") * F.lit(rel_height)).drop("_ymax")
 
 
-def select_by_distance(peaks: DataFrame, group, distance: int = 5) -> DataFrame:
-    """Keep the highest peaks first and drop every peak closer than ``distance`` samples to a kept one.
+#: Samples in a block of the distance rule (a block has at most half as many peaks).
+BLOCK_SAMPLES = 1 << 18
+_UNDECIDED, _KEPT, _DROPPED = 0, 1, 2
+
+
+def decide_in_order(position: list, height: list, status: list, own: list, distance: int) -> list:
+    """Statuses after one pass over a block's peaks from the highest down (ties: the later position first).
 
-    Priority: height, then the later position on equal heights. Exact, without a per-group pass:
-    peaks within ``distance`` of each other are linked once (equi-join on position buckets, at most
-    a few neighbours per peak); then in rounds every undecided peak that outranks all its undecided
-    neighbours is kept and its neighbours are dropped. This yields the same set as the sequential
-    highest-first rule. Rounds run until nothing is undecided (no cap). The candidate table, the
-    links and every round's state are checkpointed to the shared folder, so each round's plan is a
-    scan of small tables (no lineage growth, and a lost executor recomputes one round at most).
+    A peak with a kept one closer than ``distance`` is dropped, one with neither a kept nor an open one there is
+    kept. ``own`` flags the peaks that may be decided; the others, of the neighbouring blocks, are as they were.
     """
-    from ampfold.session import checkpoint_dir
+    kept, open_ = [], []
+
+    def near(places, p):
+        i = bisect_left(places, p - distance + 1)
+        return i < len(places) and places[i] < p + distance
+
+    for i in sorted(range(len(position)), key=lambda i: (height[i], position[i]), reverse=True):
+        if status[i] == _UNDECIDED and own[i]:
+            if near(kept, position[i]):
+                status[i] = _DROPPED
+            elif not near(open_, position[i]):
+                status[i] = _KEPT
+        if status[i] != _DROPPED:
+            insort(kept if status[i] == _KEPT else open_, position[i])
+    return status
 
+
+def select_by_distance(peaks: DataFrame, group, distance: float = 5) -> DataFrame:
+    """Keep the highest peaks first and drop every peak closer than ``distance`` samples to a kept one.
+
+    Priority: height, then the later position on equal heights. A group's positions are cut into blocks of
+    fixed length (also a hot group is many blocks); each block decides, from the highest peak down, all that do
+    not hang on an open peak of a neighbouring block, of which it sees those within the distance. The rounds go
+    on until nothing is open, so they are as many as the blocks that a chain of rising peaks runs through, not as
+    many as its peaks. Each round's table is checkpointed, so a lost executor costs one round.
+    """
     group = as_list(group)
-    d = int(distance)
-    spark = peaks.sparkSession
-    checkpoint_dir(spark)
+    d = math.ceil(distance)
     p = peaks.select(*group, "position", "height")
     if d <= 1:
         return p
-    p = p.checkpoint(eager=True)
-    prio = lambda pre: F.struct(F.col(f"{pre}height").alias("h"), F.col(f"{pre}position").alias("p"))
-    a = p.withColumn("_b", F.floor(F.col("position") / F.lit(d)))
-    b = p.select(*group, F.col("position").alias("q_position"), F.col("height").alias("q_height"),
-                 F.explode(F.array(*[F.floor(F.col("position") / F.lit(d)) + F.lit(k) for k in (-1, 0, 1)])).alias("_b"))
-    links = (a.join(b, on=[*group, "_b"])
-             .where((F.col("q_position") != F.col("position")) & (F.abs(F.col("q_position") - F.col("position")) < d))
-             .select(*group, "position", "q_position", (prio("q_") > prio("")).alias("_q_higher"))
-             ).checkpoint(eager=True)
-    state = p.withColumn("status", F.lit(0)).checkpoint(eager=True)  # 0 undecided, 1 kept, 2 dropped
-    while True:
-        und = state.where(F.col("status") == 0).select(*group, "position")
-        if und.isEmpty():
-            break
-        und_q = und.select(*group, F.col("position").alias("q_position"))
-        blocked = (links.where(F.col("_q_higher"))
-                   .join(und_q, on=[*group, "q_position"], how="left_semi")
-                   .select(*group, "position").distinct())
-        kept = und.join(blocked, on=[*group, "position"], how="left_anti")
-        kept_q = kept.select(*group, F.col("position").alias("q_position"))
-        dropped = links.join(kept_q, on=[*group, "q_position"], how="left_semi").select(*group, "position").distinct()
-        state = (state.join(kept.withColumn("_k", F.lit(1)), on=[*group, "position"], how="left")
-                 .join(dropped.withColumn("_d", F.lit(1)), on=[*group, "position"], how="left")
-                 .select(*group, "position", "height",
-                         F.when(F.col("status") != 0, F.col("status"))
-                         .when(F.col("_k") == 1, F.lit(1))
-                         .when(F.col("_d") == 1, F.lit(2))
-                         .otherwise(F.lit(0)).alias("status"))
-                 ).checkpoint(eager=True)
-    return state.where(F.col("status") == 1).select(*group, "position", "height")
-
-
-def peak_detection(df: DataFrame, group, order, y: str, rel_height: float = 0.1, distance: int = 5) -> DataFrame:
+    checkpoint_dir(peaks.sparkSession)
+    size = max(BLOCK_SAMPLES, 4 * d)
+    block = F.floor(F.col("position") / F.lit(size)).cast("long")
+    state = p.select("*", F.lit(_UNDECIDED).alias("status")).checkpoint()
+    schema = T.StructType([f for f in state.schema.fields])
+
+    def decide(pdf):
+        pdf = pdf.copy()
+        pdf["status"] = decide_in_order(*(pdf[c].tolist() for c in ("position", "height", "status", "_own")), d)
+        return pdf.loc[pdf["_own"], schema.names]
+
+    while not state.where(F.col("status") == _UNDECIDED).isEmpty():
+        at = F.pmod(F.col("position"), F.lit(size))
+        copies = F.filter(F.array(
+            F.struct(block.alias("b"), F.lit(True).alias("own")),
+            F.when(at < d, F.struct((block - 1).alias("b"), F.lit(False).alias("own"))),
+            F.when(at >= size - d, F.struct((block + 1).alias("b"), F.lit(False).alias("own"))),
+        ), lambda c: c.isNotNull())
+        rows = state.withColumn("_c", F.explode(copies)).select("*", F.col("_c.b").alias("_block"), F.col("_c.own").alias("_own")).drop("_c")
+        state = rows.groupBy(*group, "_block").applyInPandas(decide, schema).checkpoint()
+    return state.where(F.col("status") == _KEPT).select(*group, "position", "height")
+
+
+def peak_detection(df: DataFrame, group, order, y: str, rel_height: float = 0.1, distance: float = 5) -> DataFrame:
     """``group..., position, height`` of the peaks kept by the height and distance rules."""
     cands = peak_candidates(df, group, order, y, rel_height)
     return select_by_distance(cands, group, distance)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ampfold.operators import signals as ops
@@ -153,3 +154,71 @@ def test_value_mode_smallest_on_ties(spark):
     assert got == {1: 1.0, 2: None}
     u = {r["g"]: r["n_unique"] for r in ops.unique_values(df, "g", "v").collect()}
     assert u == {1: 3, 2: 1}
+
+
+@pytest.mark.parametrize("distance", [1, 3, 4.5, 5, 40])
+def test_distance_rule_over_many_blocks(spark, monkeypatch, distance):
+    monkeypatch.setattr(ops, "BLOCK_SAMPLES", 64)
+    rnd = random.Random(int(distance * 10))
+    rows = [(g, p, float(rnd.randint(0, 9))) for g in range(4) for p in sorted(rnd.sample(range(600), 200))]
+    rows += [(9, 2 * p, float(p)) for p in range(300)]  # one rising run through all blocks
+    df = spark.createDataFrame(rows, "g int, position long, height double")
+    want = set()
+    for g in {r[0] for r in rows}:
+        kept = []
+        for p, h in sorted(((p, h) for k, p, h in rows if k == g), key=lambda c: (c[1], c[0]), reverse=True):
+            if all(abs(p - q) >= distance for q, _ in kept):
+                kept.append((p, h))
+        want |= {(g, p, h) for p, h in kept}
+    got = {tuple(r) for r in ops.select_by_distance(df, "g", distance).collect()}
+    assert got == want
+
+
+def test_long_rising_run_takes_few_rounds(spark):
+    df = spark.range(100_000).select(F.lit(1).alias("g"), (F.col("id") * 2).alias("position"), F.col("id").cast("double").alias("height"))
+    got = sorted(r["position"] for r in ops.select_by_distance(df, "g", 5).collect())
+    assert got == sorted(range(199_998, -1, -6))
+
+
+
+
+
+@pytest.mark.parametrize("aqe", ["true", "false"])
+@pytest.mark.parametrize("chunks", [None, 16])
+def test_ordered_helpers_keep_every_wide_row(spark, aqe, chunks):
+    """400,000 wide rows, 50 groups, one with a third of them: every row once, with its exact position."""
+    n = 400_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 49 + 1).alias("g"),
+        F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("t"), F.col("id"), F.col("id").cast("double").alias("v"),
+        *[(F.col("id") * i).cast("double").alias(f"x{i}") for i in range(15)],
+    )
+    w = Window.partitionBy("g").orderBy("t", "id")
+    want = df.select("id", (F.row_number().over(w) - 1).cast("long").alias("want"), F.lag("v").over(w).alias("before"), F.lead("v").over(w).alias("after"))
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        got = ordered.dense_positions(df, "g", ["t", "id"], num_chunks=chunks)
+        assert set(got.columns) == {*df.columns, "pos"}
+        check = got.join(want, "id").agg(F.count("*"), F.count_if(F.col("pos") != F.col("want"))).first()
+        assert tuple(check) == (n, 0)
+        nb = ordered.neighbors(df, "g", ["t", "id"], ["v"], num_chunks=chunks)
+        wrong = (F.col("pos") != F.col("want")) | ~F.col("prev_v").eqNullSafe(F.col("before")) | ~F.col("next_v").eqNullSafe(F.col("after"))
+        assert tuple(nb.join(want, "id").agg(F.count("*"), F.count_if(wrong)).first()) == (n, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_leave_one_out_folds_are_all_there(spark):
+    from ampfold.operators import modeling
+
+    df = spark.range(200_000).select((F.col("id") * 7).alias("battery_id"), *[F.col("id").alias(f"f{i}") for i in range(15)])
+    folds = modeling.with_folds(df, "battery_id", "loo")
+    assert tuple(folds.agg(F.count("*"), F.countDistinct("fold"), F.count_if(F.col("fold") * 7 != F.col("battery_id"))).first()) == (200_000, 200_000, 0)
+
+
+def test_global_positions_and_null_keys(spark):
+    df = spark.createDataFrame([(None, 3), (1, 1), (None, 2), (1, 0), (None, 2)], "g int, t int")
+    pos = ordered.global_positions(df, [F.col("t").desc(), F.col("g").asc_nulls_first()], num_chunks=3)
+    assert sorted((r["pos"], r["t"]) for r in pos.collect()) == [(0, 3), (1, 2), (2, 2), (3, 1), (4, 0)]
+    own = ordered.dense_positions(df, "g", "t", num_chunks=4).collect()
+    assert sorted(((r["g"] or 0), r["pos"]) for r in own) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]
