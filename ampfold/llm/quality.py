@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +48,9 @@ def word_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of the words of all texts, one text after another, and where each text ends."""
     if len(_rows) > 500_000:
         _rows.clear()
-    rows = [[_rows[w] for w in _words(t.lower())] for t in texts]
-    flat = np.fromiter((r for part in rows for r in part), dtype=np.int64)
-    return flat, np.cumsum([len(r) for r in rows])
+    words = [_words(t.lower()) for t in texts]
+    flat = np.fromiter(map(_rows.__getitem__, chain.from_iterable(words)), dtype=np.int64)
+    return flat, np.cumsum([len(w) for w in words], dtype=np.int64)
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -82,18 +83,18 @@ def corpus_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                     for word, other in ((left, right), (right, left)):
                         for k in range(ENTRIES):
                             sums += np.bincount(word * WIDTH + places[other, k], signs[other, k], len(sums))
-        data = sums.astype(np.int64).tobytes()
+        data = zlib.compress(sums.astype(np.int64).tobytes(), 1)
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "sums": [data]}, names)
 
     def merge(table: pa.Table) -> pa.Table:
         total = np.zeros(WORDS * WIDTH, dtype=np.int64)
         for one in table.column("sums"):
-            total += np.frombuffer(one.as_buffer(), dtype=np.int64)
-        return pa.Table.from_pydict({"part": [table.column("part")[0].as_py()], "sums": [total.tobytes()]}, names)
+            total += np.frombuffer(zlib.decompress(one.as_buffer()), dtype=np.int64)
+        return pa.Table.from_pydict({"part": [table.column("part")[0].as_py()], "sums": [zlib.compress(total.tobytes(), 1)]}, names)
 
     texts = docs.select(whole_text(text_col))
     row = merge_in_tree(texts.mapInArrow(add_up, schema), texts.rdd.getNumPartitions(), merge).first()
-    sums = np.frombuffer(row["sums"], dtype=np.int64) if row else np.zeros(WORDS * WIDTH, dtype=np.int64)
+    sums = np.frombuffer(zlib.decompress(row["sums"]), dtype=np.int64) if row else np.zeros(WORDS * WIDTH, dtype=np.int64)
     return sums.reshape(WORDS, WIDTH)
 
 
@@ -109,18 +110,16 @@ def pooled(texts: list[str], table: np.ndarray) -> np.ndarray:
     """Per text the mean of its words' vectors, the lengths of both halves of it (long where the words agree),
     the share of words that repeat the one before, and the logarithm of their number; zeros without words."""
     flat, ends = word_rows(texts)
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    counts = ends - starts
-    some = counts > 0
-    means = np.zeros((len(texts), table.shape[1]))
-    again = np.zeros(len(texts))
-    if some.any():
-        means[some] = np.add.reduceat(table[flat], starts[some], axis=0, dtype=np.float64) / counts[some, None]
-        repeat = np.append(flat[1:] == flat[:-1], False).astype(np.float64)
-        repeat[ends[some] - 1] = 0
-        again[some] = np.add.reduceat(repeat, starts[some]) / counts[some]
-    lengths = [np.linalg.norm(half, axis=1) for half in np.split(means, 2, axis=1)]
-    return np.column_stack([means, *lengths, again, np.log1p(counts)])
+    out, start = np.zeros((len(texts), FEATURES)), 0
+    for i, end in enumerate(ends.tolist()):
+        if end > start:
+            words = flat[start:end]
+            rows, counts = np.unique(words, return_counts=True)  # a text of any length has so many rows at most
+            mean = counts @ table[rows].astype(np.float64) / len(words)
+            lengths = [np.linalg.norm(half) for half in np.split(mean, 2)]
+            out[i] = [*mean, *lengths, np.count_nonzero(words[1:] == words[:-1]) / len(words), np.log1p(len(words))]
+        start = end
+    return out
 
 
 @dataclass

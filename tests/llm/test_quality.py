@@ -30,7 +30,7 @@ def test_pooling_has_every_text(spark):
     assert both.shape[0] == 5
     for i, t in enumerate(texts):
         assert np.allclose(both[i], quality.pooled([t], table)[0])
-    assert both[2, -2] == 2 / 3 and not both[1].any()
+    assert both[2, -2] == 2 / 3 and not both[1].any() and both.shape[1] == quality.FEATURES
 
 
 def test_held_out_accuracy_and_contract(spark):
