@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampfold.llm.common import whole_text
-from ampfold.llm.pretokens import WorkerCache, slices, splitter, tiktoken_class
+from ampfold.llm.pretokens import Patterns, WorkerCache, patterns, slices, splitter, tiktoken_class
 
 NONE = np.iinfo(np.int64).max
 #: Pre-tokens up to this many bytes are merged many at once; longer ones each alone.
@@ -161,9 +161,9 @@ class Merger:
 
 
 @lru_cache(maxsize=2)
-def _encoder(source: bytes, pattern: str):
+def _encoder(source: bytes, given: Patterns):
     merger = Merger(read_ranks(source))
-    return splitter(pattern, tiktoken_class), WorkerCache(lambda pieces: merger.encode([p.encode() for p in pieces]))
+    return splitter(given), WorkerCache(lambda pieces: merger.encode([p.encode() for p in pieces]))
 
 
 @lru_cache(maxsize=2)
@@ -177,11 +177,9 @@ def _shared(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _encode_texts(source: bytes, pattern: str, texts: list[str]) -> pa.ListArray:
-    split, cache = _encoder(source, pattern)
-    pieces = [split(t) for t in texts]
-    known = cache.of(pieces)
-    ids = [b"".join([known[w] for w in p]) for p in pieces]
+def _encode_texts(source: bytes, given: Patterns, texts: list[str]) -> pa.ListArray:
+    split, cache = _encoder(source, given)
+    ids = [b"".join(values) for values in cache.values([split(t) for t in texts])]
     offsets = np.cumsum([0, *map(len, ids)]) // 4
     flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
@@ -202,13 +200,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", to:
     Defined cases: a null or empty text has no ids; a text of any length is taken whole; a column that is
     already called as the new one is replaced.
     """
-    source = _shared(docs.sparkSession, path)
+    source, given = _shared(docs.sparkSession, path), patterns(pattern, tiktoken_class)
 
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             for texts in slices(batch):
-                yield _encode_texts(source.value, pattern, texts)
+                yield _encode_texts(source.value, given, texts)
 
     return docs.withColumn(to, ids_of(whole_text(text_col)))
 
@@ -229,13 +227,13 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", to: str = "decode
 def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_to: str = "ids", to: str = "decoded") -> DataFrame:
     """Documents with the ids of :func:`encode` and the bytes that :func:`decode` makes of those, in one pass of
     one worker. Defined cases as there."""
-    source = _shared(docs.sparkSession, path)
+    source, given = _shared(docs.sparkSession, path), patterns(pattern, tiktoken_class)
 
     @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             for texts in slices(batch):
-                ids = _encode_texts(source.value, pattern, texts)
+                ids = _encode_texts(source.value, given, texts)
                 yield pa.StructArray.from_arrays([ids, _decode_ids(source.value, ids)], names=["ids", "decoded"])
 
     out = docs.withColumn("_both", both(whole_text(text_col)))

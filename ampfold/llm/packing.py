@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampfold.llm.common import whole_text
-from ampfold.llm.pretokens import JsonTokenizer, slices
+from ampfold.llm.pretokens import JsonSpec, JsonTokenizer, read_spec, slices
 from ampfold.session import scratch_path
 
 #: Proportions are whole parts of this.
@@ -109,31 +109,35 @@ def cut(segments: Sequence[Segment], starts: Sequence[int], q: int, at: int, n:
 
     ``starts``: the queue's tokens before each segment.
     """
-    start = 0
-    k = bisect_right(starts, at) - 1
+    start, k = 0, bisect_right(starts, at) - 1
     while start < n:
         s, y = segments[k], at + start - starts[k]
-        end = segments[k].had(q, s.windows, length)
-        if y >= end:
-            k += 1
-            continue
+        total, below = s.upto[q], s.upto[q - 1] if q else 0
+        scale, parts = (1, 1) if s.exact else (length, PARTS)
         w = 0
-        if not s.exact:  # the share gives the window but for the deficit of under a token
-            share = s.upto[q] - (s.upto[q - 1] if q else 0)
-            w = min(s.windows - 1, y * PARTS // (share * length))
+        if not s.exact and total > below:  # the share gives the window but for the deficit of under a token
+            w = min(s.windows - 1, y * PARTS // ((total - below) * length))
             while s.had(q, w, length) > y:
                 w -= 1
-            while s.had(q, w + 1, length) <= y:
+            while w < s.windows and s.had(q, w + 1, length) <= y:
                 w += 1
-        take = min(n - start, s.had(q, w + 1, length) - y)
-        before = s.credit(q - 1, w + 1, length) - s.credit(q - 1, w, length)
-        yield start, take, s.first + w, before + y - s.had(q, w, length)
-        start += take
+        before = below * w * scale // parts
+        had = total * w * scale // parts - before
+        while start < n and w < s.windows:  # window by window; the credits of one's end are the next one's start
+            next_before = below * (w + 1) * scale // parts
+            next_had = total * (w + 1) * scale // parts - next_before
+            take = min(n - start, next_had - y)
+            if take > 0:
+                yield start, take, s.first + w, next_before - before + y - had
+                start += take
+                y += take
+            before, had, w = next_before, next_had, w + 1
+        k += 1
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(source: str, dtype: str) -> JsonTokenizer:
-    return JsonTokenizer(source, lambda ids: np.array(ids, dtype=dtype).tobytes(), lambda i: np.array([i], dtype=dtype).tobytes())
+def _tokenizer(spec: JsonSpec, dtype: str) -> JsonTokenizer:
+    return JsonTokenizer(spec, dtype)
 
 
 def _queues(docs: DataFrame, most: int) -> tuple[DataFrame, list]:
@@ -152,12 +156,9 @@ def _queues(docs: DataFrame, most: int) -> tuple[DataFrame, list]:
 def tokenised_queues(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """The queues as a table in the shared folder: ``_id, _queue, _ids, _n``, the partition ``_part`` and the
     queue's tokens before the document in that partition (``_first``). A queue runs through the partitions."""
-    with open(path, encoding="utf-8") as f:
-        source = f.read()
-    spark = docs.sparkSession
-    probe = _tokenizer(source, "<u4")
-    dtype = "<u2" if max(probe.whole.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4"
-    shared, end, width = spark.sparkContext.broadcast(source), np.array([end_id], dtype=dtype).tobytes(), int(dtype[2:])
+    spark, spec = docs.sparkSession, read_spec(path)
+    dtype = "<u2" if max(JsonTokenizer(spec, "<u4").whole.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    shared, end, width = spark.sparkContext.broadcast(spec), np.array([end_id], dtype=dtype).tobytes(), int(dtype[2:])
     schema = docs.select("_id", "_queue").schema.add("_part", "integer").add("_first", "long").add("_n", "long").add("_ids", "binary")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,19 +238,19 @@ def pack(
         fields = fields.add(name, kind)
 
     def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(1, batch.num_columns)]
-            rows, pieces = [], []
-            for i, (q, at, n, data, width) in enumerate(zip(*columns, strict=True)):
-                ids = np.frombuffer(data, dtype=f"<u{width}").astype("<u4")
-                for start, size, sequence, offset in cut(segments, starts[q], q, at, n, length):
-                    rows.append(i)
-                    pieces.append((start, size, ids[start : start + size].tobytes(), n, sequence, offset, q))
-            arrays = [batch.column(0).take(pa.array(rows, pa.int64()))]
-            arrays += [pa.array(values, kind) for values, kind in zip(
-                zip(*pieces, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True
-            )]
-            yield pa.RecordBatch.from_arrays(arrays, names=fields.names)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        for whole in batches:
+            for at_row in range(0, whole.num_rows, 512):
+                batch = whole.slice(at_row, 512)
+                rows, pieces = [], []
+                for i, (q, at, n, data, width) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 6)), strict=True)):
+                    ids = np.frombuffer(data, dtype=f"<u{width}").astype("<u4").tobytes()
+                    for start, size, sequence, offset in cut(segments, starts[q], q, at, n, length):
+                        rows.append(i)
+                        pieces.append((start, size, ids[4 * start : 4 * (start + size)], n, sequence, offset, q))
+                arrays = [batch.column(0).take(pa.array(rows, pa.int64()))]
+                arrays += [pa.array(values, kind) for values, kind in zip(zip(*pieces, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=fields.names)
 
     base = bases.select(F.col("_queue").alias("_q"), F.col("_part").alias("_p"), "_base")
     if base.count() <= BROADCAST_ROWS:

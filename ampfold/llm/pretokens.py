@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -64,18 +65,33 @@ def spelled_out(pattern: str, letters: str, numbers: str, spaces: str) -> str:
     return pattern
 
 
+class Patterns(NamedTuple):
+    """A splitting pattern as the library reads it: for Latin-1 texts, for most others, for those with a character
+    of the class ``odd``."""
+
+    latin: str
+    usual: str
+    exact: str
+    odd: str
+
+
 @lru_cache(maxsize=8)
-def splitter(pattern: str, class_of: Callable[[str], np.ndarray]) -> Callable[[str], list[str]]:
-    """A function that lists the matches of the pattern in a text, with the library's character classes."""
+def patterns(pattern: str, class_of: Callable[[str], np.ndarray]) -> Patterns:
+    """Asked once on the driver; the workers have the same libraries and get the answer."""
     characters = all_characters()
     own = [class_of(name) for name in CLASSES]
     odd = np.zeros(CHARACTERS, dtype=bool)
     for name, flags in zip(CLASSES, own, strict=True):
         odd |= flags ^ mask("".join(regex.findall(f"{name}+", characters)))
-    latin = re.compile(spelled_out(pattern, *(ranges(flags[:256]) for flags in own))).findall
-    usual = regex.compile(pattern).findall
-    exact = regex.compile(spelled_out(pattern, *map(ranges, own))).findall
-    has_odd = re.compile(f"[{ranges(odd)}]").search if odd.any() else lambda text: None
+    latin = spelled_out(pattern, *(ranges(flags[:256]) for flags in own))
+    return Patterns(latin, pattern, spelled_out(pattern, *map(ranges, own)), ranges(odd))
+
+
+@lru_cache(maxsize=8)
+def splitter(given: Patterns) -> Callable[[str], list[str]]:
+    """A function that lists the matches of the pattern in a text."""
+    latin, usual, exact = re.compile(given.latin).findall, regex.compile(given.usual).findall, regex.compile(given.exact).findall
+    has_odd = re.compile(f"[{given.odd}]").search if given.odd else lambda text: None
 
     def split(text: str) -> list[str]:
         try:
@@ -88,22 +104,28 @@ def splitter(pattern: str, class_of: Callable[[str], np.ndarray]) -> Callable[[s
 
 
 class WorkerCache:
-    """Values by pre-token, encoded many at a time. Over ``limit`` entries, only those of the latest
-    texts stay; that affects the speed alone."""
-
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 400_000):
-        self.encode, self.limit, self.known = encode, limit, {}
-
-    def of(self, pieces: list[list[str]], first: dict | None = None) -> dict:
-        """A dict that has every one of the pieces."""
-        need, known = set(chain.from_iterable(pieces)), self.known
-        missing = [w for w in need if w not in known and not (first and w in first)]
-        if missing:
-            known.update(zip(missing, self.encode(missing), strict=True))
-        found = self.known
-        if len(found) > self.limit:
-            self.known = {w: found[w] for w in need if w in found}
-        return found
+    """Values by pre-token. Those not known yet are encoded many at a time; over ``limit`` entries only the
+    ``pinned`` ones and those of the latest texts stay, which affects the speed alone."""
+
+    def __init__(self, encode: Callable[[list[str]], list], pinned: dict | None = None, limit: int = 300_000):
+        self.encode, self.limit, self.pinned = encode, limit, pinned or {}
+        self.known = dict(self.pinned)
+
+    def values(self, pieces: list[list[str]]) -> Iterator[list]:
+        """The values of each list of pieces."""
+        flat = list(chain.from_iterable(pieces))
+        values = list(map(self.known.get, flat))
+        if None in values:
+            missing = list({w for w, v in zip(flat, values, strict=True) if v is None})
+            new = dict(zip(missing, self.encode(missing), strict=True))
+            values = [new[w] if v is None else v for w, v in zip(flat, values, strict=True)]
+            self.known.update(new)
+            if len(self.known) > self.limit:
+                self.known = self.pinned | dict(zip(flat, values, strict=True))
+        at = 0
+        for part in pieces:
+            yield values[at : at + len(part)]
+            at += len(part)
 
 
 def slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[list[str]]:
@@ -117,52 +139,103 @@ def slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[list[str]]:
         at = to
 
 
+class JsonSpec(NamedTuple):
+    """What a worker needs of a ``tokenizers`` JSON file: the file, and, if its texts can be split here, the
+    patterns, the file of the merges of one pre-token alone, whether texts are folded first, the special strings,
+    and whether every word's last token has an end mark."""
+
+    source: str
+    patterns: Patterns | None = None
+    piece: str = ""
+    folds: bool = False
+    special: tuple[tuple[str, int], ...] = ()
+    marked: bool = False
+
+
+def _pattern(pre: dict) -> str | None:
+    """What splits the text: the byte-level pre-tokenizer's own pattern, or that of a split before it."""
+    if pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
+        from public_tokenizers import PATTERN
+
+        return PATTERN
+    if pre["type"] == "Sequence" and [p["type"] for p in pre["pretokenizers"]] == ["Split", "ByteLevel"]:
+        split, level = pre["pretokenizers"]
+        if split["behavior"] == "Removed" and split["invert"] and not level["use_regex"] and not level["add_prefix_space"]:
+            return split["pattern"].get("Regex")
+    return None
+
+
+@lru_cache(maxsize=4)
+def read_spec(path: str) -> JsonSpec:
+    """Read on the driver. A file of an unknown build has no patterns, and whole texts go to the library."""
+    with open(path, encoding="utf-8") as f:
+        source = f.read()
+    spec = json.loads(source)
+    added, pattern = spec["added_tokens"], _pattern(spec["pre_tokenizer"])
+    folds = spec["normalizer"] and [n["type"] for n in spec["normalizer"].get("normalizers", [])]
+    plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
+    if not pattern or not plain or folds not in (None, ["NFC", "Replace", "Lowercase"]):
+        return JsonSpec(source)
+    marked = bool(spec["model"]["end_of_word_suffix"]) and bool(folds)  # a word then has no blank inside
+    level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    blank = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+    pre = {"type": "Sequence", "pretokenizers": [blank, level]} if marked else level
+    piece = json.dumps(spec | {"added_tokens": [], "normalizer": None, "pre_tokenizer": pre})
+    special = tuple((t["content"], t["id"]) for t in added)
+    return JsonSpec(source, patterns(pattern, tokenizers_class), piece, bool(folds), special, marked)
+
+
 class JsonTokenizer:
-    """A ``tokenizers`` JSON file, with its pre-tokens encoded through a worker cache.
+    """The tokenizer of a spec, with its pre-tokens encoded through a worker cache.
 
-    Texts are cut at the special strings, normalised and split as the file says; every pre-token then goes
-    to the library's own merges. A file of another build is given whole texts.
+    Texts are cut at the special strings, normalised and split as the file says; every pre-token then goes to the
+    library's own merges. The values are token counts, or, with a ``dtype``, the bytes of the ids.
     """
 
-    def __init__(self, source: str, value: Callable[[list[int]], object], specials_value: Callable[[int], object]):
+    def __init__(self, spec: JsonSpec, dtype: str | None = None, pinned: dict | None = None):
         from tokenizers import Tokenizer
 
-        spec = json.loads(source)
-        self.whole = Tokenizer.from_str(source)
-        self.value = value
-        added = spec["added_tokens"]
-        pattern = self._pattern(spec["pre_tokenizer"])
-        folds = spec["normalizer"] and [n["type"] for n in spec["normalizer"].get("normalizers", [])]
-        plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
-        self.cached = bool(pattern) and plain and folds in (None, ["NFC", "Replace", "Lowercase"])
-        self.folds = bool(folds)
-        self.special = {t["content"]: specials_value(t["id"]) for t in added}
-        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if added else lambda t: [t]
-        if self.cached:
-            self.split = splitter(pattern, tokenizers_class)
-            spec |= {"added_tokens": [], "normalizer": None}
-            spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-            self.piece = Tokenizer.from_str(json.dumps(spec))
-        self.cache = WorkerCache(self._encode)
-
-    @staticmethod
-    def _pattern(pre: dict) -> str | None:
-        """What splits the text: the byte-level pre-tokenizer's own pattern, or that of a split before it."""
-        if pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
-            from public_tokenizers import PATTERN
-
-            return PATTERN
-        if pre["type"] == "Sequence" and [p["type"] for p in pre["pretokenizers"]] == ["Split", "ByteLevel"]:
-            split, level = pre["pretokenizers"]
-            if split["behavior"] == "Removed" and split["invert"] and not level["use_regex"] and not level["add_prefix_space"]:
-                return split["pattern"].get("Regex")
-        return None
+        self.spec, self.dtype = spec, dtype
+        self._whole = None
+        if spec.patterns:
+            self.split = splitter(spec.patterns)
+            self.piece = Tokenizer.from_str(spec.piece)
+            self.cut = re.compile("(" + "|".join(re.escape(s) for s, _ in spec.special) + ")").split if spec.special else lambda t: [t]
+            special = {s: self._value([i]) for s, i in spec.special}
+            self.cache = WorkerCache(self._encode, (pinned or {}) | special)
+            if spec.marked and dtype:
+                suffix = json.loads(spec.piece)["model"]["end_of_word_suffix"]
+                vocab = self.piece.get_vocab()
+                self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+                self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    @property
+    def whole(self):
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_str(self.spec.source)
+        return self._whole
+
+    def _value(self, ids: list[int]) -> object:
+        return np.array(ids, dtype=self.dtype).tobytes() if self.dtype else len(ids)
 
     def _encode(self, pieces: list[str]) -> list:
-        return [self.value(e.ids) for e in self.piece.encode_batch(pieces, add_special_tokens=False)]
+        if not self.dtype:
+            return [len(e) for e in self.piece.encode_batch_fast(pieces, add_special_tokens=False)]
+        if not self.spec.marked:
+            return [self._value(e.ids) for e in self.piece.encode_batch_fast(pieces, add_special_tokens=False)]
+        out, width = [], np.dtype(self.dtype).itemsize
+        lines = [" ".join(pieces[at : at + 1000]) for at in range(0, len(pieces), 1000)]  # words, parted by their end marks
+        for e in self.piece.encode_batch_fast(lines, add_special_tokens=False):
+            ids = np.array(e.ids, dtype=self.dtype)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * width).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
 
     def _folded(self, text: str) -> str:
-        if not self.folds:
+        if not self.spec.folds:
             return text
         try:
             text.encode("latin-1")
@@ -172,22 +245,13 @@ class JsonTokenizer:
 
     def pieces(self, text: str) -> list[str]:
         """The text's pre-tokens, its special strings among them."""
-        out = []
-        for i, part in enumerate(self.cut(text)):
-            if i % 2:
-                out.append(part)
-            else:
-                out += self.split(self._folded(part))
-        return out
-
-    def values(self, texts: list[str], first: dict | None = None) -> Iterator[list]:
-        """For each text, the values of its pre-tokens in order; ``first``: values that are known already."""
-        if not self.cached:
-            for e in self.whole.encode_batch(texts, add_special_tokens=False):
-                yield [self.value(e.ids)]
-            return
-        split = [self.pieces(t) for t in texts]
-        known = first or self.special
-        found = self.cache.of(split, known)
-        for p in split:
-            yield [known[w] if w in known else found[w] for w in p]
+        parts = self.cut(text)
+        if len(parts) == 1:
+            return self.split(self._folded(text))
+        return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.split(self._folded(part)))]
+
+    def values(self, texts: list[str]) -> Iterator[list]:
+        """For each text, the values of its pre-tokens in order."""
+        if not self.spec.patterns:
+            return ([self._value(e.ids)] for e in self.whole.encode_batch(texts, add_special_tokens=False))
+        return self.cache.values([self.pieces(t) for t in texts])

@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampfold.llm.common import merge_in_tree, whole_text
-from ampfold.llm.pretokens import JsonTokenizer, slices
+from ampfold.llm.pretokens import JsonSpec, JsonTokenizer, read_spec, slices
 
 #: Entries of the broadcast table of frequent pre-tokens, and of every summary on the way to it.
 FREQUENT = 16_384
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(source: str) -> JsonTokenizer:
-    return JsonTokenizer(source, value=len, specials_value=lambda _: 1)
+def _tokenizer(spec: JsonSpec, packed: tuple[bytes, bytes, bytes] | None = None) -> JsonTokenizer:
+    return JsonTokenizer(spec, pinned=_unpacked(*packed) if packed else None)
 
 
 def prune(counts: Counter, most: int) -> Counter:
@@ -35,12 +35,12 @@ def prune(counts: Counter, most: int) -> Counter:
     return Counter({w: n - least for w, n in ranked[:-1] if n > least})
 
 
-def frequent_pretokens(docs: DataFrame, source: str, text_col: str = "text", most: int = FREQUENT) -> list[str]:
+def frequent_pretokens(docs: DataFrame, spec: JsonSpec, text_col: str = "text", most: int = FREQUENT) -> list[str]:
     """The frequent pre-tokens of all texts, by one bounded summary per partition, merged in a tree.
 
     What moves are the summaries, of at most ``most`` entries each, one for each partition.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(source)
+    shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def summary(counts: Counter, part: int) -> pa.RecordBatch:
         counts = prune(counts, most)
@@ -68,7 +68,7 @@ def frequent_pretokens(docs: DataFrame, source: str, text_col: str = "text", mos
             counts = prune(counts, most)
         return pa.Table.from_batches([summary(counts, part)])
 
-    if not _tokenizer(source).cached:
+    if not spec.patterns:
         return []
     schema = "part long, words array<string>, counts array<long>"
     texts = docs.select(whole_text(text_col))
@@ -83,7 +83,6 @@ def pack_lengths(words: list[str], lengths: list[int]) -> tuple[bytes, bytes, by
     return b"".join(data), np.cumsum([len(d) for d in data], dtype=np.uint32).tobytes(), np.array(lengths, dtype=np.uint16).tobytes()
 
 
-@lru_cache(maxsize=2)
 def _unpacked(words: bytes, ends: bytes, lengths: bytes) -> dict[str, int]:
     stops = np.frombuffer(ends, dtype=np.uint32).tolist()
     return {
@@ -104,21 +103,20 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", to: str = "
     Defined cases: a null or empty text has 0 tokens; a text of any length is taken whole; a pre-token of
     more than 65,535 tokens is left to tier two; a column called as the new one is replaced.
     """
-    with open(path, encoding="utf-8") as f:
-        source = f.read()
-    tokenizer = _tokenizer(source)
-    words = frequent_pretokens(docs, source, text_col, frequent)
-    lengths = [v[0] for v in tokenizer.values(words)] if words else []
-    special = tokenizer.special
-    table = [(w, n) for w, n in zip(words, lengths, strict=True) if w not in special and n < 1 << 16] + list(special.items())
+    spec = read_spec(path)
+    words = frequent_pretokens(docs, spec, text_col, frequent)
+    special = {w for w, _ in spec.special}
+    words = [w for w in words if w not in special]
+    lengths = [v[0] for v in JsonTokenizer(spec).cache.values([[w] for w in words])] if words else []
+    table = [(w, n) for w, n in zip(words, lengths, strict=True) if n < 1 << 16]
     sc = docs.sparkSession.sparkContext
-    shared, packed = sc.broadcast(source), sc.broadcast(pack_lengths([w for w, _ in table], [n for _, n in table]))
+    shared = sc.broadcast((spec, pack_lengths([w for w, _ in table], [n for _, n in table])))
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokenizer, first = _tokenizer(shared.value), _unpacked(*packed.value)
+        tokenizer = _tokenizer(*shared.value)
         for batch in batches:
             for texts in slices(batch):
-                yield pa.array([sum(v) for v in tokenizer.values(texts, first)], type=pa.int64())
+                yield pa.array([sum(v) for v in tokenizer.values(texts)], type=pa.int64())
 
     return docs.withColumn(to, count(whole_text(text_col)))

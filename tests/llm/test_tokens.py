@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ampfold.llm import bpe, token_counts
-from ampfold.llm.pretokens import JsonTokenizer, splitter, tiktoken_class, tokenizers_class
+from ampfold.llm.pretokens import JsonTokenizer, WorkerCache, patterns, read_spec, splitter, tiktoken_class
 from ampfold.llm.queries import QUERIES
 from tests.conftest import SF_SMALL
 
@@ -39,7 +39,7 @@ def ids_of(merger, pieces):
 
 def test_segment_tree_equals_library(library):
     merger = bpe.Merger(bpe.read_ranks(open(RANKS, "rb").read()))
-    split = splitter(P.PATTERN, tiktoken_class)
+    split = splitter(patterns(P.PATTERN, tiktoken_class))
     texts = ODD + fuzz()
     for t in texts:
         ids = ids_of(merger, split(t))
@@ -52,7 +52,7 @@ def test_segment_tree_equals_library(library):
 
 
 def test_every_character_is_split_as_the_library_does(library):
-    split = splitter(P.PATTERN, tiktoken_class)
+    split = splitter(patterns(P.PATTERN, tiktoken_class))
     text = "".join(chr(c) + ("x" if c % 3 else " 7") for c in range(0x20, 0x3100) if c % 5 == 0 or 0x500 < c < 0x600)
     assert "".join(split(text)) == text
     merger = bpe.Merger(library._mergeable_ranks)
@@ -83,13 +83,21 @@ def test_query_over_the_whole_table(spark, library):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_cached_pieces_equal_the_library(name):
-    source = open(P.path(name), encoding="utf-8").read()
-    own, lib = JsonTokenizer(source, tuple, lambda i: (i,)), Tokenizer.from_str(source)
-    assert own.cached
+    spec, lib = read_spec(P.path(name)), Tokenizer.from_file(P.path(name))
+    assert spec.patterns
+    own, counts = JsonTokenizer(spec, "<u4"), JsonTokenizer(spec)
     texts = ODD + fuzz()
-    for t, values in zip(texts, own.values(texts), strict=True):
-        assert [i for v in values for i in v] == lib.encode(t, add_special_tokens=False).ids, t[:50]
-    tokenizers_class(r"\s")
+    for t, values, n in zip(texts, own.values(texts), counts.values(texts), strict=True):
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(values), dtype="<u4").tolist() == ids, t[:50]
+        assert sum(n) == len(ids)
+
+
+def test_worker_cache_is_bounded_and_right():
+    cache = WorkerCache(lambda words: [len(w) for w in words], pinned={"pin": 99}, limit=5)
+    for part in (["a", "bb", "pin"], ["ccc"] * 4, list("defghi"), ["a", "pin"]):
+        assert list(cache.values([part, []])) == [[99 if w == "pin" else len(w) for w in part], []]
+        assert len(cache.known) <= 5 + 3
 
 
 def test_token_counts_on_spark(spark):
@@ -104,7 +112,7 @@ def test_token_counts_on_spark(spark):
 
 
 def test_summaries_keep_heavy_hitters(spark):
-    source = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    source = read_spec(P.path("byte_bpe_50k.json"))
     df = spark.range(600).select(F.concat(F.lit("heavy heavy w"), F.col("id").cast("string")).alias("text")).repartition(7)
     assert " heavy" in token_counts.frequent_pretokens(df, source, most=8)
 
