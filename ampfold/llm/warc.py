@@ -26,7 +26,10 @@ BREAKS = (
 TAGS = r"<[a-zA-Z/!?][^>]*>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 LINK = r"(?i)<a\s[^>]*?href=\"([^\"]*)\""
-NUMERIC = r"&#(x[0-9a-fA-F]{1,6}|[0-9]{1,7});"
+NUMERIC = r"^#(?:x[0-9a-fA-F]{1,6}|[0-9]{1,7})$"
+# Runs of blanks that are not one space, and line ends with the blanks and line ends about them.
+BLANKS = r" [ \t\r\f\x{a0}]+|[\t\r\f\x{a0}][ \t\r\f\x{a0}]*"
+LINE_ENDS = r" ?\n[ \n]*"
 
 
 def sha1_base32(data: Column) -> Column:
@@ -43,24 +46,26 @@ def uuid_of(*parts: Column) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    """Character references resolved: numeric ones (none of the character set: U+FFFD), then named ones."""
-    def character(n: Column) -> Column:
-        number = F.when(n.startswith("x"), F.conv(F.substring(n, F.lit(2), F.length(n)), 16, 10)).otherwise(n).cast("long")
+    """Character references resolved, each once, from the left: named ones, and numeric ones (none of the
+    character set: U+FFFD). What is no known reference stays as it is."""
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def resolved(part: Column, i: Column) -> Column:  # what follows an ampersand
+        name = F.substring_index(part, ";", 1)
+        digits = F.substring(name, F.lit(2), F.length(name))
+        number = F.when(digits.startswith("x"), F.conv(F.substring(digits, F.lit(2), F.length(digits)), 16, 10)).otherwise(digits).cast("long")
         valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("�")
+        numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        value = F.when(name.rlike(NUMERIC), numeric).otherwise(F.try_element_at(named, name))
+        rest = F.substring(part, F.length(name) + 2, F.length(part))
+        return F.when(i == 0, part).when(part.contains(";") & value.isNotNull(), F.concat(value, rest)).otherwise(F.concat(F.lit("&"), part))
 
-    between = F.split(text, NUMERIC.replace("(", "(?:"))
-    numbers = F.concat(F.transform(F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(1)), character), F.array(F.lit("")))
-    text = F.when(text.contains("&#"), F.array_join(F.zip_with(between, numbers, lambda a, b: F.concat(a, b)), "")).otherwise(text)
-    for name, value in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(value))
-    return text
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), resolved), "")).otherwise(text)
 
 
 def tidy(text: Column) -> Column:
-    """Runs of blanks as one blank, blank lines left out, nothing at the ends."""
-    text = F.regexp_replace(text, r"[ \t\r\f\x{a0}]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^\n|\n$", ""))
+    """Runs of blanks as one space, blank lines left out, nothing at the ends."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, BLANKS, " "), LINE_ENDS, "\n"), F.lit(" \n"))
 
 
 def plain_text(html: Column) -> Column:

@@ -1,6 +1,6 @@
 """DuckDB twin of the WARC query."""
 
-from ampfold.llm.warc import BASE32, BREAKS, ENTITIES, HIDDEN, LINK, NUMERIC, TAGS, TITLE
+from ampfold.llm.warc import BASE32, BLANKS, BREAKS, ENTITIES, HIDDEN, LINE_ENDS, LINK, NUMERIC, TAGS, TITLE
 
 CRLF = "chr(13) || chr(10)"
 
@@ -21,20 +21,19 @@ def _uuid(*parts: str) -> str:
 
 
 def _unescaped(text: str) -> str:
-    number = "CASE WHEN n[1] = 'x' THEN ('0x' || n[2:])::BIGINT ELSE n::BIGINT END"
+    name = "split_part(p, ';', 1)"
+    number = f"CASE WHEN {name}[2] = 'x' THEN TRY_CAST('0x' || {name}[3:] AS BIGINT) ELSE TRY_CAST({name}[2:] AS BIGINT) END"
     valid = f"({number}) BETWEEN 1 AND 1114111 AND ({number}) NOT BETWEEN 55296 AND 57343"
-    char = f"CASE WHEN {valid} THEN chr(({number})::INT) ELSE chr(65533) END"
-    parts = f"string_split_regex({text}, {_quoted(NUMERIC.replace('(', '(?:'))})"
-    numbers = f"list_append(list_transform(regexp_extract_all({text}, {_quoted(NUMERIC)}, 1), lambda n: {char}), '')"
-    text = f"CASE WHEN contains({text}, '&#') THEN array_to_string(list_transform(list_zip({parts}, {numbers}), lambda z: z[1] || z[2]), '') ELSE {text} END"
-    for name, value in ENTITIES.items():
-        text = f"replace({text}, '&{name};', {_quoted(value)})"
-    return text
+    numeric = f"CASE WHEN {valid} THEN chr(CAST({number} AS INT)) ELSE chr(65533) END"
+    named = "MAP {" + ", ".join(f"'{k}': {_quoted(v)}" for k, v in ENTITIES.items()) + "}"
+    value = f"CASE WHEN regexp_matches({name}, {_quoted(NUMERIC)}) THEN {numeric} ELSE {named}[{name}] END"
+    resolved = (f"CASE WHEN i = 1 THEN p WHEN contains(p, ';') AND ({value}) IS NOT NULL THEN ({value}) || substr(p, length({name}) + 2) "
+                f"ELSE '&' || p END")
+    return f"array_to_string(list_transform(string_split({text}, '&'), lambda p, i: {resolved}), '')"
 
 
 def _tidy(text: str) -> str:
-    text = f"regexp_replace({text}, '[ \\t\\r\\f\\x{{a0}}]+', ' ', 'g')"
-    return f"trim(regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^\\n|\\n$', '', 'g'))"
+    return f"trim(regexp_replace(regexp_replace({text}, {_quoted(BLANKS)}, ' ', 'g'), {_quoted(LINE_ENDS)}, chr(10), 'g'), ' ' || chr(10))"
 
 
 def _line(name: str, value: str) -> str:
