@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ampfold.llm.common import whole_text
 from ampfold.llm.pretokens import JsonSpec, JsonTokenizer, read_spec, slices
-from ampfold.session import scratch_path
+from ampfold.session import checkpoint_dir, scratch_path
 
 #: Proportions are whole parts of this.
 PARTS = 1 << 16
@@ -142,9 +142,9 @@ def _tokenizer(spec: JsonSpec, dtype: str) -> JsonTokenizer:
 
 def _queues(docs: DataFrame, most: int) -> tuple[DataFrame, list]:
     """Documents with their queue number, and the sources that have a queue of their own (at most ``most``)."""
-    size = F.sum(F.octet_length("_text") + 1)
-    sizes = docs.groupBy("_source").agg(size.alias("size"))
-    total = docs.agg(size.alias("size")).first()["size"] or 0
+    checkpoint_dir(docs.sparkSession)
+    sizes = docs.groupBy("_source").agg(F.sum(F.octet_length("_text") + 1).alias("size")).checkpoint()
+    total = sizes.agg(F.sum("size").alias("size")).first()["size"] or 0
     large = sizes.where(F.col("size") * most >= F.lit(total)).orderBy("_source").collect()
     sources = [r["_source"] for r in large]
     names = docs.sparkSession.createDataFrame([(s, i) for i, s in enumerate(sources)], docs.select("_source").schema.add("_queue", "integer"))

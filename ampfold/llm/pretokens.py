@@ -104,24 +104,29 @@ def splitter(given: Patterns) -> Callable[[str], list[str]]:
 
 
 class WorkerCache:
-    """Values by pre-token. Those not known yet are encoded many at a time; over ``limit`` entries only the
-    ``pinned`` ones and those of the latest texts stay, which affects the speed alone."""
+    """Values by pre-token. Those not known yet are encoded many at a time. Beyond ``limit`` entries a new
+    generation begins; what it does not take from the last one is forgotten with that, which affects the speed
+    alone. The ``pinned`` entries stay."""
 
-    def __init__(self, encode: Callable[[list[str]], list], pinned: dict | None = None, limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list], pinned: dict | None = None, limit: int = 250_000):
         self.encode, self.limit, self.pinned = encode, limit, pinned or {}
-        self.known = dict(self.pinned)
+        self.known, self.last = dict(self.pinned), {}
 
     def values(self, pieces: list[list[str]]) -> Iterator[list]:
         """The values of each list of pieces."""
         flat = list(chain.from_iterable(pieces))
         values = list(map(self.known.get, flat))
         if None in values:
-            missing = list({w for w, v in zip(flat, values, strict=True) if v is None})
-            new = dict(zip(missing, self.encode(missing), strict=True))
-            values = [new[w] if v is None else v for w, v in zip(flat, values, strict=True)]
-            self.known.update(new)
-            if len(self.known) > self.limit:
-                self.known = self.pinned | dict(zip(flat, values, strict=True))
+            open_ = [i for i, v in enumerate(values) if v is None]
+            words = {flat[i] for i in open_}
+            found = {w: self.last[w] for w in words if w in self.last}
+            missing = [w for w in words if w not in found]
+            found.update(zip(missing, self.encode(missing), strict=True))
+            for i in open_:
+                values[i] = found[flat[i]]
+            if len(self.known) + len(found) > self.limit:
+                self.known, self.last = dict(self.pinned), self.known
+            self.known.update(found)
         at = 0
         for part in pieces:
             yield values[at : at + len(part)]
