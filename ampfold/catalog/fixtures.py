@@ -14,6 +14,11 @@ Headers differ on purpose: ``click`` sessions are written with the columns rever
 sessions without ``max_temperature``. ``error`` sessions therefore have no voltage or dQ/dV
 readings at all (fewer than two pairs, all-missing dQ/dV).
 
+Every user has one more session file, of the kind ``user_id % 8``, as a tree in the field has them: without data
+rows (0; with a header of over 64 KiB: 7), with a row of more cells than the header (1), with text among the
+numbers (2), with a cell over two lines (3), with text in the capacities and no dQ/dV (4), with a Latin-1 cell (5);
+kind 6 has none.
+
 Cycle tree (``events``): one file per user (battery), rows in time order, 15 numeric columns
 plus a text column at the end; users whose first event is an error get a 14-column file.
 """
@@ -24,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampfold.catalog.tables import signals
+from ampfold.operators.sessions import SessionTree
 from ampfold.session import scratch_path
 from ampfold.sinks.writers import write_session_tree
 from ampfold.sources.session_csv import (CAPACITY, CURRENT, DQDV, DURATION, SESSION_COLUMNS, TEMPERATURE,
                                          VOLTAGE)
 
 _CACHE: dict[tuple, str] = {}
+_OPEN: dict[tuple, SessionTree] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str, kind: str) -> tuple:
@@ -53,6 +60,41 @@ def session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _header(columns) -> str:
+    return ",".join(columns)
+
+
+_NO_DQDV = [c for c in SESSION_COLUMNS if c != DQDV]
+#: The lines of each kind of odd session file; the columns are in the order of SESSION_COLUMNS.
+ODD_FILES = {
+    0: ("header", [_header(SESSION_COLUMNS)]),
+    1: ("ragged", [_header(SESSION_COLUMNS), "1,10,5,20,7,1", "2,30,5,21,7,3,99"]),
+    2: ("text", [_header(SESSION_COLUMNS), "1,10,abc,20,7,1", "2,30,5,21,7,3"]),
+    3: ("lines", [_header([*SESSION_COLUMNS, "note"]), '1,10,5,20,7,1,"two', 'lines"', "2,30,5,21,7,3,one"]),
+    4: ("capacity", [_header(_NO_DQDV), "x,10,5,20,7", "2,30,5,20,7"]),
+    5: ("latin", [_header([*SESSION_COLUMNS, "note"]), "1,10,5,20,7,1,caf\u00e9", "2,30,5,21,7,3,b"]),
+    7: ("wide", [_header([*SESSION_COLUMNS, "x" * 70_000])]),
+}
+
+
+def write_odd_sessions(spark: SparkSession, sf_dir: str, root: str) -> None:
+    users = signals(spark, sf_dir).select(F.col("user_id").alias("vehicle")).distinct().repartition("vehicle")
+    for kind, (name, lines) in ODD_FILES.items():
+        rows = users.where(F.pmod("vehicle", F.lit(8)) == kind)
+        rows = rows.withColumn("session", F.lit(f"20200101_00000{kind}_{name}"))
+        rows = rows.select("*", F.posexplode(F.array(*map(F.lit, lines))).alias("_n", "line")).sortWithinPartitions("vehicle", "_n").drop("_n")
+        (rows.write.mode("append").partitionBy("vehicle", "session").option("sep", "\u0001").option("quote", "\u0000")
+         .option("encoding", "ISO-8859-1" if name == "latin" else "UTF-8").csv(root))
+
+
+def open_sessions(spark: SparkSession, sf_dir: str) -> SessionTree:
+    """The session tree, read and staged once per application."""
+    key = _key(spark, sf_dir, "open")
+    if key not in _OPEN:
+        _OPEN[key] = SessionTree(spark, session_tree(spark, sf_dir))
+    return _OPEN[key]
+
+
 def session_tree(spark: SparkSession, sf_dir: str) -> str:
     key = _key(spark, sf_dir, "sessions")
     if key in _CACHE:
@@ -66,6 +108,7 @@ def session_tree(spark: SparkSession, sf_dir: str) -> str:
     write_session_tree(rows.where(kind == "view"), root, "vehicle", "session", order,
                        [c for c in normal if c != TEMPERATURE])
     write_session_tree(rows.where(~kind.isin("click", "view")), root, "vehicle", "session", order, normal)
+    write_odd_sessions(spark, sf_dir, root)
     _CACHE[key] = root
     return root
 

@@ -22,12 +22,9 @@ def SESSION_OF():  # noqa: N802
     return F.regexp_extract("session_file", r"/(session=[^/]+)/[^/]+$", 1)
 
 
-def _rows(spark, sf_dir):
-    return session_csv.read_sessions(spark, fixtures.session_tree(spark, sf_dir))
-
-
 def _features(spark, sf_dir, extractors=()):
-    return ses.session_features(_rows(spark, sf_dir), extractors).withColumn("session", SESSION_OF())
+    found = fixtures.open_sessions(spark, sf_dir).features(extractors)
+    return ses.valid_sessions(found).withColumn("session", SESSION_OF())
 
 
 def _r(e: str) -> str:
@@ -46,6 +43,33 @@ RAW_SQL = f"""(SELECT user_id, event_type, ts, event_id,
    FROM {SIGNALS_SQL})"""
 
 
+# The odd session files of the fixture: their rows as read, and the features of those without rows or fits.
+_ODD_USERS = "(SELECT DISTINCT user_id FROM events)"
+
+
+def _odd(kind: int) -> str:
+    return f"20200101_00000{kind}_{fixtures.ODD_FILES[kind][0]}"
+
+
+ODD_NAMES_SQL = " UNION ALL ".join(
+    f"SELECT 'vehicle=' || CAST(user_id AS VARCHAR) AS vehicle, 'session={_odd(k)}' AS session, {k} AS kind, "
+    f"TIMESTAMP '2020-01-01 00:00:0{k}' AS st FROM {_ODD_USERS} WHERE user_id % 8 = {k}" for k in fixtures.ODD_FILES)
+_N = "CAST(NULL AS DOUBLE)"
+ODD_ROWS_SQL = " UNION ALL ".join(
+    f"SELECT vehicle, session, {cap} AS cap, {volt}.0 AS volt, {cur} AS cur, {temp}.0 AS temp, 7.0 AS dur, {q} AS q FROM ({ODD_NAMES_SQL}) WHERE kind = {kind}"
+    for kind, cap, volt, cur, temp, q in (
+        (1, "1.0", 10, "5.0", 20, "1.0"), (1, "2.0", 30, "5.0", 21, "3.0"), (2, "1.0", 10, _N, 20, "1.0"), (2, "2.0", 30, "5.0", 21, "3.0"),
+        (3, "1.0", 10, "5.0", 20, "1.0"), (3, "2.0", 30, "5.0", 21, "3.0"), (5, "1.0", 10, "5.0", 20, "1.0"), (5, "2.0", 30, "5.0", 21, "3.0"),
+        (4, _N, 10, "5.0", 20, _N), (4, "2.0", 30, "5.0", 20, _N)))
+_NL = "CAST(NULL AS BIGINT)"
+_EMPTY = f"0, TRUE, 0.0, 0.0, {_N}, 0, {_N}, 0, 0, {_N}, 0, 0.0, {_N}, {_N}, {_N}, {_N}, {_N}"
+_FULL = "2, FALSE, 20.0, 1.0, 20.0, 1, 5.0, 0, 2, 20.0, 1, 0.0, 7.0, 3.0, 2.0, 2.0, 2.0"
+_NO_FIT = f"2, FALSE, 0.0, 0.0, 20.0, 1, 5.0, 0, 1, 20.0, 0, 0.0, 7.0, {_N}, {_N}, {_N}, {_N}"
+ODD_FEATURES_SQL = " UNION ALL ".join(
+    f"SELECT vehicle, session, strftime(st, '%Y-%m-%d %H:%M:%S'), st, {values} FROM ({ODD_NAMES_SQL}) WHERE kind = {kind}"
+    for kind, values in ((0, _EMPTY), (7, _EMPTY), (3, _FULL), (5, _FULL), (4, _NO_FIT)))
+
+
 def _slope(y, x):
     return f"CASE WHEN regr_count({y},{x}) < 2 THEN 0.0 WHEN regr_sxx({y},{x}) = 0 THEN 0.0 ELSE regr_slope({y},{x}) END"
 
@@ -113,7 +137,8 @@ SELECT b.vehicle, b.session, strftime(b.st, '%Y-%m-%d %H:%M:%S') AS session_time
 FROM base b
 LEFT JOIN jumps j USING (vehicle, session) LEFT JOIN peak p USING (vehicle, session)
 LEFT JOIN mc USING (vehicle, session) LEFT JOIN mt USING (vehicle, session)
-LEFT JOIN area a USING (vehicle, session) LEFT JOIN parea pa USING (vehicle, session))"""
+LEFT JOIN area a USING (vehicle, session) LEFT JOIN parea pa USING (vehicle, session)
+UNION ALL {ODD_FEATURES_SQL})"""
 
 FEATURE_COLS = ["vehicle", "session", "session_time", "n_rows", *ses.FEATURES]
 
@@ -121,7 +146,6 @@ FEATURE_COLS = ["vehicle", "session", "session_time", "n_rows", *ses.FEATURES]
 @register("session_features", sql=FEATURES_SQL + f"\nSELECT {', '.join(FEATURE_COLS)} FROM features")
 def q_session_features(spark, sf_dir):
     f = _features(spark, sf_dir).withColumn("session_time", report_datetime("session_ts"))
-    f = ses.valid_sessions(f)
     dbl = [c for c in ses.FEATURES if c not in ses.LONG_FEATURES]
     return rounded(f.select(*FEATURE_COLS), dbl)
 
@@ -138,12 +162,26 @@ def q_missing_column_rules(spark, sf_dir):
     return rounded(f.select(*MISSING_COLS), [ses.F_T_MODE, ses.F_V_SLOPE, ses.F_V_R2, ses.F_V_MEAN])
 
 
-@register("session_timeline", sql=FEATURES_SQL + """
+_ALL_SESSIONS = f"(SELECT vehicle, session, st FROM ({ODD_NAMES_SQL}) UNION SELECT DISTINCT vehicle, session, st FROM raw)"
+
+
+@register("session_timeline", sql=f"""
+WITH raw AS {RAW_SQL}
 SELECT vehicle, session, CAST(row_number() OVER (PARTITION BY vehicle ORDER BY st, session) - 1 AS BIGINT) AS position
-FROM features""")
+FROM {_ALL_SESSIONS}""")
 def q_session_timeline(spark, sf_dir):
-    f = _features(spark, sf_dir)
-    return ses.session_timeline(f).select("vehicle", "session", "position")
+    """All session files in time order, from their paths alone."""
+    files = fixtures.open_sessions(spark, sf_dir).sessions().withColumn("session", SESSION_OF())
+    return ses.session_timeline(files).select("vehicle", "session", "position")
+
+
+@register("feature_timeline", sql=FEATURES_SQL + f"""
+SELECT vehicle, session, CAST(row_number() OVER (PARTITION BY vehicle ORDER BY st, session) - 1 AS BIGINT) AS position,
+       {', '.join(ses.FEATURES)} FROM features""")
+def q_feature_timeline(spark, sf_dir):
+    """The usable sessions in time order with all their features."""
+    f = ses.session_timeline(_features(spark, sf_dir))
+    return rounded(f.select("vehicle", "session", "position", *ses.FEATURES), [c for c in ses.FEATURES if c not in ses.LONG_FEATURES])
 
 
 @register("run_summary", sql=FEATURES_SQL + f"""
@@ -152,27 +190,27 @@ SELECT vehicle, CAST(count(*) AS BIGINT) AS n_files, CAST(count(DISTINCT vehicle
        strftime(min(st), '%Y-%m-%d %H:%M:%S') AS first_time, strftime(max(st), '%Y-%m-%d %H:%M:%S') AS last_time
 FROM features GROUP BY ROLLUP (vehicle)""")
 def q_run_summary(spark, sf_dir):
-    return ses.run_summary(ses.valid_sessions(_features(spark, sf_dir)))
+    return ses.run_summary(_features(spark, sf_dir))
 
 
-@register("rejected_files", sql=FEATURES_SQL + """
-SELECT vehicle, session, 'dqdv_all_missing' AS reason, 'warn' AS severity FROM features WHERE dqdv_all_missing""")
+@register("rejected_files", sql=FEATURES_SQL + f"""
+SELECT vehicle, session, 'dqdv_all_missing' AS reason, 'warn' AS severity FROM features WHERE dqdv_all_missing
+UNION ALL SELECT vehicle, session, CASE kind WHEN 1 THEN 'ragged' ELSE 'non_numeric' END, 'error' FROM ({ODD_NAMES_SQL}) WHERE kind IN (1, 2)""")
 def q_rejected_files(spark, sf_dir):
-    f = _features(spark, sf_dir)
-    rej = ses.rejected_sessions(f)
+    rej = fixtures.open_sessions(spark, sf_dir).rejected()
     return rej.select(F.regexp_extract("path", r"/(vehicle=[^/]+)/", 1).alias("vehicle"),
                       F.regexp_extract("path", r"/(session=[^/]+)/[^/]+$", 1).alias("session"), "reason", "severity")
 
 
 @register("session_scan", sql=f"""
-WITH raw AS {RAW_SQL}
+WITH raw AS (SELECT vehicle, session, cap, volt, cur, temp, dur, q FROM {RAW_SQL} UNION ALL {ODD_ROWS_SQL})
 SELECT vehicle, session, CAST(count(*) AS BIGINT) AS n_rows,
        {_r('sum(cap)')} AS cap_sum, CAST(count(volt) AS BIGINT) AS volt_n, {_r('sum(volt)')} AS volt_sum,
        {_r('sum(cur)')} AS cur_sum, CAST(count(temp) AS BIGINT) AS temp_n, {_r('sum(temp)')} AS temp_sum,
        {_r('sum(dur)')} AS dur_sum, CAST(count(q) AS BIGINT) AS q_n, {_r('sum(q)')} AS q_sum
 FROM raw GROUP BY vehicle, session""")
 def q_session_scan(spark, sf_dir):
-    r = _rows(spark, sf_dir)
+    r = fixtures.open_sessions(spark, sf_dir).rows
     out = r.groupBy("session_file", "_root").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(CAPACITY).alias("cap_sum"),
         F.count(VOLTAGE).alias("volt_n"), F.sum(VOLTAGE).alias("volt_sum"), F.sum(CURRENT).alias("cur_sum"),
@@ -185,6 +223,7 @@ def q_session_scan(spark, sf_dir):
 
 _HEADER = ",".join(session_csv.SESSION_COLUMNS)
 _HEADER_REV = ",".join(reversed(session_csv.SESSION_COLUMNS))
+_HEADER_ODD = ",".join(c for c in session_csv.SESSION_COLUMNS if c != DQDV)
 _HEADER_VIEW = ",".join(c for c in session_csv.SESSION_COLUMNS if c != TEMPERATURE)
 
 
@@ -194,16 +233,21 @@ SELECT vehicle, session,
        CAST(CASE WHEN min(event_type) = 'view' THEN 5 ELSE 6 END AS INTEGER) AS n_cols,
        CAST(count(*) AS BIGINT) AS n_rows,
        CASE min(event_type) WHEN 'click' THEN '{_HEADER_REV}' WHEN 'view' THEN '{_HEADER_VIEW}' ELSE '{_HEADER}' END AS header
-FROM raw GROUP BY vehicle, session""")
+FROM raw GROUP BY vehicle, session
+UNION ALL SELECT vehicle, session, CASE kind WHEN 4 THEN 5 WHEN 0 THEN 6 WHEN 1 THEN 6 WHEN 2 THEN 6 ELSE 7 END,
+       CASE kind WHEN 0 THEN 0 WHEN 7 THEN 0 WHEN 3 THEN 3 ELSE 2 END,
+       CASE kind WHEN 4 THEN '{_HEADER_ODD}' WHEN 3 THEN '{_HEADER},note' WHEN 5 THEN '{_HEADER},note' WHEN 7 THEN '{_HEADER},' || repeat('x', 70000)
+       ELSE '{_HEADER}' END FROM ({ODD_NAMES_SQL})""")
 def q_file_profile(spark, sf_dir):
-    p = session_csv.file_profile(spark, fixtures.session_tree(spark, sf_dir))
+    p = fixtures.open_sessions(spark, sf_dir).profile
     return p.select("vehicle", F.regexp_extract("file", r"/(session=[^/]+)/[^/]+$", 1).alias("session"),
                     "n_cols", "n_rows", F.array_join("columns", ",").alias("header"))
 
 
 @register("charset_profile", sql=f"""
 WITH raw AS {RAW_SQL}
-SELECT DISTINCT vehicle, session, TRUE AS utf8, 'UTF-8' AS charset FROM raw""")
+SELECT DISTINCT vehicle, session, TRUE AS utf8, 'UTF-8' AS charset FROM raw
+UNION ALL SELECT vehicle, session, kind <> 5, CASE kind WHEN 5 THEN 'ISO-8859-1' ELSE 'UTF-8' END FROM ({ODD_NAMES_SQL})""")
 def q_charset_profile(spark, sf_dir):
     root = fixtures.session_tree(spark, sf_dir)
     p = session_csv.charset_profile(spark, root)
@@ -212,21 +256,21 @@ def q_charset_profile(spark, sf_dir):
 
 
 @register("custom_extractor", sql=f"""
-WITH raw AS {RAW_SQL}
-SELECT vehicle, session, {_r('max(volt) - min(volt)')} AS voltage_range, {_r('median(q)')} AS dqdv_median
-FROM raw GROUP BY vehicle, session""")
+WITH raw AS (SELECT vehicle, session, volt, q FROM {RAW_SQL} UNION ALL SELECT vehicle, session, volt, q FROM ({ODD_ROWS_SQL}))
+SELECT vehicle, session, {_r('max(volt) - min(volt)')} AS voltage_range, {_r('median(q)')} AS dqdv_median, {_r('median(q)')} AS shared
+FROM raw WHERE session NOT LIKE '%_ragged' AND session NOT LIKE '%_text' GROUP BY vehicle, session
+UNION ALL SELECT vehicle, session, NULL, NULL, NULL FROM ({ODD_NAMES_SQL}) WHERE kind IN (0, 7)""")
 def q_custom_extractor(spark, sf_dir):
     def dqdv_median(pdf):
-        return pdf[DQDV].median()
+        return {"dqdv_median": pdf[DQDV].median(), "shared": pdf[DQDV].median()}
 
-    extractors = [
-        ses.ColumnExtractor("voltage_range", lambda: F.max(VOLTAGE) - F.min(VOLTAGE)),
+    extractors = [  # both kinds give ``shared``: the last wins
+        ses.ColumnExtractor("voltage_range", lambda: {"voltage_range": F.max(VOLTAGE) - F.min(VOLTAGE), "shared": F.max(VOLTAGE)}),
         ses.PandasExtractor("dqdv_median", dqdv_median, columns=(DQDV,)),
     ]
     f = _features(spark, sf_dir, extractors)
-    out = f.select("vehicle", "session", F.col("custom")["voltage_range"].alias("voltage_range"),
-                   F.col("custom")["dqdv_median"].alias("dqdv_median"))
-    return rounded(out, ["voltage_range", "dqdv_median"])
+    out = f.select("vehicle", "session", *[F.col("custom")[c].alias(c) for c in ("voltage_range", "dqdv_median", "shared")])
+    return rounded(out, ["voltage_range", "dqdv_median", "shared"])
 
 
 # --- datetime in paths -------------------------------------------------------------------

@@ -102,7 +102,7 @@ class RecursiveFeatureElimination(Estimator, _RFEParams, DefaultParamsReadable,
         folds = self.getOrDefault(self.folds)
         folds = folds if folds == "loo" else int(folds)
         data = with_folds(dataset, self.getOrDefault(self.idCol), folds, "_rfe_fold").persist()
-        fold_ids = list(range(data.count())) if folds == "loo" else list(range(int(folds)))
+        fold_ids = sorted(r[0] for r in data.select("_rfe_fold").distinct().collect())
 
         def run(k):
             tr = data.where(F.col("_rfe_fold") != k)

@@ -18,14 +18,17 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ampfold.functions import signals as S
-from ampfold.functions.paths import group_dir_of, path_datetime, report_datetime
+from ampfold.functions.paths import group_dir_of, path_datetime, report_datetime, root_prefix
 from ampfold.operators import signals as ops
 from ampfold.plans import ordered
+from ampfold.plans.staging import stage as _stage
+from ampfold.session import remove_scratch, scratch_path
+from ampfold.sources import session_csv
 from ampfold.sources.session_csv import (CAPACITY, CURRENT, DQDV, DURATION, ORDER, SESSION_COLUMNS,
                                          TEMPERATURE, VOLTAGE)
 
@@ -79,26 +82,28 @@ class PandasExtractor:
     columns: Sequence[str] = tuple(SESSION_COLUMNS)
 
 
+_ENTRY = "struct<v: double, i: int>"  # a custom feature's value, and the number of the extractor that gave it
+
+
 def _column_extractor_aggs(extractors) -> list[Column]:
-    out = []
-    for ex in extractors:
-        if not isinstance(ex, ColumnExtractor):
-            continue
-        res = ex.fn()
-        items = res.items() if isinstance(res, Mapping) else [(ex.name, res)]
-        for k, c in items:
-            out.append(F.struct(F.lit(k).alias("k"), c.cast("double").alias("v")).alias(f"_cx_{len(out)}"))
-    return out
+    """One aggregate per feature name; of several extractors with the name, the last."""
+    found = {}
+    for i, ex in enumerate(extractors):
+        if isinstance(ex, ColumnExtractor):
+            res = ex.fn()
+            for k, c in res.items() if isinstance(res, Mapping) else [(ex.name, res)]:
+                found[k] = F.struct(c.cast("double").alias("v"), F.lit(i).alias("i"))
+    return [F.struct(F.lit(k).alias("k"), v.alias("e")).alias(f"_cx_{n}") for n, (k, v) in enumerate(found.items())]
 
 
 def _pandas_extractor_frame(rows: DataFrame, extractors) -> DataFrame | None:
-    pex = [ex for ex in extractors if isinstance(ex, PandasExtractor)]
+    pex = [(i, ex) for i, ex in enumerate(extractors) if isinstance(ex, PandasExtractor)]
     if not pex:
         return None
-    cols = sorted({c for ex in pex for c in ex.columns})
+    cols = sorted({c for _, ex in pex for c in ex.columns})
     schema = T.StructType([
         T.StructField(KEY, T.StringType()),
-        T.StructField("_px", T.MapType(T.StringType(), T.DoubleType())),
+        T.StructField("_px", T.MapType(T.StringType(), T.StructType([T.StructField("v", T.DoubleType()), T.StructField("i", T.IntegerType())]))),
         T.StructField("extractor_errors", T.ArrayType(T.StringType())),
     ])
 
@@ -111,16 +116,14 @@ def _pandas_extractor_frame(rows: DataFrame, extractors) -> DataFrame | None:
         session = pdf[KEY].iloc[0]
         data = pdf[cols].reset_index(drop=True)
         feats, errors = {}, []
-        for ex in pex:
+        for i, ex in pex:
             try:
                 res = ex.fn(data)
-                if isinstance(res, Mapping):
-                    feats.update({str(k): (None if v is None else float(v)) for k, v in res.items()})
-                else:
-                    feats[ex.name] = None if res is None else float(res)
+                for k, v in res.items() if isinstance(res, Mapping) else [(ex.name, res)]:
+                    v = None if v is None else float(v)
+                    feats[str(k)] = {"v": None if v is None or math.isnan(v) else v, "i": i}
             except Exception as e:  # noqa: BLE001 - isolate one extractor, as documented
                 errors.append(f"{ex.name}: {type(e).__name__}: {e}")
-        feats = {k: (None if v is not None and math.isnan(v) else v) for k, v in feats.items()}
         return pd.DataFrame({KEY: [session], "_px": [feats], "extractor_errors": [errors]})
 
     return rows.select(KEY, *ORDER, *cols).groupBy(KEY).applyInPandas(run, schema)
@@ -152,7 +155,8 @@ def _order_free(rows: DataFrame, extractors) -> DataFrame:
         *keys,
         F.count(F.lit(1)).alias("n_rows"),
         *[_has(c).alias(f"has_{c}") for c in SESSION_COLUMNS],
-        F.max(_any([F.col(f"_bad_{c}") for c in SESSION_COLUMNS]).cast("int")).alias("_bad"),
+        F.max(_any([F.col(f"_bad_{c}") for c in SESSION_COLUMNS if c != CAPACITY]).cast("int")).alias("_bad"),
+        F.max(F.col(f"_bad_{CAPACITY}").cast("int")).alias("_bad_x"),
         S.fit_slope(V, X).alias(F_V_SLOPE),
         S.fit_r2(V, X).alias(F_V_R2),
         F.avg(V).alias(F_V_MEAN),
@@ -213,12 +217,11 @@ def session_features(rows: DataFrame, extractors: Sequence = (), chunk: Column |
     the same columns). ``chunk`` defaults to the file split, which is contiguous in file order.
     ``stage`` lands the parsed rows once as Parquet (shared folder) so the four branches read
     pruned columns instead of parsing the CSV tree four times. ``headers``
-    (:func:`ampfold.sources.session_csv.small_file_headers`) adds the header-only sessions.
+    (:func:`ampfold.sources.session_csv.session_headers`) adds the sessions without data rows, which give no row
+    here; :class:`SessionTree` passes it always.
     """
     chunk = F.col("_bs") if chunk is None else chunk
     if stage:
-        from ampfold.plans.staging import stage as _stage
-
         rows = _stage(rows, "session-rows")
     a = _order_free(rows, extractors)
     b = _discrete(rows, [CURRENT, TEMPERATURE]).select(
@@ -249,9 +252,11 @@ def session_features(rows: DataFrame, extractors: Sequence = (), chunk: Column |
 
     has = {c: F.col(f"has_{c}") for c in SESSION_COLUMNS}
     q_ok = has[DQDV] & (F.col("_q_count") > 0)
+    text_x = F.col("_bad_x") == 1  # text in the capacities: no fit; with a dQ/dV column the file is rejected
+    fit = lambda name: F.when(text_x, F.lit(0.0)).otherwise(F.col(name))
     feats = {
-        F_V_SLOPE: F.when(has[VOLTAGE], F.col(F_V_SLOPE)),
-        F_V_R2: F.when(has[VOLTAGE], F.col(F_V_R2)),
+        F_V_SLOPE: F.when(has[VOLTAGE], fit(F_V_SLOPE)),
+        F_V_R2: F.when(has[VOLTAGE], fit(F_V_R2)),
         F_V_MEAN: F.when(has[VOLTAGE], F.col(F_V_MEAN)),
         F_C_UNIQUE: F.when(has[CURRENT], F.col(F_C_UNIQUE)),
         F_C_MODE: F.when(has[CURRENT], F.col(F_C_MODE)),
@@ -259,7 +264,7 @@ def session_features(rows: DataFrame, extractors: Sequence = (), chunk: Column |
         F_T_UNIQUE: F.when(has[TEMPERATURE], F.col(F_T_UNIQUE)),
         F_T_MODE: F.when(has[TEMPERATURE], F.col(F_T_MODE)),
         F_T_JUMPS: F.when(has[TEMPERATURE], F.coalesce(F.col(F_T_JUMPS), F.lit(0))),
-        F_D_SLOPE: F.when(has[DURATION], F.col(F_D_SLOPE)),
+        F_D_SLOPE: F.when(has[DURATION], fit(F_D_SLOPE)),
         F_D_MEAN: F.when(has[DURATION], F.col(F_D_MEAN)),
         F_Q_MAX: F.when(q_ok, F.col(F_Q_MAX)),
         F_Q_PEAK: F.when(q_ok & has[CAPACITY], F.col(F_Q_PEAK)),
@@ -273,7 +278,7 @@ def session_features(rows: DataFrame, extractors: Sequence = (), chunk: Column |
             m = m.where(F.col("vehicle") != F.lit(""))
     out = m.select(
         "vehicle", KEY, "session_ts", F.col("n_rows").cast("long").alias("n_rows"),
-        (F.col("_bad") == 1).alias("non_numeric"),
+        ((F.col("_bad") == 1) | (text_x & has[DQDV])).alias("non_numeric"),
         (has[DQDV] & (F.col("_q_count") == 0)).alias("dqdv_all_missing"),
         *[has[c].alias(f"has_{c}") for c in SESSION_COLUMNS],
         *[(feats[f].cast("long") if f in LONG_FEATURES else feats[f].cast("double")).alias(f) for f in FEATURES],
@@ -286,17 +291,58 @@ def session_features(rows: DataFrame, extractors: Sequence = (), chunk: Column |
 
 
 def _custom_map(m: DataFrame, extractors, has_pandas: bool) -> Column:
-    """Custom features as one map; a built-in feature of the same name wins (the custom key is dropped)."""
+    """Custom features as one map. Of extractors that give the same name the last wins, of a custom and a
+    built-in feature the built-in."""
+    empty = F.create_map().cast(f"map<string, {_ENTRY}>")
     entries = [F.col(c) for c in m.columns if c.startswith("_cx_")]
-    maps = []
-    if entries:
-        maps.append(F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull())))
-    if has_pandas:
-        maps.append(F.coalesce(F.col("_px"), F.create_map().cast("map<string,double>")))
-    if not maps:
-        return F.create_map().cast("map<string,double>")
-    merged = maps[0] if len(maps) == 1 else F.map_concat(*maps)
-    return F.map_filter(merged, lambda k, v: ~k.isin(*FEATURES))
+    columns = F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull())) if entries else empty
+    frames = F.coalesce(F.col("_px"), empty) if has_pandas else empty
+    last = F.map_zip_with(columns, frames, lambda k, a, b: F.when(a.isNull() | (b["i"] > a["i"]), b).otherwise(a))
+    return F.map_filter(F.transform_values(last, lambda k, e: e["v"]), lambda k, v: ~k.isin(*FEATURES))
+
+
+class SessionTree:
+    """A folder of session files, read once: all Stage-1 operators share its staged rows.
+
+    ``profile`` (one text scan) finds files without data rows, of any size, ragged files, and files with cells
+    that run over line ends, which a second reader takes whole; ``rows`` is the one parse of all others, landed
+    as Parquet. :meth:`release` removes both when no result that reads them is needed any more.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, glob: str = "*.csv", encoding: str = "UTF-8",
+                 files: Sequence[str] | None = None):
+        self.spark, self.root, self.glob = spark, root, glob
+        self.paths = [scratch_path(spark, "session-profile"), scratch_path(spark, "session-rows")]
+        self.profile = _stage(session_csv.file_profile(spark, root, glob, encoding, files), "profile", self.paths[0])
+        if files is None and self.profile.isEmpty():
+            raise ValueError(f"no readable session file below {root}")
+        whole = [r["file"] for r in self.profile.where("multiline").select("file").collect()]
+        rows = session_csv.read_sessions(spark, root, glob=glob, encoding=encoding, files=files)
+        if whole:
+            own = spark.createDataFrame([(f,) for f in whole], "session_file string")
+            rows = rows.join(own, "session_file", "left_anti").unionByName(
+                session_csv.read_sessions(spark, root, glob=glob, encoding=encoding, files=whole, multiline=True))
+        self.rows = _stage(rows, "rows", self.paths[1])
+
+    def features(self, extractors: Sequence = ()) -> DataFrame:
+        """The features of every file that can be taken (see :meth:`rejected`), files without data rows included."""
+        out = session_features(self.rows, extractors, stage=False, headers=session_csv.session_headers(self.profile, self.root))
+        ragged = self.profile.where(~F.col("multiline") & (F.col("max_cells") > F.col("n_cols"))).select(F.col("file").alias(KEY))
+        return out.join(ragged, KEY, "left_anti")
+
+    def rejected(self) -> DataFrame:
+        """``path, reason, severity`` of every file that is left out or taken with nulls."""
+        return rejected_sessions(self.features()).unionByName(
+            session_csv.file_problems(self.spark, self.root, self.profile, self.glob))
+
+    def sessions(self) -> DataFrame:
+        """``vehicle, session_file, session_ts`` of all files, from their paths alone (no content is read)."""
+        listed = session_csv.file_listing(self.spark, self.root, self.glob)
+        listed = listed.select(F.col("file").alias(KEY), F.lit(root_prefix(self.root)).alias("_root"))
+        return listed.select(group_dir_of(KEY, "_root").alias("vehicle"), KEY, path_datetime(KEY).alias("session_ts"))
+
+    def release(self) -> None:
+        remove_scratch(self.spark, self.paths)
 
 
 def valid_sessions(features: DataFrame) -> DataFrame:

@@ -8,12 +8,18 @@ one of our own.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
 
+#: Scratch folders by application, until they are removed.
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ampfold") -> SparkSession:
     """A local session with the settings used by tests and the bench."""
     builder = (
@@ -51,7 +57,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - conf key absent
             conf_dir = None
     if not conf_dir:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a shared folder (a machine-local one does not "
                              "survive a lost executor)")
         conf_dir = tempfile.mkdtemp(prefix="ampfold-ckpt-")
@@ -61,7 +67,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/ampfold-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_dir(spark)}/ampfold-{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
+    """Remove scratch folders that this application made: the given ones, or all. Results that still read them
+    are lost, so call it when they have been written or collected."""
+    own = _SCRATCH.setdefault(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in list(own) if paths is None else list(paths):
+        if path in own:
+            own.remove(path)
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

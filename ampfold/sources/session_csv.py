@@ -59,7 +59,10 @@ def non_numeric(raw: Column) -> Column:
     return raw.isNotNull() & ~t.isin(*NA_TOKENS) & safe_double(raw).isNull() & ~F.lower(t).isin("nan", "-nan", "+nan")
 
 
-def csv_tree(spark: SparkSession, root: str, glob: str = "*.csv", encoding: str = "UTF-8") -> DataFrame:
+def csv_tree(spark: SparkSession, root: str | Sequence[str], glob: str = "*.csv", encoding: str = "UTF-8",
+             multiline: bool = False) -> DataFrame:
+    """Every record of the files (below a folder, or listed) as one variant. An unreadable file is skipped; it is
+    listed by :func:`file_problems`. ``multiline``: cells may hold line ends (files are then not split)."""
     return (
         spark.read.format("csv")
         .option("header", True)
@@ -68,13 +71,16 @@ def csv_tree(spark: SparkSession, root: str, glob: str = "*.csv", encoding: str
         .option("pathGlobFilter", glob)
         .option("encoding", encoding)
         .option("mode", "PERMISSIVE")
+        .option("multiLine", multiline)
+        .option("ignoreCorruptFiles", True)
         .load(root)
     )
 
 
 def read_sessions(spark: SparkSession, root: str, columns: Sequence[str] = SESSION_COLUMNS,
-                  glob: str = "*.csv", encoding: str = "UTF-8", path_columns: bool = False) -> DataFrame:
-    """Rows of all session files below ``root``.
+                  glob: str = "*.csv", encoding: str = "UTF-8", path_columns: bool = False,
+                  files: Sequence[str] | None = None, multiline: bool = False) -> DataFrame:
+    """Rows of all session files below ``root`` (or of the listed ``files`` of that tree).
 
     Columns: ``session_file, _root, _bs, _mid, <col> DOUBLE..., _has_<col>, _bad_<col>``; with
     ``path_columns`` also ``vehicle`` and ``session_ts`` per row. Path-derived values are
@@ -82,7 +88,8 @@ def read_sessions(spark: SparkSession, root: str, columns: Sequence[str] = SESSI
     per session instead of once per row. The per-cell work is one variant lookup as DOUBLE; the
     text check runs only for cells that did not convert.
     """
-    return parse_session_rows(csv_tree(spark, root, glob, encoding), root, columns, path_columns)
+    source = list(files) if files is not None else root
+    return parse_session_rows(csv_tree(spark, source, glob, encoding, multiline), root, columns, path_columns)
 
 
 def parse_session_rows(raw: DataFrame, root: str, columns: Sequence[str] = SESSION_COLUMNS,
@@ -119,24 +126,30 @@ def file_listing(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFra
     )
 
 
-def file_profile(spark: SparkSession, root: str, glob: str = "*.csv", encoding: str = "UTF-8") -> DataFrame:
-    """Per file: group, header column names, number of columns, number of data rows (blank lines skipped).
+def file_profile(spark: SparkSession, root: str, glob: str = "*.csv", encoding: str = "UTF-8",
+                 files: Sequence[str] | None = None) -> DataFrame:
+    """Per file: group, header column names, number of columns, number of data rows (blank lines skipped), the
+    most cells of any line, and whether a quoted cell runs over a line end.
 
-    Read with the text source; the header is the first line of the split at offset 0, found with
-    ``min_by`` on the scan-time row id (no window, no per-file task). Empty files yield no row.
+    Read with the text source, so large files are split; the header is the first line of the split at offset 0,
+    found with ``min_by`` on the scan-time row id (no window, no per-file task). Empty files yield no row.
     """
     txt = (
         spark.read.format("text")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .option("encoding", encoding)
-        .load(root)
+        .option("ignoreCorruptFiles", True)
+        .load(list(files) if files is not None else root)
         .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_bs"),
                 F.monotonically_increasing_id().alias("_mid"), F.col("value"))
     )
+    unquoted = F.regexp_replace("value", '"[^"]*"', "")
     prof = txt.groupBy("file").agg(
         F.min_by(F.when(F.col("_bs") == 0, F.col("value")), F.when(F.col("_bs") == 0, F.col("_mid"))).alias("header"),
         F.count_if(F.trim(F.col("value")) != F.lit("")).alias("_lines"),
+        F.max(F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1).alias("max_cells"),
+        F.bool_or(F.contains(unquoted, F.lit('"'))).alias("multiline"),
     )
     cols = F.transform(F.split(F.col("header"), ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
     return prof.select(
@@ -145,11 +158,34 @@ def file_profile(spark: SparkSession, root: str, glob: str = "*.csv", encoding:
         cols.alias("columns"),
         F.size(cols).alias("n_cols"),
         (F.col("_lines") - F.lit(1)).cast("long").alias("n_rows"),
+        F.col("max_cells").cast("int").alias("max_cells"),
+        "multiline",
     )
 
 
+def session_headers(profile: DataFrame, root: str) -> DataFrame:
+    """``session_file, _root, columns, n_rows`` of every profiled file: how files without data rows, of any size,
+    are still reported (they give no row in the CSV scan)."""
+    return profile.select(F.col("file").alias("session_file"), F.lit(root_prefix(root)).alias("_root"), "columns", "n_rows")
+
+
+def file_problems(spark: SparkSession, root: str, profile: DataFrame, glob: str = "*.csv") -> DataFrame:
+    """``path, reason, severity`` of files that cannot be taken: ``ragged`` (a row with more cells than the
+    header) and ``unreadable`` (listed, but without a line that could be read). Spark's sources do not list files
+    without any byte, so those are in no table."""
+    listed = file_listing(spark, root, glob).select("file")
+    known = profile.select("file", (~F.col("multiline") & (F.col("max_cells") > F.col("n_cols"))).alias("_ragged"))
+    reason = F.when(F.col("_ragged").isNull(), "unreadable").when(F.col("_ragged"), "ragged")
+    out = listed.join(known, "file", "left").select(F.col("file").alias("path"), reason.alias("reason"), F.lit("error").alias("severity"))
+    return out.where(F.col("reason").isNotNull())
+
+
+#: Fixed value: the two-byte sequences of GBK, as the code points that ISO-8859-1 gives the bytes.
+_GBK_PAIR = "[\\x81-\\xfe][\\x40-\\x7e\\x80-\\xfe]"
+
+
 def charset_profile(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """Per file: is every line valid UTF-8 (else the file is read with a single-byte fallback charset).
+    """Per file the first of UTF-8, GBK and ISO-8859-1 in which all its lines are valid.
 
     The text source keeps each line's raw bytes, so the check is per line on splittable input and
     reduced per file by a partial aggregate (no file is ever loaded as one record).
@@ -160,24 +196,18 @@ def charset_profile(spark: SparkSession, root: str, glob: str = "*.csv") -> Data
         .option("pathGlobFilter", glob)
         .load(root)
         .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("length"),
-                F.expr("is_valid_utf8(value)").alias("_ok"))
+                F.expr("is_valid_utf8(value)").alias("_ok"),
+                (~F.regexp_replace(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), _GBK_PAIR, "").rlike("[\\x80-\\xff]")).alias("_gbk"))
     )
-    per = txt.groupBy("file").agg(F.max("length").alias("length"), F.bool_and("_ok").alias("utf8"))
-    return per.select("file", "length", "utf8",
-                      F.when(F.col("utf8"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")).alias("charset"))
+    per = txt.groupBy("file").agg(F.max("length").alias("length"), F.bool_and("_ok").alias("utf8"), F.bool_and("_gbk").alias("_gbk"))
+    charset = F.when(F.col("utf8"), "UTF-8").when(F.col("_gbk"), "GBK").otherwise("ISO-8859-1")
+    return per.select("file", "length", "utf8", charset.alias("charset"))
 
 
-def small_file_headers(spark: SparkSession, root: str, glob: str = "*.csv", max_bytes: int = 65536) -> DataFrame:
-    """``session_file, _root, columns, n_rows`` for files of at most ``max_bytes`` (header-only candidates).
+def read_encoding(charset: str) -> str:
+    """The encoding option that reads a file of the charset without loss of structure.
 
-    ``binaryFile`` pushes the ``length`` filter into the listing, so only small files' bytes are
-    read, one bounded record each. A file without data rows yields no row in the CSV scan; this
-    is how such sessions are still reported.
+    The CSV source has no GBK. Its bytes read as ISO-8859-1 keep every separator, quote, line end, digit and
+    ASCII header (no byte of a GBK pair is one of those), so names and numbers are right; other text is not.
     """
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-           .load(root).where(F.col("length") <= F.lit(int(max_bytes))))
-    lines = F.filter(F.split(F.col("content").cast("string"), "\r?\n"), lambda ln: F.trim(ln) != F.lit(""))
-    cols = F.transform(F.split(F.element_at(lines, 1), ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
-    return raw.select(F.col("path").alias("session_file"), F.lit(root_prefix(root)).alias("_root"),
-                      F.when(F.size(lines) > 0, cols).alias("columns"),
-                      (F.size(lines) - F.lit(1)).cast("long").alias("n_rows"))
+    return "UTF-8" if charset == "UTF-8" else "ISO-8859-1"

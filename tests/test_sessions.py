@@ -225,9 +225,7 @@ def test_header_only_sessions_are_kept(spark, tmp_root):
     write_csv(root / "v" / "full_20230101_000001.csv", G1)
     write_csv(root / "v" / "hq_20230101_000002.csv", "available_capacity,max_cell_voltage,charge_current,interpolated_dqdv\n")
     write_csv(root / "v" / "h_20230101_000003.csv", "max_temperature\n")
-    rows = session_csv.read_sessions(spark, str(root))
-    heads = session_csv.small_file_headers(spark, str(root))
-    f = {r["session_file"].rsplit("/", 1)[-1]: r.asDict() for r in ses.session_features(rows, headers=heads).collect()}
+    f = {r["session_file"].rsplit("/", 1)[-1]: r.asDict() for r in ses.SessionTree(spark, str(root)).features().collect()}
     assert set(f) == {"full_20230101_000001.csv", "hq_20230101_000002.csv", "h_20230101_000003.csv"}
     assert_close(f["full_20230101_000001.csv"], G1_EXPECTED)
     hq = f["hq_20230101_000002.csv"]
@@ -237,3 +235,51 @@ def test_header_only_sessions_are_kept(spark, tmp_root):
     h = f["h_20230101_000003.csv"]
     assert h[ses.F_T_UNIQUE] == 0 and h[ses.F_V_SLOPE] is None and not h["dqdv_all_missing"]
     assert str(h["session_ts"]) == "2023-01-01 00:00:03"
+
+
+def test_input_contract(spark, tmp_root):
+    root = Path(tmp_root)
+    head = "available_capacity,max_cell_voltage,charge_current,max_temperature,charging_duration_seconds,interpolated_dqdv"
+    write_csv(root / "v" / "ok_20230101_000001.csv", G1)
+    write_csv(root / "v" / "wide_20230101_000002.csv", head + "," + "x" * 90_000 + "\n")
+    write_csv(root / "v" / "lines_20230101_000003.csv", head + ',note\n1,10,5,20,7,1,"a\nb"\n2,30,5,21,7,3,"c"\n')
+    write_csv(root / "v" / "ragged_20230101_000004.csv", head + "\n1,10,5,20,7,1\n2,30,5,20,7,1,9\n")
+    write_csv(root / "v" / "nothing_20230101_000005.csv", "")
+    write_csv(root / "v" / "text_20230101_000006.csv", head + "\n1,abc,5,20,7,1\n")
+    write_csv(root / "v" / "cap_20230101_000007.csv", "available_capacity,max_cell_voltage\nx,10\n2,20\n3,40\n")
+    write_csv(root / "v" / "capq_20230101_000008.csv", "available_capacity,interpolated_dqdv\nx,10\n2,20\n")
+    tree = ses.SessionTree(spark, str(root))
+    name = lambda p: p.rsplit("/", 1)[-1].split("_")[0]
+    f = {name(r["session_file"]): r.asDict() for r in ses.valid_sessions(tree.features()).collect()}
+    assert set(f) == {"ok", "wide", "lines", "cap"}
+    assert_close(f["ok"], G1_EXPECTED)
+    assert f["lines"]["n_rows"] == 2 and f["lines"][ses.F_V_SLOPE] == 20.0
+    assert f["cap"][ses.F_V_SLOPE] == 0.0 and f["cap"][ses.F_V_R2] == 0.0 and round(f["cap"][ses.F_V_MEAN], 6) == round(70 / 3, 6)
+    rejected = {(name(r["path"]), r["reason"]) for r in tree.rejected().collect()}
+    assert rejected == {("wide", "dqdv_all_missing"), ("ragged", "ragged"), ("text", "non_numeric"), ("capq", "non_numeric")}
+    assert tree.sessions().count() == 7  # Spark does not list the empty file
+    tree.release()
+    assert not any(Path(p).exists() for p in tree.paths)
+    with pytest.raises(ValueError):
+        ses.SessionTree(spark, str(write_csv(root / "none" / "x.txt", "a").parent))
+
+
+def test_extractors_with_one_name_last_wins(spark, tmp_root):
+    root = Path(tmp_root)
+    write_csv(root / "v" / "s_20230101_000001.csv", G1)
+    tree = ses.SessionTree(spark, str(root))
+    a = ses.ColumnExtractor("a", lambda: F.lit(1.0))
+    b = ses.ColumnExtractor("b", lambda: {"a": F.lit(2.0), "b": F.lit(3.0)})
+    p = ses.PandasExtractor("p", lambda pdf: {"a": 5.0, "c": None})
+    custom = lambda *ex: tree.features(ex).first()["custom"]
+    assert custom(a, b) == {"a": 2.0, "b": 3.0} and custom(b, a)["a"] == 1.0
+    assert custom(a, p) == {"a": 5.0, "c": None} and custom(p, a)["a"] == 1.0
+
+
+def test_charsets(spark, tmp_root):
+    for name, data in (("u", "a,\u5907\n1,2\n".encode()), ("g", "a,\u5907\u6ce8\n1,2\n".encode("gbk")), ("l", "a,caf\xe9 x\n1,2\n".encode("latin-1"))):
+        path = Path(tmp_root) / "v" / f"{name}.csv"
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(data)
+    got = {r["file"][-5]: r["charset"] for r in session_csv.charset_profile(spark, tmp_root).collect()}
+    assert got == {"u": "UTF-8", "g": "GBK", "l": "ISO-8859-1"}
