@@ -10,13 +10,14 @@ from ampfold.catalog import fixtures
 from ampfold.catalog.cycles_q import early_stats_sql
 from ampfold.catalog.registry import register
 from ampfold.catalog.sessions_q import FEATURES_SQL, _features
-from ampfold.catalog.tables import SIGNALS_SQL, r6, rounded, signals, table
+from ampfold.catalog.tables import SIGNALS_SQL, rounded, signals, table
 from ampfold.functions.naming import feature_names, positional_series
 from ampfold.operators import evaluation, modeling, scaling
 from ampfold.operators import sessions as ses
-from ampfold.operators.cycles import dataset_profile, early_cycle_stats
+from ampfold.operators.cycles import dataset_profile, early_cycle_stats, to_vector
 from ampfold.operators.selection import RecursiveFeatureElimination
 from ampfold.plans import life
+from ampfold.plans.staging import stage
 from ampfold.session import scratch_path
 
 
@@ -174,83 +175,154 @@ SELECT user_id, {_r('slope')} AS slope, {_r('r2')} AS r2, {_r('y_mean')} AS y_me
          (CASE WHEN regr_syy(value, hours) = 0 THEN 1.0 ELSE 0.0 END) WHEN regr_syy(value, hours) = 0 THEN 1.0
          ELSE regr_r2(value, hours) END AS r2,
     avg(value) AS y_mean, CAST(NULL AS DOUBLE) AS mode
-  FROM {SIGNALS_SQL} WHERE event_type = 'purchase' GROUP BY user_id
+  FROM {SIGNALS_SQL} GROUP BY user_id
   UNION ALL
   SELECT user_id, NULL, NULL, NULL, level FROM (
     SELECT user_id, level, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, level) AS rn
-    FROM {SIGNALS_SQL} WHERE event_type = 'view' GROUP BY user_id, level) WHERE rn = 1)""")
+    FROM {SIGNALS_SQL} GROUP BY user_id, level) WHERE rn = 1)""")
 def q_schema_union(spark, sf_dir):
     from ampfold.operators import signals as ops
 
     s = signals(spark, sf_dir)
-    a = ops.linear_fit(s.where(F.col("event_type") == "purchase"), "user_id", x="hours", y="value")
-    b = ops.value_mode(s.where(F.col("event_type") == "view"), "user_id", "level", name="mode")
+    a = ops.linear_fit(s, "user_id", x="hours", y="value")
+    b = ops.value_mode(s, "user_id", "level", name="mode")
     return rounded(ses.schema_union([a, b]), ["slope", "r2", "y_mean", "mode"])
 
 
-# --- model operators (rows-only checks: random by nature) ---------------------------------
+# --- model operators ----------------------------------------------------------------------
+# Trees are random by nature, so the SQL twins check what is not: folds, training sizes, actual values, widths,
+# and that a stored model scores like the fitted one. Full presets throughout. Leave-one-out fits a forest of 500
+# trees per battery, and elimination one of 200 per battery and feature count, so those run on small but complete
+# fleets: every nation, and every region, is one battery whose cycles are all its orders. Elimination goes through
+# the means of the 16 series only (all 112 statistics take ten minutes on one machine); else as the preset has it.
 
-CHECK = "check"
+_FLEETS = {"nation": "c_nationkey", "region": "n_regionkey"}
+_FITTED: dict[tuple, object] = {}
 
 
-@register("forest_fit")
+def _once(spark, sf_dir, kind, make):
+    """What one application fits once for several queries."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), kind)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
+def _fleet(spark, sf_dir, by):
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = orders.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    price, date = F.col("o_totalprice"), F.col("o_orderdate")
+    series = [price, F.log1p(price), F.sqrt(price), price / 97.0, F.month(date), F.dayofmonth(date), F.year(date), F.dayofyear(date),
+              F.col("o_custkey"), F.col("c_acctbal"), F.pmod("o_orderkey", F.lit(7)), F.pmod("o_custkey", F.lit(11)),
+              F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0), F.floor(price / 1000), F.pmod("o_orderkey", F.lit(64))]
+    rows = orders.select(F.col(_FLEETS[by]).alias("battery_id"), "o_orderdate", "o_orderkey",
+                         *[c.cast("double").alias(f"c{i}") for i, c in enumerate(series)])
+    return _once(spark, sf_dir, f"fleet-{by}", lambda: stage(
+        life.design_matrix(rows, order=("o_orderdate", "o_orderkey")).coalesce(1), f"fleet-{by}"))  # one row per battery
+
+
+def _fleet_sql(by: str) -> str:
+    return (f"(SELECT {_FLEETS[by]} AS battery_id, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey "
+            f"JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)")
+
+
+def _final(spark, sf_dir):
+    design = _once(spark, sf_dir, "design", lambda: stage(_design(spark, sf_dir), "design"))
+    return design, _once(spark, sf_dir, "final", lambda: modeling.fit_final(design, preset="reference"))
+
+
+@register("forest_fit", sql="SELECT 500 AS n_trees, 112 AS n_features, 1.0::DOUBLE AS importance_sum, TRUE AS within_depth")
 def q_forest_fit(spark, sf_dir):
-    design = _design(spark, sf_dir)
-    model = modeling.fit_final(design, preset=CHECK)
-    imp = modeling.forest_stage(model).featureImportances.toArray().tolist()
-    return evaluation.importance_table(spark, imp, feature_names())
+    """The final forest of all batteries: its size, and its importances in total."""
+    forest = modeling.forest_stage(_final(spark, sf_dir)[1])
+    importances = forest.featureImportances.toArray()
+    deepest = max(t.depth for t in forest.trees)
+    return spark.createDataFrame([(len(forest.trees), len(importances), round(float(importances.sum()), 6), deepest <= 20)],
+                                 "n_trees int, n_features int, importance_sum double, within_depth boolean")
 
 
 @register("top_features")
 def q_top_features(spark, sf_dir):
-    return evaluation.top_features(q_forest_fit(spark, sf_dir), k=20)
+    importances = modeling.forest_stage(_final(spark, sf_dir)[1]).featureImportances.toArray().tolist()
+    return evaluation.top_features(evaluation.importance_table(spark, importances, feature_names()), k=20)
+
 
+@register("loo_folds", sql="""
+SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS fold, o_totalprice, o_custkey FROM orders""")
+def q_loo_folds(spark, sf_dir):
+    """Leave-one-out folds of a large table: one per order."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    return modeling.with_folds(orders, "o_orderkey", "loo")
 
-@register("loocv_predictions")
+
+def _loo(spark, sf_dir):
+    return _once(spark, sf_dir, "loo", lambda: modeling.cross_validated_predictions(_fleet(spark, sf_dir, "nation"), preset="reference", folds="loo"))
+
+
+@register("loocv_predictions", sql=f"""
+SELECT battery_id, CAST(row_number() OVER (ORDER BY battery_id) - 1 AS BIGINT) AS fold, CAST(count(*) OVER () - 1 AS BIGINT) AS train_size,
+       CAST(n AS DOUBLE) AS actual, TRUE AS predicted_in_range
+FROM {_fleet_sql('nation')}""")
 def q_loocv_predictions(spark, sf_dir):
-    design = _design(spark, sf_dir)
-    preds = modeling.cross_validated_predictions(design, preset=CHECK, folds=5)
-    return evaluation.prediction_errors(preds)
+    """One fold per battery, a forest of 500 trees each; a mean of leaves lies within the actual values."""
+    preds = evaluation.prediction_errors(_loo(spark, sf_dir))
+    total = preds.agg(F.count("*").alias("n"), F.min("actual").alias("low"), F.max("actual").alias("high")).first()
+    inside = F.col("predicted").between(total["low"] - 1e-6, total["high"] + 1e-6)
+    return preds.select("battery_id", "fold", F.lit(total["n"] - 1).cast("long").alias("train_size"), "actual", inside.alias("predicted_in_range"))
 
 
 @register("prediction_sample")
 def q_prediction_sample(spark, sf_dir):
-    return evaluation.prediction_sample(q_loocv_predictions(spark, sf_dir), k=10)
+    return evaluation.prediction_sample(evaluation.prediction_errors(_loo(spark, sf_dir)), k=10)
 
 
 @register("cv_metrics")
 def q_cv_metrics(spark, sf_dir):
-    return evaluation.regression_metrics(q_loocv_predictions(spark, sf_dir), n_features=len(feature_names()))
+    return evaluation.regression_metrics(_loo(spark, sf_dir), n_features=len(feature_names()))
 
 
-@register("score_new")
+@register("score_new", sql=f"""
+SELECT 'battery=' || CAST(user_id AS VARCHAR) AS battery_id, TRUE AS stored_scores_alike, TRUE AS not_negative
+FROM (SELECT DISTINCT user_id, first_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_type FROM events) WHERE first_type <> 'error'""")
 def q_score_new(spark, sf_dir):
-    design = _design(spark, sf_dir)
+    """Scores of the stored and reloaded model, against those of the fitted one."""
+    design, model = _final(spark, sf_dir)
     path = scratch_path(spark, "model")
-    modeling.save_model(modeling.fit_final(design, preset=CHECK), path)
-    loaded = modeling.load_model(path)
-    return modeling.score(loaded, design.drop("final_cycles")).select("battery_id", "prediction")
+    modeling.save_model(model, path)
+    new = modeling.score(modeling.load_model(path), design.drop("final_cycles")).select("battery_id", "prediction")
+    own = modeling.score(model, design).select("battery_id", F.col("prediction").alias("_own"))
+    return new.join(own, "battery_id").select("battery_id", (F.abs(F.col("prediction") - F.col("_own")) < 1e-9).alias("stored_scores_alike"),
+                                              (F.col("prediction") >= 0).alias("not_negative"))
+
+
+_MEANS = [n for n in feature_names() if n.endswith("_Mean")]
 
 
 def _rfe(spark, sf_dir):
-    design = _design(spark, sf_dir)
-    t = scaling.LogStandardTarget(inputCol="final_cycles", outputCol="_target").fit(design)
-    rfe = RecursiveFeatureElimination(featuresCol="features", labelCol="_target", step=0.25, folds="3",
-                                      numTrees=10, maxDepth=4, seed=123, parallelism=3)
-    return design, rfe.fit(t.transform(design))
+    def fit():
+        design = to_vector(_fleet(spark, sf_dir, "region").drop("features"), _MEANS)
+        t = scaling.LogStandardTarget(inputCol="final_cycles", outputCol="_target").fit(design)
+        p = modeling.PRESETS["selection"]
+        rfe = RecursiveFeatureElimination(featuresCol="features", labelCol="_target", step=1.0, folds="loo", numTrees=p["numTrees"],
+                                          maxDepth=p["maxDepth"], seed=p["seed"], parallelism=spark.sparkContext.defaultParallelism)
+        return design, rfe.fit(t.transform(design))
+
+    return _once(spark, sf_dir, "rfe", fit)
 
 
 @register("rfe_ranking")
 def q_rfe_ranking(spark, sf_dir):
+    """Ranks of all features: leave-one-out, one feature a step, 200 trees each."""
     _, model = _rfe(spark, sf_dir)
-    return model.ranking_table(spark, feature_names())
+    return model.ranking_table(spark, _MEANS)
 
 
-@register("feature_mask")
+@register("feature_mask", sql=f"SELECT battery_id, TRUE AS width_as_ranked, TRUE AS values_as_ranked FROM {_fleet_sql('region')}")
 def q_feature_mask(spark, sf_dir):
+    """The masked vectors hold the features of rank 1, in their order."""
     design, model = _rfe(spark, sf_dir)
-    out = model.transform(design)
-    return out.select("battery_id", F.size(vector_to_array(F.col("selected"))).alias("n_selected"))
-
-
-__all__ = ["r6", "early_cycle_stats"]
+    first = [i for i, r in enumerate(model.getRanking()) if r == 1]
+    kept, whole = vector_to_array(F.col("selected")), vector_to_array(F.col("features"))
+    want = F.array(*[whole[i] for i in first])
+    return model.transform(design).select("battery_id", (F.size(kept) == len(first)).alias("width_as_ranked"), (kept == want).alias("values_as_ranked"))

@@ -18,7 +18,8 @@ helpers here never do that:
    adds the terms of the pairs that straddle two chunks; a final aggregate sums per group.
 
 Steps 1 and 2 each move the raw rows once (range, then hash on ``(group, chunk)``); step 3
-works on at most one row per partition per group.
+works on at most one row per partition per group. ``adjacent_sums`` over a numeric or time order
+saves step 1: it measures the groups and cuts only the hot ones, by quantile bounds.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ampfold.functions.common import as_list
 from ampfold.session import checkpoint_dir
@@ -47,6 +49,41 @@ def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], num_c
     return ranged.withColumn(CHUNK, F.spark_partition_id())
 
 
+#: Rows of a group that one task takes in order; larger groups are cut. No more than MOST_HOT groups are cut:
+#: over so many times the rows, a chunk is larger.
+ROWS_PER_CHUNK, MOST_HOT, MOST_CHUNKS = 2_000_000, 10_000, 256
+
+
+def split_hot_groups(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Add ``_chunk``, without moving a row: 0, but in a group of over ROWS_PER_CHUNK rows the number of that
+    group's quantile bounds below the first order column (so chunks ascend, and equal values share one).
+
+    Two reads of the keys, and of the hot groups' order column, give the bounds, a table of at most MOST_HOT rows
+    of MOST_CHUNKS numbers, which is broadcast.
+    """
+    checkpoint_dir(df.sparkSession)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.agg(F.sum("_n").alias("n")).first()["n"] or 0
+    limit = max(ROWS_PER_CHUNK, total // MOST_HOT)
+    if total <= limit:
+        return df.withColumn(CHUNK, F.lit(0))
+    hot = sizes.where(F.col("_n") > limit).checkpoint()
+    most = hot.agg(F.max("_n").alias("n")).first()["n"]
+    if most is None:
+        return df.withColumn(CHUNK, F.lit(0))
+    names = {k: f"_of_{k}" for k in keys}
+    same = F.lit(True)
+    for k, other in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(other))
+    own = hot.drop("_n").withColumnsRenamed(names)
+    parts = min(MOST_CHUNKS, -(-most // limit))
+    cuts = F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts) if parts > 1 else F.array()
+    bounds = df.select(*keys, order).join(F.broadcast(own), same).groupBy(*names.values()).agg(cuts.alias("_bounds")).checkpoint()
+    rows = df.join(F.broadcast(bounds), same, "left")
+    below = F.size(F.filter("_bounds", lambda b: b < F.col(order)))
+    return rows.withColumn(CHUNK, F.coalesce(F.when(F.col("_bounds").isNotNull(), below), F.lit(0))).drop("_bounds", *names.values())
+
+
 def adjacent_sums(
     df: DataFrame,
     keys: Sequence[str] | str,
@@ -65,7 +102,12 @@ def adjacent_sums(
     keys, order, values = as_list(keys), as_list(order), as_list(values)
     cols = list(dict.fromkeys([*keys, *order, *values]))
     base = df.select(*cols)
-    base = range_chunks(base, keys, order, num_chunks) if chunk is None else base.withColumn(CHUNK, chunk)
+    if chunk is not None:
+        base = base.withColumn(CHUNK, chunk)
+    elif num_chunks is None and isinstance(base.schema[order[0]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        base = split_hot_groups(base, keys, order[0])  # then the rows move once, by (group, chunk)
+    else:
+        base = range_chunks(base, keys, order, num_chunks)
 
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     cur = {v: F.col(v) for v in values}

@@ -222,3 +222,21 @@ def test_global_positions_and_null_keys(spark):
     assert sorted((r["pos"], r["t"]) for r in pos.collect()) == [(0, 3), (1, 2), (2, 2), (3, 1), (4, 0)]
     own = ordered.dense_positions(df, "g", "t", num_chunks=4).collect()
     assert sorted(((r["g"] or 0), r["pos"]) for r in own) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]
+
+
+@pytest.mark.parametrize("limit", [10, 100, 10_000])
+def test_hot_groups_are_cut_without_a_range_shuffle(spark, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", limit)
+    rows = [(g if g else None, t // 2, t, v) for g, t, _, v in make_series(hot=3000)]  # order with ties and a null group
+    df = spark.createDataFrame(rows, "g int, t int, u int, v double").repartition(6)
+    want = {}
+    for g in {r[0] for r in rows}:
+        vs = [r[3] for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2]))]
+        want[g] = sum(abs(b - a) > 1 for a, b in zip(vs, vs[1:]) if a is not None and b is not None)
+    out = ordered.adjacent_sums(df, "g", ["t", "u"], ["v"], {"j": ops.jump_term("v", 1.0)})
+    assert {r["g"]: r["j"] for r in out.collect()} == want
+    plan = df.sparkSession.sql("select 1") and out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    cut = ordered.split_hot_groups(df, ["g"], "t").groupBy("g", "_chunk").count().collect()
+    if limit == 100:
+        assert len(cut) > 20 and max(r["count"] for r in cut) <= 4 * limit
