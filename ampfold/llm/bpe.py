@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampfold.llm.common import whole_text
+from ampfold.llm.common import whole_text, worker_state
 from ampfold.llm.pretokens import Patterns, WorkerCache, patterns, slices, splitter, tiktoken_class
 
 NONE = np.iinfo(np.int64).max
@@ -160,15 +160,25 @@ class Merger:
         return out
 
 
-@lru_cache(maxsize=2)
-def _encoder(source: bytes, given: Patterns):
-    merger = Merger(read_ranks(source))
-    return splitter(given), WorkerCache(lambda pieces: merger.encode([p.encode() for p in pieces]))
+@dataclass
+class _Coder:
+    split: Callable[[str], list[str]]
+    cache: WorkerCache
+    tokens: dict[int, bytes]
 
 
-@lru_cache(maxsize=2)
-def _tokens(source: bytes) -> dict[int, bytes]:
-    return {rank: token for token, rank in read_ranks(source).items()}
+def _coder(source: bytes, given: Patterns | None = None) -> _Coder:
+    """A worker's encoder and decoder."""
+
+    def make() -> _Coder:
+        ranks = read_ranks(source)
+        merger = Merger(ranks)
+        return _Coder(
+            splitter(given) if given else list, WorkerCache(lambda pieces: merger.encode([p.encode() for p in pieces])),
+            {rank: token for token, rank in ranks.items()},
+        )
+
+    return worker_state(("bpe", source, given), make)
 
 
 def _shared(spark: SparkSession, path: str):
@@ -177,16 +187,15 @@ def _shared(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _encode_texts(source: bytes, given: Patterns, texts: list[str]) -> pa.ListArray:
-    split, cache = _encoder(source, given)
-    ids = [b"".join(values) for values in cache.values([split(t) for t in texts])]
+def _encode_texts(coder: _Coder, texts: list[str]) -> pa.ListArray:
+    ids = [b"".join(values) for values in coder.cache.values([coder.split(t) for t in texts])]
     offsets = np.cumsum([0, *map(len, ids)]) // 4
     flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
 
 
-def _decode_ids(source: bytes, ids: pa.ListArray) -> pa.Array:
-    tokens, flat, offsets = _tokens(source), ids.values.to_numpy(), ids.offsets.to_numpy()
+def _decode_ids(coder: _Coder, ids: pa.ListArray) -> pa.Array:
+    tokens, flat, offsets = coder.tokens, ids.values.to_numpy(), ids.offsets.to_numpy()
     rows = (b"".join([tokens[t] for t in flat[a:b].tolist()]) for a, b in zip(offsets, offsets[1:], strict=False))
     return pa.array(rows, type=pa.binary())
 
@@ -204,9 +213,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", to:
 
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = _coder(source.value, given)
         for batch in batches:
             for texts in slices(batch):
-                yield _encode_texts(source.value, given, texts)
+                yield _encode_texts(coder, texts)
 
     return docs.withColumn(to, ids_of(whole_text(text_col)))
 
@@ -218,8 +228,9 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", to: str = "decode
 
     @F.arrow_udf("binary")
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = _coder(source.value)
         for batch in batches:
-            yield _decode_ids(source.value, batch)
+            yield _decode_ids(coder, batch)
 
     return tokens.withColumn(to, bytes_of(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))))
 
@@ -231,10 +242,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
 
     @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = _coder(source.value, given)
         for batch in batches:
             for texts in slices(batch):
-                ids = _encode_texts(source.value, given, texts)
-                yield pa.StructArray.from_arrays([ids, _decode_ids(source.value, ids)], names=["ids", "decoded"])
+                ids = _encode_texts(coder, texts)
+                yield pa.StructArray.from_arrays([ids, _decode_ids(coder, ids)], names=["ids", "decoded"])
 
     out = docs.withColumn("_both", both(whole_text(text_col)))
     return out.withColumns({ids_to: F.col("_both.ids"), to: F.col("_both.decoded")}).drop("_both")

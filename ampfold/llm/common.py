@@ -15,6 +15,18 @@ FAN_IN = 64
 SEED = 42
 
 
+_HELD: dict = {}
+
+
+def worker_state(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task (vocabularies, caches). Workers are reused by one operator
+    after another, so only the state asked for last is held."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a given table (other columns, whatever their names, are not read)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)

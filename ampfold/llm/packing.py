@@ -5,14 +5,13 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampfold.llm.common import whole_text
+from ampfold.llm.common import whole_text, worker_state
 from ampfold.llm.pretokens import JsonSpec, JsonTokenizer, read_spec, slices
 from ampfold.session import checkpoint_dir, scratch_path
 
@@ -135,9 +134,8 @@ def cut(segments: Sequence[Segment], starts: Sequence[int], q: int, at: int, n:
         k += 1
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(spec: JsonSpec, dtype: str) -> JsonTokenizer:
-    return JsonTokenizer(spec, dtype)
+    return worker_state(("packing", spec, dtype), lambda: JsonTokenizer(spec, dtype))
 
 
 def _queues(docs: DataFrame, most: int) -> tuple[DataFrame, list]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampfold.llm.common import SEED, merge_in_tree, whole_text
+from ampfold.llm.common import SEED, merge_in_tree, whole_text, worker_state
 from ampfold.llm.pretokens import slices
 
 #: Words are dealt by hash into this many rows of the vector table, so every word has a vector.
@@ -41,12 +41,10 @@ class _Rows(dict):
         return row
 
 
-_rows = _Rows()
-
-
 def word_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of the words of all texts, one text after another, and where each text ends."""
-    if len(_rows) > 500_000:
+    _rows = worker_state(("quality",), _Rows)
+    if len(_rows) > 250_000:
         _rows.clear()
     words = [_words(t.lower()) for t in texts]
     flat = np.fromiter(map(_rows.__getitem__, chain.from_iterable(words)), dtype=np.int64)

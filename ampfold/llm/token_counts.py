@@ -4,23 +4,21 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampfold.llm.common import merge_in_tree, whole_text
+from ampfold.llm.common import merge_in_tree, whole_text, worker_state
 from ampfold.llm.pretokens import JsonSpec, JsonTokenizer, read_spec, slices
 
 #: Entries of the broadcast table of frequent pre-tokens, and of every summary on the way to it.
 FREQUENT = 16_384
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(spec: JsonSpec, packed: tuple[bytes, bytes, bytes] | None = None) -> JsonTokenizer:
-    return JsonTokenizer(spec, pinned=_unpacked(*packed) if packed else None)
+    return worker_state(("counts", spec, packed), lambda: JsonTokenizer(spec, pinned=_unpacked(*packed) if packed else None))
 
 
 def prune(counts: Counter, most: int) -> Counter:
