@@ -24,7 +24,7 @@ def normalised(text: str | Column, fold_case: bool) -> Column:
 
 
 def _slot(h: str) -> Column:
-    return F.pmod(F.xxhash64(h), F.lit(FILTER_BITS)) + 1
+    return F.coalesce(F.pmod(F.xxhash64(h), F.lit(FILTER_BITS)) + 1, F.lit(1).cast("long"))  # never null
 
 
 def _in_filter(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def _in_filter(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return (
         rows.withColumn("_slot", _slot("_h"))
-        .withColumn("_bucket", F.coalesce(F.bitmap_bucket_number("_slot"), F.lit(0)))  # never null: no filter hashes the texts again
+        .withColumn("_bucket", F.coalesce(F.bitmap_bucket_number("_slot"), F.lit(0)))  # so no null filter hashes the texts again
         .join(F.broadcast(bitmaps), "_bucket")
         .where(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1)
     )
