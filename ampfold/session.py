@@ -9,15 +9,18 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
 #: Scratch folders by application, until they are removed.
 _SCRATCH: dict[str, list[str]] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ampfold") -> SparkSession:
@@ -84,5 +87,15 @@ def remove_scratch(spark: SparkSession, paths: Iterable[str] | None = None) -> N
             folder.getFileSystem(conf).delete(folder, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package (once per application), for functions that run in Python workers."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        package = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="ampfold-package-")  # the driver serves it from there
+        sc.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
