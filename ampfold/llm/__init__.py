@@ -1,3 +1,12 @@
-"""Operators for preparing training text at scale, each with one registered query."""
+"""Operators for preparing training text at scale, each with one registered query.
 
-from ampfold.llm.queries import ORACLE, QUERIES  # noqa: F401
+``QUERIES`` and ``ORACLE`` are imported on demand: a Python worker that needs one operator then loads that alone.
+"""
+
+
+def __getattr__(name: str):
+    if name in ("QUERIES", "ORACLE"):
+        from ampfold.llm import queries
+
+        return getattr(queries, name)
+    raise AttributeError(name)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampfold.llm.common import whole_text, worker_state
+from ampfold.llm.common import text_batches, whole_text, worker_state
 from ampfold.llm.pretokens import Patterns, WorkerCache, patterns, slices, splitter, tiktoken_class
 
 NONE = np.iinfo(np.int64).max
@@ -183,6 +183,7 @@ def _coder(source: bytes, given: Patterns | None = None) -> _Coder:
 
 def _shared(spark: SparkSession, path: str):
     """The vocabulary file (of a fixed size) for all workers, who need not have it."""
+    text_batches(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 

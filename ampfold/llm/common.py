@@ -27,6 +27,17 @@ def worker_state(key: tuple, make: Callable[[], object]) -> object:
     return _HELD[key]
 
 
+#: Whole texts in one Arrow batch; Spark's 10,000 rows of long texts may not fit beside what an executor holds.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by TEXT_ROWS (a lower bound that is set already stays)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a given table (other columns, whatever their names, are not read)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)

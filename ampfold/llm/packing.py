@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampfold.llm.common import whole_text, worker_state
+from ampfold.llm.common import text_batches, whole_text, worker_state
 from ampfold.llm.pretokens import JsonSpec, JsonTokenizer, read_spec, slices
 from ampfold.session import checkpoint_dir, scratch_path
 
@@ -155,6 +155,7 @@ def tokenised_queues(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """The queues as a table in the shared folder: ``_id, _queue, _ids, _n``, the partition ``_part`` and the
     queue's tokens before the document in that partition (``_first``). A queue runs through the partitions."""
     spark, spec = docs.sparkSession, read_spec(path)
+    text_batches(spark)
     dtype = "<u2" if max(JsonTokenizer(spec, "<u4").whole.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     shared, end, width = spark.sparkContext.broadcast(spec), np.array([end_id], dtype=dtype).tobytes(), int(dtype[2:])
     schema = docs.select("_id", "_queue").schema.add("_part", "integer").add("_first", "long").add("_n", "long").add("_ids", "binary")

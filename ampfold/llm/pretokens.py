@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 from typing import NamedTuple
@@ -133,7 +133,7 @@ class WorkerCache:
             at += len(part)
 
 
-def slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[list[str]]:
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
     """The texts of a batch in order, in lists of about ``most`` bytes (a longer text is a list of its own)."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampfold.llm.common import SEED, merge_in_tree, whole_text, worker_state
+from ampfold.llm.common import SEED, merge_in_tree, text_batches, whole_text, worker_state
 from ampfold.llm.pretokens import slices
 
 #: Words are dealt by hash into this many rows of the vector table, so every word has a vector.
@@ -63,6 +63,7 @@ def corpus_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     Each partition adds up its own table, and the tables are added in a tree; their size is fixed.
     """
+    text_batches(docs.sparkSession)
     schema = "part int, sums binary"
     names = pa.schema([("part", pa.int32()), ("sums", pa.binary())])
 
@@ -184,6 +185,7 @@ class QualityModel:
 
     def transform(self, docs: DataFrame, text_col: str = "text", to: str = "score") -> DataFrame:
         """Documents with the calibrated probability of label 1 of each whole text (null: empty)."""
+        text_batches(docs.sparkSession)
         shared = docs.sparkSession.sparkContext.broadcast((self.table, self.network))  # of a fixed size
 
         @F.arrow_udf("double")

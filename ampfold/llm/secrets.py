@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampfold.llm.common import SEED, merge_in_tree, whole_text
+from ampfold.llm.common import SEED, merge_in_tree, text_batches, whole_text, worker_state
 from ampfold.llm.pretokens import slices
 from ampfold.llm.token_counts import prune
 from ampfold.session import checkpoint_dir
@@ -54,6 +54,7 @@ class CorpusStatistics:
 def corpus_statistics(docs: DataFrame, text_col: str = "text") -> CorpusStatistics:
     """Counted over all documents: each partition one table of byte pairs and one bounded summary of frequent
     words, merged in a tree."""
+    text_batches(docs.sparkSession)
     schema = pa.schema([("part", pa.int32()), ("pairs", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
     def one(part: int, pairs: np.ndarray, words: Counter) -> dict:
@@ -63,6 +64,7 @@ def corpus_statistics(docs: DataFrame, text_col: str = "text") -> CorpusStatisti
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        worker_state(("secrets",), dict)
         pairs, words = np.zeros(1 << 16, dtype=np.int64), Counter()
         for batch in batches:
             for texts in slices(batch.column(0)):
@@ -70,7 +72,7 @@ def corpus_statistics(docs: DataFrame, text_col: str = "text") -> CorpusStatisti
                 pairs += np.bincount(data[:-1] << 8 | data[1:], minlength=1 << 16)
                 for t in texts:
                     words.update(_letters(t.lower()))
-                if len(words) > 16 * DICTIONARY:
+                if len(words) > 8 * DICTIONARY:
                     words = prune(words, 4 * DICTIONARY)
         yield pa.RecordBatch.from_pydict(one(TaskContext.get().partitionId(), pairs, words), schema)
 
@@ -252,6 +254,7 @@ class SecretModel:
 
     def redact(self, docs: DataFrame, text_col: str = "text", path_col: str | None = "source", by: str = REDACTED) -> DataFrame:
         """Documents with the secrets of each text replaced; one pass over the texts, no shuffle. Null stays null."""
+        text_batches(docs.sparkSession)
         shared = docs.sparkSession.sparkContext.broadcast(self)
         path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampfold.llm.common import SEED, keep_rows, sha256_hex, whole_text
+from ampfold.llm.common import SEED, keep_rows, sha256_hex, text_batches, whole_text, worker_state
 from ampfold.session import checkpoint_dir
 
 BITS = 64
@@ -51,6 +51,7 @@ def fingerprint_column(text: Column, shingle: int) -> Column:
 
     @F.arrow_udf("long")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_state(("simhash",), dict)
         for batch in batches:
             yield pa.array([fingerprint(t.as_py(), shingle) for t in batch], type=pa.int64())
 
@@ -198,6 +199,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows; other columns are ignored.
     """
     checkpoint_dir(docs.sparkSession)
+    text_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).alias("_id"), fingerprint_column(F.col(text_col), shingle).alias("fp"),
         F.unhex(sha256_hex(whole_text(text_col))).alias("_sha"),

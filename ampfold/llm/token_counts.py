@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampfold.llm.common import merge_in_tree, whole_text, worker_state
+from ampfold.llm.common import merge_in_tree, text_batches, whole_text, worker_state
 from ampfold.llm.pretokens import JsonSpec, JsonTokenizer, read_spec, slices
 
 #: Entries of the broadcast table of frequent pre-tokens, and of every summary on the way to it.
@@ -101,6 +101,7 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", to: str = "
     Defined cases: a null or empty text has 0 tokens; a text of any length is taken whole; a pre-token of
     more than 65,535 tokens is left to tier two; a column called as the new one is replaced.
     """
+    text_batches(docs.sparkSession)
     spec = read_spec(path)
     words = frequent_pretokens(docs, spec, text_col, frequent)
     special = {w for w, _ in spec.special}
