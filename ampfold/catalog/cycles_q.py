@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ampfold.catalog.registry import register
 from ampfold.catalog.tables import SIGNALS_SQL, rounded, signals, table
 from ampfold.functions.naming import CYCLE_SERIES, STATISTICS
@@ -60,6 +58,3 @@ def q_early_cycle_stats_short(spark, sf_dir):
     out = early_cycle_stats(o, "o_custkey", ["o_orderdate", "o_orderkey"], ["o_totalprice"],
                             series_names=["totalprice"], n=40)
     return rounded(out, [c for c in out.columns if c not in ("o_custkey", "final_cycles")])
-
-
-__all__ = ["early_stats_sql", "F"]

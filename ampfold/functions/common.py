@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,11 +16,3 @@ def as_list(x) -> list:
     if isinstance(x, (str, Column)):
         return [x]
     return list(x)
-
-
-def names(cols: Iterable) -> list[str]:
-    return [c for c in as_list(cols)]
-
-
-def struct_of(cols: Sequence) -> Column:
-    return F.struct(*[as_col(c) for c in cols])

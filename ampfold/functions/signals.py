@@ -62,11 +62,6 @@ def n_unique(c) -> Column:
     return (F.count_distinct(c) + F.coalesce(F.max(c.isNull().cast("int")), F.lit(0))).cast("long")
 
 
-def smallest_mode(c) -> Column:
-    """Most frequent non-missing value; the smallest one on ties; null if all are missing."""
-    return F.mode(as_col(c), deterministic=True)
-
-
 def value_at_first_max(x, y, order: Sequence[str]) -> Column:
     """x of the first row (in ``order``) where y reaches its maximum; rows with missing y are skipped."""
     x, y = as_col(x), as_col(y)

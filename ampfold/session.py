@@ -95,7 +95,3 @@ def ship_package(spark: SparkSession) -> None:
         package = Path(__file__).resolve().parent
         folder = tempfile.mkdtemp(prefix="ampfold-package-")  # the driver serves it from there
         sc.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

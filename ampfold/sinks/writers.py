@@ -54,7 +54,3 @@ def write_session_tree(df: DataFrame, root: str, group: str, session: str, order
            .sortWithinPartitions(group, session, *order)
            .drop(*order))
     out.write.mode(mode).option("header", True).partitionBy(group, session).csv(root)
-
-
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    df.write.mode(mode).format(fmt).save(path)

@@ -202,12 +202,3 @@ def charset_profile(spark: SparkSession, root: str, glob: str = "*.csv") -> Data
     per = txt.groupBy("file").agg(F.max("length").alias("length"), F.bool_and("_ok").alias("utf8"), F.bool_and("_gbk").alias("_gbk"))
     charset = F.when(F.col("utf8"), "UTF-8").when(F.col("_gbk"), "GBK").otherwise("ISO-8859-1")
     return per.select("file", "length", "utf8", charset.alias("charset"))
-
-
-def read_encoding(charset: str) -> str:
-    """The encoding option that reads a file of the charset without loss of structure.
-
-    The CSV source has no GBK. Its bytes read as ISO-8859-1 keep every separator, quote, line end, digit and
-    ASCII header (no byte of a GBK pair is one of those), so names and numbers are right; other text is not.
-    """
-    return "UTF-8" if charset == "UTF-8" else "ISO-8859-1"
