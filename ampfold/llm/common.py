@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import string
 from collections.abc import Callable
 
@@ -20,9 +23,13 @@ _HELD: dict = {}
 
 def worker_state(key: tuple, make: Callable[[], object]) -> object:
     """What a Python worker keeps from task to task (vocabularies, caches). Workers are reused by one operator
-    after another, so only the state asked for last is held."""
+    after another, so only the state asked for last is held, and the memory of the one before goes back."""
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
         _HELD[key] = make()
     return _HELD[key]
 

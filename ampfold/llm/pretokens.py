@@ -9,6 +9,7 @@ the tables disagree one of the library's own ranges, all others the pattern as i
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -108,7 +109,7 @@ class WorkerCache:
     generation begins; what it does not take from the last one is forgotten with that, which affects the speed
     alone. The ``pinned`` entries stay."""
 
-    def __init__(self, encode: Callable[[list[str]], list], pinned: dict | None = None, limit: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], list], pinned: dict | None = None, limit: int = 350_000):
         self.encode, self.limit, self.pinned = encode, limit, pinned or {}
         self.known, self.last = dict(self.pinned), {}
 
@@ -147,14 +148,14 @@ def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
 class JsonSpec(NamedTuple):
     """What a worker needs of a ``tokenizers`` JSON file: the file, and, if its texts can be split here, the
     patterns, the file of the merges of one pre-token alone, whether texts are folded first, the special strings,
-    and whether every word's last token has an end mark."""
+    and, if every word's last token has an end mark, a bit for each id that has it."""
 
     source: str
     patterns: Patterns | None = None
     piece: str = ""
     folds: bool = False
     special: tuple[tuple[str, int], ...] = ()
-    marked: bool = False
+    last: bytes = b""
 
 
 def _pattern(pre: dict) -> str | None:
@@ -187,7 +188,11 @@ def read_spec(path: str) -> JsonSpec:
     pre = {"type": "Sequence", "pretokenizers": [blank, level]} if marked else level
     piece = json.dumps(spec | {"added_tokens": [], "normalizer": None, "pre_tokenizer": pre})
     special = tuple((t["content"], t["id"]) for t in added)
-    return JsonSpec(source, patterns(pattern, tokenizers_class), piece, bool(folds), special, marked)
+    flags = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
+    if marked:
+        flags[[i for t, i in spec["model"]["vocab"].items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
+    last = np.packbits(flags).tobytes() if marked else b""
+    return JsonSpec(source, patterns(pattern, tokenizers_class), piece, bool(folds), special, last)
 
 
 class JsonTokenizer:
@@ -198,6 +203,7 @@ class JsonTokenizer:
     """
 
     def __init__(self, spec: JsonSpec, dtype: str | None = None, pinned: dict | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.spec, self.dtype = spec, dtype
@@ -208,11 +214,7 @@ class JsonTokenizer:
             self.cut = re.compile("(" + "|".join(re.escape(s) for s, _ in spec.special) + ")").split if spec.special else lambda t: [t]
             special = {s: self._value([i]) for s, i in spec.special}
             self.cache = WorkerCache(self._encode, (pinned or {}) | special)
-            if spec.marked and dtype:
-                suffix = json.loads(spec.piece)["model"]["end_of_word_suffix"]
-                vocab = self.piece.get_vocab()
-                self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
-                self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+            self.last = np.unpackbits(np.frombuffer(spec.last, dtype=np.uint8)).astype(bool)
 
     @property
     def whole(self):
@@ -228,7 +230,7 @@ class JsonTokenizer:
     def _encode(self, pieces: list[str]) -> list:
         if not self.dtype:
             return [len(e) for e in self.piece.encode_batch_fast(pieces, add_special_tokens=False)]
-        if not self.spec.marked:
+        if not self.spec.last:
             return [self._value(e.ids) for e in self.piece.encode_batch_fast(pieces, add_special_tokens=False)]
         out, width = [], np.dtype(self.dtype).itemsize
         lines = [" ".join(pieces[at : at + 1000]) for at in range(0, len(pieces), 1000)]  # words, parted by their end marks
