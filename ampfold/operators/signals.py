@@ -13,6 +13,7 @@ import math
 from bisect import bisect_left, insort
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,6 +208,8 @@ def peak_candidates(df: DataFrame, group, order, y: str, rel_height: float = 0.1
 
 #: Samples in a block of the distance rule (a block has at most half as many peaks).
 BLOCK_SAMPLES = 1 << 18
+#: Peaks that one call decides, about: small blocks, of short series, go together.
+PEAKS_PER_TASK = 50_000
 _UNDECIDED, _KEPT, _DROPPED = 0, 1, 2
 
 
@@ -253,11 +256,19 @@ def select_by_distance(peaks: DataFrame, group, distance: float = 5) -> DataFram
     state = p.select("*", F.lit(_UNDECIDED).alias("status")).checkpoint()
     schema = T.StructType([f for f in state.schema.fields])
 
-    def decide(pdf):
-        pdf = pdf.copy()
-        pdf["status"] = decide_in_order(*(pdf[c].tolist() for c in ("position", "height", "status", "_own")), d)
-        return pdf.loc[pdf["_own"], schema.names]
-
+    def decide(pdf):  # the blocks of one bucket, each by itself
+        codes = pdf.groupby([*group, "_block"], dropna=False, sort=False).ngroup().to_numpy()
+        order = codes.argsort(kind="stable")
+        pdf = pdf.iloc[order]
+        ends = [*(np.flatnonzero(np.diff(codes[order])) + 1).tolist(), len(pdf)]
+        columns = [pdf[c].tolist() for c in ("position", "height", "status", "_own")]
+        status, start = [], 0
+        for end in ends:
+            status += decide_in_order(*(c[start:end] for c in columns), d)
+            start = end
+        return pdf.assign(status=status).loc[pdf["_own"], schema.names]
+
+    buckets = -(-state.count() // PEAKS_PER_TASK) or 1
     while not state.where(F.col("status") == _UNDECIDED).isEmpty():
         at = F.pmod(F.col("position"), F.lit(size))
         copies = F.filter(F.array(
@@ -266,7 +277,8 @@ def select_by_distance(peaks: DataFrame, group, distance: float = 5) -> DataFram
             F.when(at >= size - d, F.struct((block + 1).alias("b"), F.lit(False).alias("own"))),
         ), lambda c: c.isNotNull())
         rows = state.withColumn("_c", F.explode(copies)).select("*", F.col("_c.b").alias("_block"), F.col("_c.own").alias("_own")).drop("_c")
-        state = rows.groupBy(*group, "_block").applyInPandas(decide, schema).checkpoint()
+        rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*group, "_block"), F.lit(buckets)))
+        state = rows.groupBy("_bucket").applyInPandas(decide, schema).checkpoint()
     return state.where(F.col("status") == _KEPT).select(*group, "position", "height")
 
 
