@@ -237,6 +237,7 @@ def pack(
         fields = fields.add(name, kind)
 
     def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("cut",), dict)  # the tokenizers are not needed any more
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
         for whole in batches:
             for at_row in range(0, whole.num_rows, 512):
