@@ -188,16 +188,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """One row per document: its id, ``fingerprint`` (16 hex digits), ``component_id`` (the smallest id that
-    links of at most ``radius`` differing bits reach, its own included) and ``text_sha256``.
-
-    Only distinct fingerprints are compared, so a group of copies of any size is one of them.
-
-    Defined cases: a null text is empty; texts without words have the fingerprint zero and link like others;
-    a null id is the component's only if all its ids are null; repeated rows stay; an empty table gives no
-    rows; other columns are ignored.
-    """
+def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
+    """One row per document: ``_id``, ``fp``, ``_sha``, ``component_id``, and ``root``, a fingerprint that is the
+    component's own (a ``component_id`` may be of several: null, or an id that several texts carry)."""
     checkpoint_dir(docs.sparkSession)
     text_batches(docs.sparkSession)
     rows = docs.select(
@@ -208,8 +201,21 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = connected_components(links(prints.select("fp"), radius))
     of = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = of.join(lowest, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return rows.join(of, F.col("fp") == F.col("_fp")).select(
+    of = of.join(lowest, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
+    return rows.join(of, F.col("fp") == F.col("_fp")).select("_id", "fp", "_sha", "component_id", "root")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """One row per document: its id, ``fingerprint`` (16 hex digits), ``component_id`` (the smallest id that
+    links of at most ``radius`` differing bits reach, its own included) and ``text_sha256``.
+
+    Only distinct fingerprints are compared, so a group of copies of any size is one of them.
+
+    Defined cases: a null text is empty; texts without words have the fingerprint zero and link like others;
+    a null id is the component's only if all its ids are null; repeated rows stay; an empty table gives no
+    rows; other columns are ignored.
+    """
+    return _rooted(docs, id_col, text_col, shingle, radius).select(
         F.col("_id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -218,7 +224,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """One document of each component of :func:`simhash_groups`, that of the smallest id, with all its columns."""
-    found = simhash_groups(docs, id_col, text_col, shingle, radius).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("component_id").agg(F.min(F.struct("text_sha256")).alias("first"))
-    return keep_rows(docs, kept.select(F.col("component_id").alias("_id"), F.col("first.text_sha256").alias("_sha")), id_col, text_col)
+    """One document of each component of :func:`simhash_groups`, that of the smallest id (nulls last) and then of
+    the smallest SHA-256, with all its columns. Components are told apart by their roots, whatever their ids."""
+    found = _rooted(docs, id_col, text_col, shingle, radius).where(F.col("_id").eqNullSafe(F.col("component_id")))
+    kept = found.groupBy("root").agg(F.min(F.struct(F.lower(F.hex("_sha")).alias("sha"), F.col("_id").alias("id"))).alias("first"))
+    return keep_rows(docs, kept.select(F.col("first.id").alias("_id"), F.col("first.sha").alias("_sha")), id_col, text_col)

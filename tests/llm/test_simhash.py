@@ -97,6 +97,18 @@ def test_groups_with_nulls_repeats_and_clashes(spark):
     assert simhash.simhash_groups(df.limit(0)).count() == 0
 
 
+def test_every_component_keeps_a_document(spark):
+    base = "the quick brown fox jumps over the lazy dog and runs far away from here today"
+    apart = ["alone words here now", "nothing like the others at all", "a third text, of its own kind"]
+    one_id = ["first text of the id seven", "quite another story under one number"]
+    rows = [(None, t) for t in apart] + [(7, t) for t in one_id] + [(None, base), (None, base.upper()), (4, "linked Text, twice"), (None, "linked text, twice")]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, t) for t in apart] + [(7, t) for t in one_id] + [(4, "linked Text, twice")]
+    got = [(r["doc_id"], r["text"]) for r in got]
+    assert len(got) == len(want) + 1 and set(want) < set(got)
+    assert sum(t.lower() == base for _, t in got) == 1
+
+
 def test_query_equals_brute_force(spark):
     docs = [(r["doc_id"], brute_print(r["text"])) for r in spark.read.parquet(f"{SF_MID}/documents.parquet").collect()]
     want = brute_components(docs)
