@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from ampfold.functions.paths import group_dir_of, path_datetime, report_datetime
 from ampfold.operators import signals as ops
 from ampfold.plans import ordered
 from ampfold.plans.staging import stage as _stage
+from ampfold.plans.staging import stage_readable
 from ampfold.session import remove_scratch, scratch_path
 from ampfold.sources import session_csv
 from ampfold.sources.session_csv import (CAPACITY, CURRENT, DQDV, DURATION, ORDER, SESSION_COLUMNS,
@@ -306,23 +308,31 @@ class SessionTree:
 
     ``profile`` (one text scan) finds files without data rows, of any size, ragged files, and files with cells
     that run over line ends, which a second reader takes whole; ``rows`` is the one parse of all others, landed
-    as Parquet. :meth:`release` removes both when no result that reads them is needed any more.
+    as Parquet. A file that either scan cannot read to its end is taken by neither and listed by :meth:`rejected`.
+    :meth:`release` removes both when no result that reads them is needed any more.
     """
 
     def __init__(self, spark: SparkSession, root: str, glob: str = "*.csv", encoding: str = "UTF-8",
                  files: Sequence[str] | None = None):
-        self.spark, self.root, self.glob = spark, root, glob
+        self.spark, self.root, self.glob, self.files = spark, root, glob, files
         self.paths = [scratch_path(spark, "session-profile"), scratch_path(spark, "session-rows")]
-        self.profile = _stage(session_csv.file_profile(spark, root, glob, encoding, files), "profile", self.paths[0])
+        self.profile, unread = stage_readable(
+            spark, lambda out: session_csv.file_profile(spark, root, glob, encoding, files, out), "profile", self.paths[0])
         if files is None and self.profile.isEmpty():
             raise ValueError(f"no readable session file below {root}")
         whole = [r["file"] for r in self.profile.where("multiline").select("file").collect()]
-        rows = session_csv.read_sessions(spark, root, glob=glob, encoding=encoding, files=files)
-        if whole:
-            own = spark.createDataFrame([(f,) for f in whole], "session_file string")
-            rows = rows.join(own, "session_file", "left_anti").unionByName(
-                session_csv.read_sessions(spark, root, glob=glob, encoding=encoding, files=whole, multiline=True))
-        self.rows = _stage(rows, "rows", self.paths[1])
+
+        def scan(out: list[str]) -> DataFrame:
+            rows = session_csv.read_sessions(spark, root, glob=glob, encoding=encoding, files=files, left_out=unread + out)
+            if whole:
+                own = spark.createDataFrame([(f,) for f in whole], "session_file string")
+                rows = rows.join(own, "session_file", "left_anti").unionByName(session_csv.read_sessions(
+                    spark, root, glob=glob, encoding=encoding, files=whole, multiline=True, left_out=out))
+            return rows
+
+        self.rows, more = stage_readable(spark, scan, "rows", self.paths[1])
+        if more:
+            self.profile = self.profile.where(~F.col("file").isin(*map(unquote, more)))
 
     def features(self, extractors: Sequence = ()) -> DataFrame:
         """The features of every file that can be taken (see :meth:`rejected`), files without data rows included."""
@@ -330,10 +340,11 @@ class SessionTree:
         ragged = self.profile.where(~F.col("multiline") & (F.col("max_cells") > F.col("n_cols"))).select(F.col("file").alias(KEY))
         return out.join(ragged, KEY, "left_anti")
 
-    def rejected(self) -> DataFrame:
-        """``path, reason, severity`` of every file that is left out or taken with nulls."""
-        return rejected_sessions(self.features()).unionByName(
-            session_csv.file_problems(self.spark, self.root, self.profile, self.glob))
+    def rejected(self, features: DataFrame | None = None) -> DataFrame:
+        """``path, reason, severity`` of every file that is left out or taken with nulls (``features``: those of
+        :meth:`features`, where they are at hand)."""
+        return rejected_sessions(self.features() if features is None else features).unionByName(
+            session_csv.file_problems(self.spark, self.root if self.files is None else list(self.files), self.profile, self.glob))
 
     def sessions(self) -> DataFrame:
         """``vehicle, session_file, session_ts`` of all files, from their paths alone (no content is read)."""

@@ -7,7 +7,10 @@ the lineage, so a lost executor does not send the job back to the raw files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ampfold.session import scratch_path
 
@@ -17,3 +20,26 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     out = path or scratch_path(spark, f"stage-{name}")
     df.write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
+
+
+# How Spark names the file on which a scan's task failed (after its retries).
+_FAILED_READ = re.compile(r"\[FAILED_READ_FILE\.(?!FILE_NOT_EXIST)\w+\] Encountered error while reading file (\S+?)\.? +(?:\w+: |SQLSTATE)")
+
+
+def stage_readable(spark: SparkSession, scan: Callable[[list[str]], DataFrame], name: str, path: str | None = None) -> tuple[DataFrame, list[str]]:
+    """:func:`stage` of a scan whose read errors fail the task, so that Spark retries it, and the files that
+    cannot be read to their end (URL-encoded, as Spark's file index matches ``_metadata.file_path``).
+
+    ``scan(left_out)`` reads all files but those of these paths. A file on which the job fails all the same is left
+    out whole and the scan starts anew, so no file is ever taken in part: one more scan for each such file.
+    """
+    left_out: list[str] = []
+    while True:
+        try:
+            return stage(scan(list(left_out)), name, path), left_out
+        except Exception as e:  # noqa: BLE001 - the error of another kind is raised again
+            failed = _FAILED_READ.search(str(e))
+            file = failed and re.sub(r"^(\w+):///", r"\1:/", failed.group(1))
+            if file is None or file in left_out:
+                raise
+            left_out.append(file)

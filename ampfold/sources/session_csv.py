@@ -60,10 +60,11 @@ def non_numeric(raw: Column) -> Column:
 
 
 def csv_tree(spark: SparkSession, root: str | Sequence[str], glob: str = "*.csv", encoding: str = "UTF-8",
-             multiline: bool = False) -> DataFrame:
-    """Every record of the files (below a folder, or listed) as one variant. An unreadable file is skipped; it is
-    listed by :func:`file_problems`. ``multiline``: cells may hold line ends (files are then not split)."""
-    return (
+             multiline: bool = False, left_out: Sequence[str] = ()) -> DataFrame:
+    """Every record of the files (below a folder, or listed) as one variant, without the files ``left_out``. A read
+    error fails the task: no file is taken in part (see :func:`ampfold.plans.staging.stage_readable`).
+    ``multiline``: cells may hold line ends (files are then not split)."""
+    raw = (
         spark.read.format("csv")
         .option("header", True)
         .option("singleVariantColumn", "_v")
@@ -72,15 +73,21 @@ def csv_tree(spark: SparkSession, root: str | Sequence[str], glob: str = "*.csv"
         .option("encoding", encoding)
         .option("mode", "PERMISSIVE")
         .option("multiLine", multiline)
-        .option("ignoreCorruptFiles", True)
+        .option("ignoreCorruptFiles", False)
         .load(root)
     )
+    return without_files(raw, left_out)
+
+
+def without_files(raw: DataFrame, left_out: Sequence[str]) -> DataFrame:
+    """A file scan without these (URL-encoded) paths; the files are not opened."""
+    return raw.where(~F.col("_metadata.file_path").isin(*left_out)) if left_out else raw
 
 
 def read_sessions(spark: SparkSession, root: str, columns: Sequence[str] = SESSION_COLUMNS,
                   glob: str = "*.csv", encoding: str = "UTF-8", path_columns: bool = False,
-                  files: Sequence[str] | None = None, multiline: bool = False) -> DataFrame:
-    """Rows of all session files below ``root`` (or of the listed ``files`` of that tree).
+                  files: Sequence[str] | None = None, multiline: bool = False, left_out: Sequence[str] = ()) -> DataFrame:
+    """Rows of all session files below ``root`` (or of the listed ``files`` of that tree), without ``left_out``.
 
     Columns: ``session_file, _root, _bs, _mid, <col> DOUBLE..., _has_<col>, _bad_<col>``; with
     ``path_columns`` also ``vehicle`` and ``session_ts`` per row. Path-derived values are
@@ -89,7 +96,7 @@ def read_sessions(spark: SparkSession, root: str, columns: Sequence[str] = SESSI
     text check runs only for cells that did not convert.
     """
     source = list(files) if files is not None else root
-    return parse_session_rows(csv_tree(spark, source, glob, encoding, multiline), root, columns, path_columns)
+    return parse_session_rows(csv_tree(spark, source, glob, encoding, multiline, left_out), root, columns, path_columns)
 
 
 def parse_session_rows(raw: DataFrame, root: str, columns: Sequence[str] = SESSION_COLUMNS,
@@ -115,7 +122,7 @@ def with_path_columns(rows: DataFrame) -> DataFrame:
         "session_ts", path_datetime("session_file"))
 
 
-def file_listing(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
+def file_listing(spark: SparkSession, root: str | Sequence[str], glob: str = "*.csv") -> DataFrame:
     """All matching files with size and modification time (metadata only, content not read)."""
     return (
         spark.read.format("binaryFile")
@@ -127,23 +134,24 @@ def file_listing(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFra
 
 
 def file_profile(spark: SparkSession, root: str, glob: str = "*.csv", encoding: str = "UTF-8",
-                 files: Sequence[str] | None = None) -> DataFrame:
-    """Per file: group, header column names, number of columns, number of data rows (blank lines skipped), the
+                 files: Sequence[str] | None = None, left_out: Sequence[str] = ()) -> DataFrame:
+    """Per file (but those ``left_out``): group, header column names, number of columns, number of data rows (blank lines skipped), the
     most cells of any line, and whether a quoted cell runs over a line end.
 
     Read with the text source, so large files are split; the header is the first line of the split at offset 0,
-    found with ``min_by`` on the scan-time row id (no window, no per-file task). Empty files yield no row.
+    found with ``min_by`` on the scan-time row id (no window, no per-file task). Empty files yield no row. A read
+    error fails the task, as in :func:`csv_tree`.
     """
-    txt = (
+    txt = without_files(
         spark.read.format("text")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .option("encoding", encoding)
-        .option("ignoreCorruptFiles", True)
-        .load(list(files) if files is not None else root)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_bs"),
-                F.monotonically_increasing_id().alias("_mid"), F.col("value"))
-    )
+        .option("ignoreCorruptFiles", False)
+        .load(list(files) if files is not None else root),
+        left_out,
+    ).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_bs"),
+             F.monotonically_increasing_id().alias("_mid"), F.col("value"))
     unquoted = F.regexp_replace("value", '"[^"]*"', "")
     prof = txt.groupBy("file").agg(
         F.min_by(F.when(F.col("_bs") == 0, F.col("value")), F.when(F.col("_bs") == 0, F.col("_mid"))).alias("header"),
@@ -169,10 +177,10 @@ def session_headers(profile: DataFrame, root: str) -> DataFrame:
     return profile.select(F.col("file").alias("session_file"), F.lit(root_prefix(root)).alias("_root"), "columns", "n_rows")
 
 
-def file_problems(spark: SparkSession, root: str, profile: DataFrame, glob: str = "*.csv") -> DataFrame:
+def file_problems(spark: SparkSession, root: str | Sequence[str], profile: DataFrame, glob: str = "*.csv") -> DataFrame:
     """``path, reason, severity`` of files that cannot be taken: ``ragged`` (a row with more cells than the
-    header) and ``unreadable`` (listed, but without a line that could be read). Spark's sources do not list files
-    without any byte, so those are in no table."""
+    header) and ``unreadable`` (listed, but not in the profile: it could not be read to its end, or has no line).
+    ``root``: a folder, or the files. Spark's sources do not list files without any byte, so those are in no table."""
     listed = file_listing(spark, root, glob).select("file")
     known = profile.select("file", (~F.col("multiline") & (F.col("max_cells") > F.col("n_cols"))).alias("_ragged"))
     reason = F.when(F.col("_ragged").isNull(), "unreadable").when(F.col("_ragged"), "ragged")

@@ -1,5 +1,7 @@
 """Golden session features (G1), degenerate inputs (G7), readers (G8), path datetime (G2)."""
 
+import gzip
+import random
 from pathlib import Path
 
 import pytest
@@ -283,3 +285,32 @@ def test_charsets(spark, tmp_root):
         path.write_bytes(data)
     got = {r["file"][-5]: r["charset"] for r in session_csv.charset_profile(spark, tmp_root).collect()}
     assert got == {"u": "UTF-8", "g": "GBK", "l": "ISO-8859-1"}
+
+
+def test_a_file_cut_off_in_the_middle_is_left_out(spark, tmp_root):
+    from ampfold.sources import cycle_csv
+    from ampfold.streaming.sessions import read_features, read_rejected, start_session_features
+
+    rng, root = random.Random(5), Path(tmp_root)
+    lines = "".join(f"{i},{rng.random()},{rng.random()}\n" for i in range(40_000))
+    whole = gzip.compress(("available_capacity,max_cell_voltage,charge_current\n" + lines).encode())
+    for folder in ("v/car", "w"):
+        write_csv(root / folder / "ok_20230101_000001.csv", G1)
+        (root / folder / "zipped_20230101_000002.csv.gz").write_bytes(whole)
+        for i in (3, 4):
+            (root / folder / f"cut{i}_ 20230101_00000{i}.csv.gz").write_bytes(whole[: len(whole) // 2])
+    name = lambda p: p.rsplit("/", 1)[-1].split("_")[0]
+    tree = ses.SessionTree(spark, str(root / "v"), glob="*.csv*")
+    assert {name(r["session_file"]): r["n_rows"] for r in tree.features().collect()} == {"ok": 6, "zipped": 40_000}
+    assert {(name(r["path"]), r["reason"]) for r in tree.rejected().collect()} == {("cut3", "unreadable"), ("cut4", "unreadable")}
+    good, rej = cycle_csv.usable_cycles(spark, str(root / "w"), n_features=3, glob="z*_20*.csv*")
+    assert good.count() == 40_000 and rej.count() == 0
+    good, rej = cycle_csv.usable_cycles(spark, str(root / "w"), n_features=3, glob="[zc]*.csv*")
+    assert good.count() == 40_000
+    assert {(name(r["path"]), r["reason"]) for r in rej.collect()} == {("cut3", "unreadable"), ("cut4", "unreadable")}
+    (root / "s").mkdir()
+    write_csv(root / "s" / "v" / "ok_20230101_000001.csv", G1)
+    (root / "s" / "v" / "cut_20230101_000002.csv").write_text("max_cell_voltage\n1,2\n")
+    start_session_features(spark, str(root / "s"), str(root / "out")).awaitTermination()
+    assert [name(r["session_file"]) for r in read_features(spark, str(root / "out")).collect()] == ["ok"]
+    assert [(name(r["path"]), r["reason"]) for r in read_rejected(spark, str(root / "out")).collect()] == [("cut", "ragged")]
