@@ -138,17 +138,22 @@ def describe(text: str, path: str, start: int, end: int, assigned: bool, known:
 def weak_label(value: str, features: list[float]) -> int | None:
     """1, 0 or not known, by rules that are sure of themselves; for corpora without labelled findings.
 
-    Issued key formats, and values with letters and digits assigned to a name of secrets, are secrets. Runs of
-    letters or digits alone, placeholders and named digests are none.
+    Issued key formats, whatever words stand beside them, and values with letters and digits assigned to a name of
+    secrets are secrets. Values that are placeholders, named digests, and runs of letters or digits alone that no
+    such name has are none. Not known are other values beside a placeholder's word, and passwords of letters alone.
     """
     f = dict(zip(FEATURES, features, strict=True))
-    if f["placeholder_inside"] or f["placeholder_near"] or f["digest_before"]:
+    if f["placeholder_inside"]:
         return 0
     if _issued.fullmatch(value):
         return 1
+    if f["digest_before"]:
+        return 0
+    if f["placeholder_near"]:
+        return None
     mixed = f["digits"] > 0 and f["digits"] + f["other"] < 1
     if f["assigned"] and f["name_before"]:
-        return 1 if mixed and len(value) >= 8 else 0 if not f["digits"] else None
+        return 1 if mixed and len(value) >= 8 else None
     return 0 if not mixed or not f["digits"] else None
 
 
