@@ -11,14 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampfold.llm.common import text_batches, whole_text, worker_state
+from ampfold.llm.common import SEED, text_batches, whole_text, worker_state
 from ampfold.llm.pretokens import JsonSpec, JsonTokenizer, read_spec, slices
 from ampfold.session import checkpoint_dir, scratch_path
 
 #: Proportions are whole parts of this.
 PARTS = 1 << 16
-#: Queues at most; sources with a smaller share of the text than one part in so many share the last queue.
+#: Queues at most but for those named in the targets; sources with a smaller share of the text than one part in so
+#: many share the last queue, by a schedule of their own (:func:`_tail_in_turn`).
 MOST_QUEUES = 256
+#: A source of the shared queue is served in turns of one part in so many of a sequence.
+TAIL_TURNS = 64
 #: Rows of the table of queue offsets up to which it is broadcast (24 bytes a row); beyond it is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -138,12 +141,16 @@ def _tokenizer(spec: JsonSpec, dtype: str) -> JsonTokenizer:
     return worker_state(("packing", spec, dtype), lambda: JsonTokenizer(spec, dtype))
 
 
-def _queues(docs: DataFrame, most: int) -> tuple[DataFrame, list]:
-    """Documents with their queue number, and the sources that have a queue of their own (at most ``most``)."""
+def _queues(docs: DataFrame, most: int, named: Sequence = ()) -> tuple[DataFrame, list]:
+    """Documents with their queue number, and the sources that have a queue of their own: at most ``most``, and
+    those ``named`` that the corpus has, of any size."""
     checkpoint_dir(docs.sparkSession)
     sizes = docs.groupBy("_source").agg(F.sum(F.octet_length("_text") + 1).alias("size")).checkpoint()
     total = sizes.agg(F.sum("size").alias("size")).first()["size"] or 0
-    large = sizes.where(F.col("size") * most >= F.lit(total)).orderBy("_source").collect()
+    own = F.col("size") * most >= F.lit(total)
+    for name in named:
+        own = own | F.col("_source").eqNullSafe(F.lit(name))
+    large = sizes.where(own).orderBy("_source").collect()
     sources = [r["_source"] for r in large]
     names = docs.sparkSession.createDataFrame([(s, i) for i, s in enumerate(sources)], docs.select("_source").schema.add("_queue", "integer"))
     of = names.select(F.col("_source").alias("_name"), "_queue")
@@ -151,14 +158,52 @@ def _queues(docs: DataFrame, most: int) -> tuple[DataFrame, list]:
     return joined.withColumn("_queue", F.coalesce("_queue", F.lit(len(sources)))).drop("_name"), sources
 
 
+def _tail_in_turn(tail: DataFrame, length: int) -> DataFrame:
+    """The shared queue's documents in turns, with ``_at``, their place in that queue, and ``_start`` in the document.
+
+    A weighted fair queue in closed form: a document is cut into turns, and the turns of all sources are put in the
+    order of the share of its tokens that the source has had at a point within each (by the source's hash, so that
+    sources of a single turn lie apart). At any place of the queue, and so over
+    all windows, every source has had its share of the tail's tokens to within a turn before or after.
+    A sort by ranges; the places are sums over the ranges before, of which only a number each goes to one task.
+    """
+    turn = max(2, length // TAIL_TURNS)
+    sums = tail.groupBy("_source", "_part").agg(F.sum("_n").alias("_sum"))
+    by = Window.partitionBy("_source")
+    before = by.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"),
+                       F.sum("_sum").over(by).alias("_total"))
+    width = F.col("_width")
+    rows = tail.join(sums, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
+    rows = rows.withColumn("_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(turn).cast("long"))))
+    rows = rows.withColumn("_size", F.least(F.lit(turn).cast("long"), F.col("_n") - F.col("_start")))
+    phase = F.pmod(F.xxhash64(F.lit(SEED), "_source"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    had = F.col("_base") + F.col("_first") + F.col("_start")
+    rows = rows.select(
+        "_id", "_queue", "_n", "_width", "_start", "_size", "_source",
+        F.substring("_ids", F.col("_start").cast("int") * width + 1, F.col("_size").cast("int") * width).alias("_ids"),
+        ((had + phase * F.col("_size")) / F.col("_total")).alias("_share"), had.alias("_had"),
+    )
+    order = ["_share", "_source", "_had"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id()}).checkpoint()
+    places = ranged.groupBy("_range").agg(F.sum("_size").alias("_sum"))
+    lower = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    places = places.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(lower), F.lit(0)).alias("_below"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("_below") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
+    placed = ranged.join(F.broadcast(places), F.col("_range") == F.col("_r")).withColumn("_at", at)
+    return placed.select("_id", "_queue", "_at", "_n", "_ids", "_width", "_start", "_size")
+
+
 def tokenised_queues(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """The queues as a table in the shared folder: ``_id, _queue, _ids, _n``, the partition ``_part`` and the
-    queue's tokens before the document in that partition (``_first``). A queue runs through the partitions."""
+    queue's tokens before the document in that partition (``_first``). A queue runs through the partitions. Rows of
+    the shared queue have their ``_source``, and ``_first`` counts that source's tokens; others have none."""
     spark, spec = docs.sparkSession, read_spec(path)
     text_batches(spark)
     dtype = "<u2" if max(JsonTokenizer(spec, "<u4").whole.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     shared, end, width = spark.sparkContext.broadcast(spec), np.array([end_id], dtype=dtype).tobytes(), int(dtype[2:])
-    schema = docs.select("_id", "_queue").schema.add("_part", "integer").add("_first", "long").add("_n", "long").add("_ids", "binary")
+    schema = docs.select("_id", "_queue", "_source").schema.add("_part", "integer").add("_first", "long").add("_n", "long").add("_ids", "binary")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -171,17 +216,17 @@ def tokenised_queues(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 rows = batch.slice(at, len(ids))
                 at += len(ids)
                 counts, firsts = [len(i) // width for i in ids], []
-                for q, n in zip(rows.column(1).to_pylist(), counts, strict=True):
-                    firsts.append(served.get(q, 0))
-                    served[q] = firsts[-1] + n
+                for q, s, n in zip(rows.column(1).to_pylist(), rows.column(3).to_pylist(), counts, strict=True):
+                    firsts.append(served.get((q, s), 0))
+                    served[q, s] = firsts[-1] + n
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array([part] * len(ids), pa.int32()), pa.array(firsts, pa.int64()),
+                    [rows.column(0), rows.column(1), rows.column(3), pa.array([part] * len(ids), pa.int32()), pa.array(firsts, pa.int64()),
                      pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["_id", "_queue", "_part", "_first", "_n", "_ids"],
+                    names=["_id", "_queue", "_source", "_part", "_first", "_n", "_ids"],
                 )
 
     out = scratch_path(spark, "packing")
-    docs.select("_id", "_queue", "_text").mapInArrow(tokenise, schema).write.option("compression", "zstd").parquet(out)
+    docs.select("_id", "_queue", "_text", "_source").mapInArrow(tokenise, schema).write.option("compression", "zstd").parquet(out)
     return spark.read.schema(schema).parquet(out).withColumn("_width", F.lit(width))
 
 
@@ -205,15 +250,18 @@ def pack(
 
     The texts are read for the sizes of the sources and to be tokenised; the ids lie once in the shared folder.
     Rows are not shuffled: a queue's order is that of the stored partitions, and only a number per partition
-    and queue is summed up. To the driver go the totals of the queues, ``MOST_QUEUES`` + 1 at most: rarer
-    sources share the last queue.
+    and queue is summed up. To the driver go the totals of the queues, ``MOST_QUEUES`` + 1 and one for each
+    source named in ``targets`` at most: rarer sources share the last queue, in which each keeps its proportion
+    among them (their ids alone are shuffled, by ranges).
 
     Defined cases: a null or empty text is ``end_id`` alone; a null source is a source; repeated rows are
     documents each; a very long text is cut into as many pieces as it needs; an empty table gives no rows;
     a target of 0, or a source that ``targets`` lacks, has the smallest turn (two tokens) until others end.
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), whole_text(text_col).alias("_text"))
-    docs, sources = _queues(docs, max(1, min(MOST_QUEUES, length // 4)))
+    docs, sources = _queues(docs, max(1, min(MOST_QUEUES, length // 4)), list(targets or ()))
+    shared = F.col("_queue") == len(sources)
+    docs = docs.withColumn("_source", F.when(shared, F.col("_source")))
     queues = tokenised_queues(docs, path, end_id)
 
     sums = queues.groupBy("_queue", "_part").agg(F.sum("_n").alias("n"))
@@ -225,8 +273,7 @@ def pack(
     weights = [float(t) for t in tokens]
     segments: list[Segment] = []
     if targets is not None:
-        rest = sum(w for s, w in targets.items() if s not in sources)
-        weights = [float(targets.get(s, 0)) for s in sources] + [float(rest)]
+        weights = [float(targets.get(s, 0)) for s in sources] + [0.0]
     if any(tokens):
         segments = schedule(tokens, weights, length)
     starts = [[s.served[q] for s in segments] for q in range(len(tokens))]
@@ -243,11 +290,11 @@ def pack(
             for at_row in range(0, whole.num_rows, 512):
                 batch = whole.slice(at_row, 512)
                 rows, pieces = [], []
-                for i, (q, at, n, data, width) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 6)), strict=True)):
+                for i, (q, at, n, data, width, begin, whole_n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 8)), strict=True)):
                     ids = np.frombuffer(data, dtype=f"<u{width}").astype("<u4").tobytes()
                     for start, size, sequence, offset in cut(segments, starts[q], q, at, n, length):
                         rows.append(i)
-                        pieces.append((start, size, ids[4 * start : 4 * (start + size)], n, sequence, offset, q))
+                        pieces.append((begin + start, size, ids[4 * start : 4 * (start + size)], whole_n, sequence, offset, q))
                 arrays = [batch.column(0).take(pa.array(rows, pa.int64()))]
                 arrays += [pa.array(values, kind) for values, kind in zip(zip(*pieces, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=fields.names)
@@ -255,8 +302,12 @@ def pack(
     base = bases.select(F.col("_queue").alias("_q"), F.col("_part").alias("_p"), "_base")
     if base.count() <= BROADCAST_ROWS:
         base = F.broadcast(base)
-    placed = queues.join(base, (F.col("_queue") == F.col("_q")) & (F.col("_part") == F.col("_p")))
-    placed = placed.select("_id", "_queue", (F.col("_base") + F.col("_first")).alias("_at"), "_n", "_ids", "_width")
+    placed = queues.where(~shared).join(base, (F.col("_queue") == F.col("_q")) & (F.col("_part") == F.col("_p")))
+    placed = placed.select("_id", "_queue", (F.col("_base") + F.col("_first")).alias("_at"), "_n", "_ids", "_width",
+                           F.lit(0).cast("long").alias("_start"), F.col("_n").alias("_doc_n"))
+    if tokens[-1]:
+        tail = _tail_in_turn(queues.where(shared), length)
+        placed = placed.unionByName(tail.select("_id", "_queue", "_at", F.col("_size").alias("_n"), "_ids", "_width", "_start", F.col("_n").alias("_doc_n")))
     return placed.mapInArrow(cut_all, fields)
 
 

@@ -118,3 +118,31 @@ def test_every_window_has_the_mixture(spark):
         windows.setdefault(r["sequence_id"], {})[r["queue"]] = r["n"]
     full = [w for s, w in windows.items() if s < len(windows) - 2]
     assert all(abs(w[0] - 128) <= 2 and abs(w[1] - 384) <= 2 for w in full)
+
+
+def test_a_long_tail_of_sources_keeps_its_proportions(spark):
+    lib = Tokenizer.from_file(PATH)
+    rows = [(i, "the cat sat on the mat " * (1 + i % 3), f"s{i // 20 % 1000 if i < 20_000 else 0}") for i in range(20_000)]
+    rows += [(20_000 + i, "a rare good text " * 30, "rare") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartitionByRange(4, "doc_id")
+    source, texts = {i: s for i, _, s in rows}, {i: t for i, t, _ in rows}
+    for targets in (None, {"rare": 1.0, "s1": 1.0}):
+        out = packing.pack(df, PATH, length=512, targets=targets).withColumn("ids_crc32", F.crc32("ids")).drop("ids").collect()
+        check(out, texts, lib, 512)
+        tail = sorted((r["sequence_id"], r["offset"], r["length"], source[r["doc_id"]]) for r in out if source[r["doc_id"]] not in ("rare", "s1"))
+        total, had = sum(t[2] for t in tail), {}
+        sums = {}
+        for *_, n, s in tail:
+            sums[s] = sums.get(s, 0) + n
+        done, marks = 0, [total * k // 10 for k in range(1, 10)]
+        for *_, n, s in tail:
+            done, had[s] = done + n, had.get(s, 0) + n
+            if marks and done >= marks[0]:
+                marks.pop(0)
+                assert max(abs(had.get(x, 0) - sums[x] * done / total) for x in sums) <= 24  # turns of 8 tokens
+    rare = {}
+    for r in out:
+        if source[r["doc_id"]] == "rare":
+            rare[r["sequence_id"]] = rare.get(r["sequence_id"], 0) + r["length"]
+    assert abs(rare[0] - 255) <= 1  # half, but for the two tokens of the sources without a weight
+    assert sorted(rare) == list(range(len(rare))) and len(rare) <= 4
