@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampfold.llm import bpe, exact_dedup, merkle, merkle_sql, packing, quality, secrets, sharding, simhash, token_counts, warc, warc_sql
+from ampfold.llm import bpe, exact_dedup, manifest, manifest_sql, merkle, merkle_sql, packing, quality, runs, secrets, sharding, simhash
+from ampfold.llm import token_counts, toxicity, warc, warc_sql
 from ampfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +113,25 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(pieces)
 
 
+@query()
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all texts; rows of remainder 1 are held out of the learning."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return toxicity.score_documents(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), threshold=0.7)
+
+
+@query()
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every text, planted ones among them, and the text without the repetitions."""
+    return runs.run_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query(manifest_sql.DIGEST)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents by source, and what verifying every document's proof gives."""
+    return manifest.verify_digest(table(spark, sf_dir, "documents", *manifest.DOCUMENT))
+
+
 def packed_digest(pieces: DataFrame) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue"
