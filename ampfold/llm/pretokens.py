@@ -104,6 +104,18 @@ def splitter(given: Patterns) -> Callable[[str], list[str]]:
     return split
 
 
+#: Words that are encoded as one line; longer lines take longer for each word.
+LINE = 64
+# The letter of every byte in byte-level vocabularies: itself if it can be seen, else the next letter from 256 on.
+_SEEN = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+_LETTERS = {b: b for b in _SEEN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SEEN)))} | {ord(" "): ord(" ")}
+
+
+def byte_letters(words: str) -> str:
+    """Words parted by blanks, with the byte-level letters of their UTF-8 bytes (the blanks stay)."""
+    return words.encode().decode("latin-1").translate(_LETTERS)
+
+
 class WorkerCache:
     """Values by pre-token. Those not known yet are encoded many at a time. Beyond ``limit`` entries a new
     generation begins; what it does not take from the last one is forgotten with that, which affects the speed
@@ -184,8 +196,7 @@ def read_spec(path: str) -> JsonSpec:
         return JsonSpec(source)
     marked = bool(spec["model"]["end_of_word_suffix"]) and bool(folds)  # a word then has no blank inside
     level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-    blank = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
-    pre = {"type": "Sequence", "pretokenizers": [blank, level]} if marked else level
+    pre = {"type": "CharDelimiterSplit", "delimiter": " "} if marked else level  # marked words come as byte letters
     piece = json.dumps(spec | {"added_tokens": [], "normalizer": None, "pre_tokenizer": pre})
     special = tuple((t["content"], t["id"]) for t in added)
     flags = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
@@ -229,11 +240,12 @@ class JsonTokenizer:
 
     def _encode(self, pieces: list[str]) -> list:
         if not self.dtype:
+            pieces = [byte_letters(p) for p in pieces] if self.spec.last else pieces
             return [len(e) for e in self.piece.encode_batch_fast(pieces, add_special_tokens=False)]
         if not self.spec.last:
             return [self._value(e.ids) for e in self.piece.encode_batch_fast(pieces, add_special_tokens=False)]
         out, width = [], np.dtype(self.dtype).itemsize
-        lines = [" ".join(pieces[at : at + 1000]) for at in range(0, len(pieces), 1000)]  # words, parted by their end marks
+        lines = [byte_letters(" ".join(pieces[at : at + LINE])) for at in range(0, len(pieces), LINE)]  # words, parted by their end marks
         for e in self.piece.encode_batch_fast(lines, add_special_tokens=False):
             ids = np.array(e.ids, dtype=self.dtype)
             ends = ((np.flatnonzero(self.last[ids]) + 1) * width).tolist()
