@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +27,10 @@ from ampfold.functions.paths import group_dir_of, path_datetime, report_datetime
 from ampfold.operators import signals as ops
 from ampfold.plans import ordered
 from ampfold.plans.staging import stage as _stage
-from ampfold.plans.staging import stage_readable
+from ampfold.plans.staging import all_but, file_hash, stage_readable
 from ampfold.session import remove_scratch, scratch_path
 from ampfold.sources import session_csv
+from ampfold.sources.archives import damaged_archives
 from ampfold.sources.session_csv import (CAPACITY, CURRENT, DQDV, DURATION, ORDER, SESSION_COLUMNS,
                                          TEMPERATURE, VOLTAGE)
 
@@ -316,23 +316,26 @@ class SessionTree:
                  files: Sequence[str] | None = None):
         self.spark, self.root, self.glob, self.files = spark, root, glob, files
         self.paths = [scratch_path(spark, "session-profile"), scratch_path(spark, "session-rows")]
+        source = root if files is None else list(files)
+        listing = session_csv.file_tree(spark, source, glob)
+        damaged = damaged_archives(spark, source, glob)
         self.profile, unread = stage_readable(
-            spark, lambda out: session_csv.file_profile(spark, root, glob, encoding, files, out), "profile", self.paths[0])
+            lambda only: session_csv.file_profile(spark, root, glob, encoding, files, only), listing, "profile", self.paths[0], damaged)
         if files is None and self.profile.isEmpty():
             raise ValueError(f"no readable session file below {root}")
-        whole = [r["file"] for r in self.profile.where("multiline").select("file").collect()]
+        # A number for each file with cells over line ends; its path is in the condition that keeps it out of the other reader.
+        whole = [r["h"] for r in self.profile.where("multiline").select(file_hash("file").alias("h")).collect()]
 
-        def scan(out: list[str]) -> DataFrame:
-            rows = session_csv.read_sessions(spark, root, glob=glob, encoding=encoding, files=files, left_out=unread + out)
+        def scan(only: Column) -> DataFrame:
+            rows = session_csv.read_sessions(spark, root, glob=glob, encoding=encoding, files=files, only=only & all_but(whole))
             if whole:
-                own = spark.createDataFrame([(f,) for f in whole], "session_file string")
-                rows = rows.join(own, "session_file", "left_anti").unionByName(session_csv.read_sessions(
-                    spark, root, glob=glob, encoding=encoding, files=whole, multiline=True, left_out=out))
+                rows = rows.unionByName(session_csv.read_sessions(
+                    spark, root, glob=glob, encoding=encoding, files=files, multiline=True, only=only & file_hash().isin(*whole)))
             return rows
 
-        self.rows, more = stage_readable(spark, scan, "rows", self.paths[1])
+        self.rows, more = stage_readable(scan, listing, "rows", self.paths[1], [*damaged, *unread])
         if more:
-            self.profile = self.profile.where(~F.col("file").isin(*map(unquote, more)))
+            self.profile = self.profile.where(all_but(more, "file"))
 
     def features(self, extractors: Sequence = ()) -> DataFrame:
         """The features of every file that can be taken (see :meth:`rejected`), files without data rows included."""

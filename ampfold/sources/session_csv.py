@@ -60,9 +60,10 @@ def non_numeric(raw: Column) -> Column:
 
 
 def csv_tree(spark: SparkSession, root: str | Sequence[str], glob: str = "*.csv", encoding: str = "UTF-8",
-             multiline: bool = False, left_out: Sequence[str] = ()) -> DataFrame:
-    """Every record of the files (below a folder, or listed) as one variant, without the files ``left_out``. A read
-    error fails the task: no file is taken in part (see :func:`ampfold.plans.staging.stage_readable`).
+             multiline: bool = False, only: Column | None = None) -> DataFrame:
+    """Every record of the files (below a folder, or listed) as one variant; ``only``: of those that meet a condition
+    on ``_metadata.file_path``. A read error fails the task: no file is taken in part (see
+    :func:`ampfold.plans.staging.stage_readable`).
     ``multiline``: cells may hold line ends (files are then not split)."""
     raw = (
         spark.read.format("csv")
@@ -76,18 +77,18 @@ def csv_tree(spark: SparkSession, root: str | Sequence[str], glob: str = "*.csv"
         .option("ignoreCorruptFiles", False)
         .load(root)
     )
-    return without_files(raw, left_out)
+    return only_files(raw, only)
 
 
-def without_files(raw: DataFrame, left_out: Sequence[str]) -> DataFrame:
-    """A file scan without these (URL-encoded) paths; the files are not opened."""
-    return raw.where(~F.col("_metadata.file_path").isin(*left_out)) if left_out else raw
+def only_files(raw: DataFrame, only: Column | None) -> DataFrame:
+    """A file scan of the files that meet a condition on their path; the others are not opened."""
+    return raw if only is None else raw.where(only)
 
 
 def read_sessions(spark: SparkSession, root: str, columns: Sequence[str] = SESSION_COLUMNS,
                   glob: str = "*.csv", encoding: str = "UTF-8", path_columns: bool = False,
-                  files: Sequence[str] | None = None, multiline: bool = False, left_out: Sequence[str] = ()) -> DataFrame:
-    """Rows of all session files below ``root`` (or of the listed ``files`` of that tree), without ``left_out``.
+                  files: Sequence[str] | None = None, multiline: bool = False, only: Column | None = None) -> DataFrame:
+    """Rows of all session files below ``root`` (or of the listed ``files`` of that tree), ``only`` as in :func:`csv_tree`.
 
     Columns: ``session_file, _root, _bs, _mid, <col> DOUBLE..., _has_<col>, _bad_<col>``; with
     ``path_columns`` also ``vehicle`` and ``session_ts`` per row. Path-derived values are
@@ -96,7 +97,7 @@ def read_sessions(spark: SparkSession, root: str, columns: Sequence[str] = SESSI
     text check runs only for cells that did not convert.
     """
     source = list(files) if files is not None else root
-    return parse_session_rows(csv_tree(spark, source, glob, encoding, multiline, left_out), root, columns, path_columns)
+    return parse_session_rows(csv_tree(spark, source, glob, encoding, multiline, only), root, columns, path_columns)
 
 
 def parse_session_rows(raw: DataFrame, root: str, columns: Sequence[str] = SESSION_COLUMNS,
@@ -123,33 +124,34 @@ def with_path_columns(rows: DataFrame) -> DataFrame:
 
 
 def file_listing(spark: SparkSession, root: str | Sequence[str], glob: str = "*.csv") -> DataFrame:
-    """All matching files with size and modification time (metadata only, content not read)."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .load(root)
-        .select(F.col("path").alias("file"), F.col("length"), F.col("modificationTime").alias("modified"))
-    )
+    """All matching files with size and modification time (metadata only, content not read); paths as the scans have them."""
+    return file_tree(spark, root, glob).select(
+        F.col("_metadata.file_path").alias("file"), F.col("length"), F.col("modificationTime").alias("modified"))
+
+
+def file_tree(spark: SparkSession, root: str | Sequence[str], glob: str = "*.csv") -> DataFrame:
+    """The matching files (below a folder, or listed) as Spark's binary source has them; what is not selected is not read."""
+    source = root if isinstance(root, str) else list(root)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(source)
 
 
 def file_profile(spark: SparkSession, root: str, glob: str = "*.csv", encoding: str = "UTF-8",
-                 files: Sequence[str] | None = None, left_out: Sequence[str] = ()) -> DataFrame:
-    """Per file (but those ``left_out``): group, header column names, number of columns, number of data rows (blank lines skipped), the
+                 files: Sequence[str] | None = None, only: Column | None = None) -> DataFrame:
+    """Per file (``only``: those that meet a condition on their path): group, header column names, number of columns, number of data rows (blank lines skipped), the
     most cells of any line, and whether a quoted cell runs over a line end.
 
     Read with the text source, so large files are split; the header is the first line of the split at offset 0,
     found with ``min_by`` on the scan-time row id (no window, no per-file task). Empty files yield no row. A read
     error fails the task, as in :func:`csv_tree`.
     """
-    txt = without_files(
+    txt = only_files(
         spark.read.format("text")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .option("encoding", encoding)
         .option("ignoreCorruptFiles", False)
         .load(list(files) if files is not None else root),
-        left_out,
+        only,
     ).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_bs"),
              F.monotonically_increasing_id().alias("_mid"), F.col("value"))
     unquoted = F.regexp_replace("value", '"[^"]*"', "")
