@@ -103,17 +103,17 @@ def covered(value: str, words: frozenset[str]) -> float:
 
 def candidates(text: str) -> list[tuple[int, int, bool]]:
     """Start, end and whether it is assigned, of every candidate; none overlaps another."""
-    spans = {m.span(1): True for m in _assigned(text)}
-    taken = sorted(spans)
+    # Both lists are in order and neither overlaps itself, so one pass over each merges them.
+    assigned = [m.span(1) for m in _assigned(text)]
+    out, at = [], 0
     for m in _run(text):
-        if not any(a < m.end() and m.start() < b for a, b in taken):
-            spans[m.span()] = False
-    out, end = [], 0
-    for (a, b), assigned in sorted(spans.items()):
-        if a >= end:
-            out.append((a, b, assigned))
-            end = b
-    return out
+        start, end = m.span()
+        while at < len(assigned) and assigned[at][1] <= start:
+            out.append((*assigned[at], True))
+            at += 1
+        if at == len(assigned) or assigned[at][0] >= end:
+            out.append((start, end, False))
+    return out + [(a, b, True) for a, b in assigned[at:]]
 
 
 def describe(text: str, path: str, start: int, end: int, assigned: bool, known: CorpusStatistics) -> list[float]:
@@ -281,10 +281,12 @@ class SecretModel:
         if not spans:
             return text
         scores = self.forest.score(np.array([describe(text, path, *s, self.known) for s in spans], dtype=float))
-        for (a, b, _), score in zip(reversed(spans), reversed(scores.tolist()), strict=True):
+        parts, end = [], 0
+        for (a, b, _), score in zip(spans, scores.tolist(), strict=True):
             if score >= self.threshold:
-                text = text[:a] + by + text[b:]
-        return text
+                parts += [text[end:a], by]
+                end = b
+        return "".join([*parts, text[end:]])
 
 
 def fit(
