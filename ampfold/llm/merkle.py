@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ampfold.llm.common import SEED, sha256_hex, whole_text
 
@@ -92,35 +93,46 @@ def locate_edits(pairs: DataFrame, id_col: str, old: str, new: str) -> DataFrame
 def with_successor(docs: DataFrame, id_col: str, text_col: str, to: str) -> DataFrame:
     """Documents with the text that follows in descending order of the ids (after the last: the first).
 
-    No task orders all rows: ids drawn by hash, one in ``CHUNK_ROWS``, part the order into chunks (so a chunk's
-    size does not depend on how the ids are spread), each first document is also a guest at the end of the chunk
-    before, and a window in each chunk looks one row ahead. The texts are shuffled once. To the driver go the
-    drawn ids, about ``MOST_CHUNKS`` numbers at most.
+    No task orders all rows: (id, text hash) pairs drawn by hash, one in ``CHUNK_ROWS``, part the order into chunks (so
+    a chunk's size depends neither on how the ids are spread nor on how often one of them stands there), each first
+    document is also a guest at the end of the chunk before, and a window in each chunk looks one row ahead. The texts
+    are shuffled once. To the driver go the drawn pairs, about ``MOST_CHUNKS`` at most.
 
-    Defined cases: a null text is empty; a null id comes after all others; rows of one id stand in the order
-    of their texts, in one chunk; a single row follows itself.
+    Defined cases: a null text is empty; ids of any type that has an order; a null id comes after all others; rows of one
+    id stand in the order of their texts' hash, and of their texts; a single row follows itself. Rows that are alike in id
+    and text share a chunk.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
-    ids = docs.select(key.alias("_key"))
+    number = isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    kind = "bigint" if number else "string"
+    if number:
+        key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
+    else:  # hex digits have no comma, and ascend as the bytes of the text do
+        key = F.coalesce(F.concat(F.lit("x"), F.hex(F.col(id_col).cast("string").cast("binary"))), F.lit(""))
+    hash_ = F.xxhash64(whole_text(text_col))
+    ids = docs.select(F.struct(key.alias("k"), hash_.alias("h")).alias("_key"))
     sizes = ids.agg(F.count(F.lit(1)).alias("n"), F.max("_key").alias("top")).first()
     one_in = max(CHUNK_ROWS, -(-sizes["n"] // MOST_CHUNKS))
-    drawn = ids.where(F.pmod(F.xxhash64(F.lit(SEED), "_key"), F.lit(one_in)) == 0).distinct().collect()
-    tops = sorted({r["_key"] for r in drawn} | {LOWEST if sizes["top"] is None else sizes["top"]}, reverse=True)
-    bounds = F.split(F.lit(",".join(map(str, tops))), ",").cast("array<bigint>")  # folded into one literal
+    drawn = ids.where(F.pmod(F.xxhash64(F.lit(SEED), "_key.k", "_key.h"), F.lit(one_in)) == 0).distinct().collect()
+    lowest = (LOWEST if number else "", LOWEST)
+    tops = sorted({tuple(r["_key"]) for r in drawn} | {lowest if sizes["top"] is None else tuple(sizes["top"])}, reverse=True)
+    # folded into one literal each
+    keys, hashes = (F.split(F.lit(",".join(str(t[i]) for t in tops)), ",").cast(f"array<{k}>") for i, k in enumerate((kind, "bigint")))
 
-    def at_least(found: Column, step: Column) -> Column:  # the number of bounds that are not below the key
+    def at_least(found: Column, step: Column) -> Column:  # the number of bounds that are not below the row
         more = found + step
-        return F.when((more <= len(tops)) & (F.get(bounds, more - 1) >= F.col("_key")), more).otherwise(found)
+        bound = F.get(keys, more - 1)
+        above = (bound > F.col("_key")) | ((bound == F.col("_key")) & (F.get(hashes, more - 1) >= F.col("_hash")))
+        return F.when((more <= len(tops)) & above, more).otherwise(found)
 
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(tops).bit_length()))])
-    rows = docs.withColumns({"_key": key, text_col: whole_text(text_col)})
+    rows = docs.withColumns({"_key": key, "_hash": hash_, text_col: whole_text(text_col)})
     rows = rows.withColumn("_chunk", F.aggregate(steps, F.lit(0), at_least) - 1)
     before = F.pmod(F.col("_chunk") - 1, F.lit(len(tops)))
     own, guest = (F.struct(c.alias("chunk"), F.lit(g).alias("guest")) for c, g in ((F.col("_chunk"), 0), (before, 1)))
-    first = F.get(bounds, F.col("_chunk")) == F.col("_key")
+    first = (F.get(keys, F.col("_chunk")) == F.col("_key")) & (F.get(hashes, F.col("_chunk")) == F.col("_hash"))
     rows = rows.withColumn("_at", F.explode(F.when(first, F.array(own, guest)).otherwise(F.array(own))))
-    ahead = Window.partitionBy("_at.chunk").orderBy("_at.guest", F.col("_key").desc(), text_col)
-    return rows.withColumn(to, F.lead(text_col).over(ahead)).where("_at.guest = 0").drop("_key", "_chunk", "_at")
+    ahead = Window.partitionBy("_at.chunk").orderBy("_at.guest", F.col("_key").desc(), F.col("_hash").desc(), text_col)
+    return rows.withColumn(to, F.lead(text_col).over(ahead)).where("_at.guest = 0").drop("_key", "_hash", "_chunk", "_at")
 
 
 def half_edited(docs: DataFrame, text_col: str, next_col: str, to: str) -> DataFrame:

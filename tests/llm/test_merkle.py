@@ -3,7 +3,9 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ampfold.llm import merkle
@@ -37,7 +39,11 @@ def like(a, b):
 
 
 def brute(rows):
-    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else merkle.LOWEST), r[1] or ""))
+    signed = lambda t: np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)
+    last = "" if any(isinstance(r[0], str) for r in rows) else merkle.LOWEST
+    key = lambda r: (r[0] is not None, last if r[0] is None else r[0])
+    order = sorted(rows, key=lambda r: r[1] or "")
+    order = sorted(order, key=lambda r: (key(r), signed(r[1] or "")), reverse=True)
     for i, (d, t) in enumerate(order):
         t, x = t or "", order[(i + 1) % len(order)][1] or ""
         half = len(t) // 2
@@ -60,6 +66,22 @@ def test_digest_equals_brute_force(spark, monkeypatch, chunk_rows):
     assert sorted(got, key=repr) == sorted(brute(rows), key=repr)
 
 
+@pytest.mark.parametrize("of", [lambda i: None, lambda i: 7 if i % 3 else i, lambda i: f"id {i % 40:03d}" if i % 5 else None])
+def test_hot_and_text_ids_are_cut_into_chunks(spark, monkeypatch, of):
+    monkeypatch.setattr(merkle, "CHUNK_ROWS", 8)
+    rows = [(of(i), f"Text number {i}.\nSecond line of {i}.") for i in range(300)]
+    kind = "string" if any(isinstance(r[0], str) for r in rows) else "long"
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(4)
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"])
+           for r in merkle.fingerprint_digest(df).collect()]
+    assert sorted(got, key=repr) == sorted(brute(rows), key=repr)
+    window = []
+    real = merkle.Window.partitionBy
+    monkeypatch.setattr(merkle.Window, "partitionBy", staticmethod(lambda *c: window.append(c) or real(*c)))
+    rows_of = merkle.with_successor(df.withColumnRenamed("doc_id", "_id"), "_id", "text", "next")
+    assert rows_of.count() == 300 and window == [("_at.chunk",)]
+
+
 def test_one_row_and_none(spark):
     one = spark.createDataFrame([(5, "abcd. efgh.")], "doc_id long, text string")
     r = merkle.fingerprint_digest(one).first()
