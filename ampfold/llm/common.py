@@ -64,16 +64,21 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` whose (id, SHA-256 of the text) is in ``kept(_id, _sha)``, one row for each.
+def packed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of the rows in one, ``_doc``, beside new ones, so that no name of theirs can clash."""
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_doc"), *[c.alias(name) for name, c in columns.items()])
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text: str | Column) -> DataFrame:
+    """The rows of ``docs`` whose (id, SHA-256 of the text) is in ``kept(_id, _sha)``, one row for each, with all columns.
 
     One shuffle of the texts by (id, digest); the join's partitioning and sort order also serve the
     removal of rows repeated with the same id and text.
     """
-    rows = docs.withColumns({"_id": F.col(id_col), "_sha": sha256_hex(whole_text(text_col))})
+    rows = packed(docs, _id=F.col(id_col), _sha=sha256_hex(whole_text(text)))
     kept = kept.select(F.col("_id").alias("_kept_id"), F.col("_sha").alias("_kept_sha"))
     cond = F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    return rows.join(kept, cond, "left_semi").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    return rows.join(kept, cond, "left_semi").dropDuplicates(["_id", "_sha"]).select("_doc.*")
 
 
 def merge_in_tree(partials: DataFrame, parts: int, merge: Callable[[pa.Table], pa.Table]) -> DataFrame:

@@ -113,8 +113,5 @@ def drop_exact_duplicates(
 ) -> DataFrame:
     """The documents that :func:`exact_duplicates` keeps, with all their columns."""
     found = exact_duplicates(docs, id_col, text_col, keep, fold_case).where("kept")
-    if not fold_case:
-        return keep_rows(docs, found.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")), id_col, text_col)
-    own = docs.withColumn("_folded", normalised(text_col, True))
-    kept = keep_rows(own, found.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")), id_col, "_folded")
-    return kept.select(*docs.columns)
+    kept = found.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    return keep_rows(docs, kept, id_col, normalised(text_col, fold_case))

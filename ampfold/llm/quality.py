@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampfold.llm.common import SEED, merge_in_tree, text_batches, whole_text, worker_state
+from ampfold.llm.common import SEED, merge_in_tree, packed, text_batches, whole_text, worker_state
 from ampfold.llm.pretokens import slices
 
 #: Words are dealt by hash into this many rows of the vector table, so every word has a vector.
@@ -242,6 +242,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose score reaches the threshold, with all their columns."""
-    scored = fit(docs, labels, id_col, text_col).transform(docs, text_col, "_score")
-    return scored.where(F.col("_score") >= threshold).select(*docs.columns)
+    """The documents whose score reaches the threshold, with all their columns, whatever their names; repeated rows, null
+    and empty texts are scored as any other, and an empty table gives no rows."""
+    rows = packed(docs, _text=F.col(text_col))
+    scored = fit(docs, labels, id_col, text_col).transform(rows, "_text", "_score")
+    return scored.where(F.col("_score") >= threshold).select("_doc.*")

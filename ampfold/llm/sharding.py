@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampfold.llm.common import whole_text
+from ampfold.llm.common import packed, whole_text
 from ampfold.plans.ordered import global_positions
 
 #: Hex digits of MD5 that give a point on the ring (60 bits, a positive long).
@@ -87,11 +87,12 @@ def shard_rows(
         at = np.searchsorted(edges, point.to_numpy(), side="left")
         return pd.Series((at % len(edges)).astype("int32"))
 
+    user = lambda c: F.col("_doc")[c]
     point = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, POINT_DIGITS), 16, 10)
-    placed = rows.withColumn("_point", point.cast("long")).withColumn("_arc", arc_of("_point"))
+    placed = packed(rows, _point=point.cast("long")).withColumn("_arc", arc_of("_point"))
     placed = placed.withColumn("_row", F.monotonically_increasing_id())
     # arc 0 also holds the points after the last node: the order is by arc, then clockwise inside it
-    order = [F.col("_arc"), (F.col("_point") <= int(edges[0])).asc(), F.col("_point"), F.col(key), *map(F.col, tie), F.col("_row")]
+    order = [F.col("_arc"), (F.col("_point") <= int(edges[0])).asc(), F.col("_point"), user(key), *map(user, tie), F.col("_row")]
     ranked = global_positions(placed, order, "_rank")
 
     counts = dict(ranked.groupBy("_arc").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -118,7 +119,7 @@ def shard_rows(
 
     names = ["home_shard", "shard", "hops", "slot"]
     out = ranked.withColumn("_seat", seat("_arc", "_rank"))
-    return out.select(*[c for c in rows.columns if c not in names], *[F.col(f"_seat.{c}").alias(c) for c in names])
+    return out.select(*[user(c).alias(c) for c in rows.columns if c not in names], *[F.col(f"_seat.{c}").alias(c) for c in names])
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", **ring_args) -> DataFrame:

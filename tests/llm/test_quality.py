@@ -58,4 +58,6 @@ def test_odd_rows_and_missing_labels(spark):
     one = spark.createDataFrame([(1, 1), (3, 1), (9, 0), (3, None), (None, 0)], "doc_id long, quality int")
     assert {r["score"] for r in quality.score_documents(df, one).collect()} == {1.0}
     assert quality.score_documents(df.limit(0), one).count() == 0
-    assert quality.keep_good(df, one).columns == df.columns
+    kept = quality.keep_good(df.withColumn("_score", F.lit("mine")), one)
+    assert kept.columns == [*df.columns, "_score"] and kept.count() == 5
+    assert {(r["score"], r["_id"], r["_score"]) for r in kept.collect()} == {("s", 0, "mine")}

@@ -123,3 +123,20 @@ def test_dropping_keeps_columns_and_one_row_each(spark):
     assert out.columns == df.columns
     assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 3, 5, 6, 7, 10, 11, 12]
     assert exact_dedup.exact_duplicates(df.limit(0)).count() == 0
+
+
+def test_user_columns_of_any_name_keep_their_values(spark):
+    from ampfold.llm import simhash
+
+    mine = ["_id", "_sha", "_folded", "_point", "_arc", "_row", "_rank", "_seat", "_doc", "_chunk", "_index", "_of", "Root", "fp", "a.b"]
+    rows = [(i, f"Text number {i // 2} of them all", *[f"{c}{i}" for c in mine]) for i in range(12)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *mine]).repartition(3)
+    made = {
+        "exact": exact_dedup.drop_exact_duplicates(df, keep="max", fold_case=True), "exact, as they are": exact_dedup.drop_exact_duplicates(df),
+        "near": simhash.drop_near_duplicates(df), "shards": sharding.shard_rows(df, "doc_id", 3),
+    }
+    for name, out in made.items():
+        got = out.collect()
+        assert len(got) == (12 if name == "shards" else 6 if "exact" in name else len(got)) and got, name
+        for r in got:
+            assert all(r[c] == f"{c}{r['doc_id']}" for c in mine), name
