@@ -16,11 +16,13 @@ readings at all (fewer than two pairs, all-missing dQ/dV).
 
 Every user has one more session file, of the kind ``user_id % 8``, as a tree in the field has them: without data
 rows (0; with a header of over 64 KiB: 7), with a row of more cells than the header (1), with text among the
-numbers (2), with a cell over two lines (3), with text in the capacities and no dQ/dV (4), with a Latin-1 cell (5);
-kind 6 has none.
+numbers (2), with a cell over two lines (3), with text in the capacities and no dQ/dV (4), with a Latin-1 cell (5),
+with a cell over two lines and a row of more cells than the header (6).
 
 Cycle tree (``events``): one file per user (battery), rows in time order, 15 numeric columns
-plus a text column at the end; users whose first event is an error get a 14-column file.
+plus a text column at the end, which runs over two lines in the files of every eighth user; users whose first event
+is an error get a 14-column file. Every user has one more file that cannot be used, of the kind ``user_id % 5`` of
+``ODD_CYCLES``.
 """
 
 from __future__ import annotations
@@ -73,6 +75,7 @@ ODD_FILES = {
     3: ("lines", [_header([*SESSION_COLUMNS, "note"]), '1,10,5,20,7,1,"two', 'lines"', "2,30,5,21,7,3,one"]),
     4: ("capacity", [_header(_NO_DQDV), "x,10,5,20,7", "2,30,5,20,7"]),
     5: ("latin", [_header([*SESSION_COLUMNS, "note"]), "1,10,5,20,7,1,caf\u00e9", "2,30,5,21,7,3,b"]),
+    6: ("folded_ragged", [_header([*SESSION_COLUMNS, "note"]), '1,10,5,20,7,1,"two', 'lines"', "2,30,5,21,7,3,one,99"]),
     7: ("wide", [_header([*SESSION_COLUMNS, "x" * 70_000])]),
 }
 
@@ -138,13 +141,34 @@ def cycle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                     *[f.alias(c) for f, c in zip(feats, CYCLE_COLS)])
 
 
+_CYCLE_HEADER, _CYCLE_ROW = _header([*CYCLE_COLS, "note"]), ",".join(["1"] * 15)
+#: The lines of each kind of cycle file that cannot be used, by its reason.
+ODD_CYCLES = {
+    0: ("empty", [_CYCLE_HEADER]),
+    1: ("ragged", [_CYCLE_HEADER, _CYCLE_ROW + ',"two', 'lines"', _CYCLE_ROW + ",one,99"]),
+    2: ("non_numeric", [_CYCLE_HEADER, "abc" + _CYCLE_ROW[1:] + ",one"]),
+    3: ("unclosed", [_CYCLE_HEADER, _CYCLE_ROW + ',"one', _CYCLE_ROW + ",two"]),
+    4: ("too_few_columns", [_header(CYCLE_COLS[:3]), "1,2,3"]),
+}
+
+
+def write_odd_cycles(spark: SparkSession, sf_dir: str, root: str) -> None:
+    users = signals(spark, sf_dir).select("user_id").distinct().repartition("user_id")
+    for kind, (_, lines) in ODD_CYCLES.items():
+        rows = users.where(F.pmod("user_id", F.lit(len(ODD_CYCLES))) == kind)
+        rows = rows.select(F.concat(F.lit("odd-"), F.col("user_id").cast("string")).alias("battery"), F.lit("all").alias("run"),
+                           F.posexplode(F.array(*map(F.lit, lines))).alias("_n", "line")).sortWithinPartitions("battery", "_n").drop("_n")
+        rows.write.mode("append").partitionBy("battery", "run").option("sep", "\u0001").option("quote", "\u0000").csv(root)
+
+
 def cycle_tree(spark: SparkSession, sf_dir: str) -> str:
     """``<root>/battery=<user>/run=all/part-*.csv``; users whose first event is an error get 14 columns."""
     key = _key(spark, sf_dir, "cycles")
     if key in _CACHE:
         return _CACHE[key]
     root = scratch_path(spark, "cycles")
-    rows = cycle_rows(spark, sf_dir).withColumn("note", F.concat(F.lit("evt-"), F.col("event_id").cast("string")))
+    folded = F.when(F.pmod("battery", F.lit(8)) == 3, "evt\n, ").otherwise("evt-")
+    rows = cycle_rows(spark, sf_dir).withColumn("note", F.concat(folded, F.col("event_id").cast("string")))
     first = rows.groupBy("battery").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("_first"))
     rows = rows.join(first, "battery")
     order = ["ts", "event_id"]
@@ -152,5 +176,6 @@ def cycle_tree(spark: SparkSession, sf_dir: str) -> str:
     wide = rows.where(F.col("_first") != "error")
     write_session_tree(wide.withColumn("run", F.lit("all")), root, "battery", "run", order, [*CYCLE_COLS, "note"])
     write_session_tree(narrow.withColumn("run", F.lit("all")), root, "battery", "run", order, CYCLE_COLS[:14])
+    write_odd_cycles(spark, sf_dir, root)
     _CACHE[key] = root
     return root

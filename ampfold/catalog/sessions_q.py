@@ -59,7 +59,8 @@ ODD_ROWS_SQL = " UNION ALL ".join(
     f"SELECT vehicle, session, {cap} AS cap, {volt}.0 AS volt, {cur} AS cur, {temp}.0 AS temp, 7.0 AS dur, {q} AS q FROM ({ODD_NAMES_SQL}) WHERE kind = {kind}"
     for kind, cap, volt, cur, temp, q in (
         (1, "1.0", 10, "5.0", 20, "1.0"), (1, "2.0", 30, "5.0", 21, "3.0"), (2, "1.0", 10, _N, 20, "1.0"), (2, "2.0", 30, "5.0", 21, "3.0"),
-        (3, "1.0", 10, "5.0", 20, "1.0"), (3, "2.0", 30, "5.0", 21, "3.0"), (5, "1.0", 10, "5.0", 20, "1.0"), (5, "2.0", 30, "5.0", 21, "3.0"),
+        (3, "1.0", 10, "5.0", 20, "1.0"), (3, "2.0", 30, "5.0", 21, "3.0"),
+        (6, "1.0", 10, "5.0", 20, "1.0"), (6, "2.0", 30, "5.0", 21, "3.0"), (5, "1.0", 10, "5.0", 20, "1.0"), (5, "2.0", 30, "5.0", 21, "3.0"),
         (4, _N, 10, "5.0", 20, _N), (4, "2.0", 30, "5.0", 20, _N)))
 _NL = "CAST(NULL AS BIGINT)"
 _EMPTY = f"0, TRUE, 0.0, 0.0, {_N}, 0, {_N}, 0, 0, {_N}, 0, 0.0, {_N}, {_N}, {_N}, {_N}, {_N}"
@@ -195,7 +196,7 @@ def q_run_summary(spark, sf_dir):
 
 @register("rejected_files", sql=FEATURES_SQL + f"""
 SELECT vehicle, session, 'dqdv_all_missing' AS reason, 'warn' AS severity FROM features WHERE dqdv_all_missing
-UNION ALL SELECT vehicle, session, CASE kind WHEN 1 THEN 'ragged' ELSE 'non_numeric' END, 'error' FROM ({ODD_NAMES_SQL}) WHERE kind IN (1, 2)""")
+UNION ALL SELECT vehicle, session, CASE kind WHEN 2 THEN 'non_numeric' ELSE 'ragged' END, 'error' FROM ({ODD_NAMES_SQL}) WHERE kind IN (1, 2, 6)""")
 def q_rejected_files(spark, sf_dir):
     rej = fixtures.open_sessions(spark, sf_dir).rejected()
     return rej.select(F.regexp_extract("path", r"/(vehicle=[^/]+)/", 1).alias("vehicle"),
@@ -235,8 +236,8 @@ SELECT vehicle, session,
        CASE min(event_type) WHEN 'click' THEN '{_HEADER_REV}' WHEN 'view' THEN '{_HEADER_VIEW}' ELSE '{_HEADER}' END AS header
 FROM raw GROUP BY vehicle, session
 UNION ALL SELECT vehicle, session, CASE kind WHEN 4 THEN 5 WHEN 0 THEN 6 WHEN 1 THEN 6 WHEN 2 THEN 6 ELSE 7 END,
-       CASE kind WHEN 0 THEN 0 WHEN 7 THEN 0 WHEN 3 THEN 3 ELSE 2 END,
-       CASE kind WHEN 4 THEN '{_HEADER_ODD}' WHEN 3 THEN '{_HEADER},note' WHEN 5 THEN '{_HEADER},note' WHEN 7 THEN '{_HEADER},' || repeat('x', 70000)
+       CASE kind WHEN 0 THEN 0 WHEN 7 THEN 0 WHEN 3 THEN 3 WHEN 6 THEN 3 ELSE 2 END,
+       CASE kind WHEN 4 THEN '{_HEADER_ODD}' WHEN 3 THEN '{_HEADER},note' WHEN 6 THEN '{_HEADER},note' WHEN 5 THEN '{_HEADER},note' WHEN 7 THEN '{_HEADER},' || repeat('x', 70000)
        ELSE '{_HEADER}' END FROM ({ODD_NAMES_SQL})""")
 def q_file_profile(spark, sf_dir):
     p = fixtures.open_sessions(spark, sf_dir).profile
@@ -332,7 +333,9 @@ def q_vehicle_scan(spark, sf_dir):
 
 @register("vehicle_rejects", sql=f"""
 SELECT DISTINCT 'battery=' || CAST(user_id AS VARCHAR) AS battery_id, 'too_few_columns' AS reason, 'error' AS severity
-FROM {_CYC_SQL} WHERE first_type = 'error'""")
+FROM {_CYC_SQL} WHERE first_type = 'error'
+UNION ALL SELECT DISTINCT 'battery=odd-' || CAST(user_id AS VARCHAR), CASE user_id % 5 {' '.join(f"WHEN {k} THEN '{v[0]}'" for k, v in fixtures.ODD_CYCLES.items())} END, 'error'
+FROM events""")
 def q_vehicle_rejects(spark, sf_dir):
     root = fixtures.cycle_tree(spark, sf_dir)
     _, rej = cycle_csv.usable_cycles(spark, root, id_from="dir", recursive=True)

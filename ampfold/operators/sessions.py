@@ -27,9 +27,9 @@ from ampfold.functions.paths import group_dir_of, path_datetime, report_datetime
 from ampfold.operators import signals as ops
 from ampfold.plans import ordered
 from ampfold.plans.staging import stage as _stage
-from ampfold.plans.staging import all_but, file_hash, stage_readable
+from ampfold.plans.staging import all_but, stage_readable
 from ampfold.session import remove_scratch, scratch_path
-from ampfold.sources import session_csv
+from ampfold.sources import records, session_csv
 from ampfold.sources.archives import damaged_archives
 from ampfold.sources.session_csv import (CAPACITY, CURRENT, DQDV, DURATION, ORDER, SESSION_COLUMNS,
                                          TEMPERATURE, VOLTAGE)
@@ -306,42 +306,69 @@ def _custom_map(m: DataFrame, extractors, has_pandas: bool) -> Column:
 class SessionTree:
     """A folder of session files, read once: all Stage-1 operators share its staged rows.
 
-    ``profile`` (one text scan) finds files without data rows, of any size, ragged files, and files with cells
-    that run over line ends, which a second reader takes whole; ``rows`` is the one parse of all others, landed
-    as Parquet. A file that either scan cannot read to its end is taken by neither and listed by :meth:`rejected`.
-    :meth:`release` removes both when no result that reads them is needed any more.
+    ``profile`` (one text scan) finds files without data rows, of any size, ragged files, files with cells that run over
+    line ends, and each file's charset; ``rows`` is the one parse of all files, landed as Parquet. Files that are not
+    plain lines of UTF-8 are read split by split too (:mod:`ampfold.sources.records`), each in its own charset, which an
+    ``encoding`` for the whole tree overrides. A file that a scan cannot read to its end is taken by none and listed by
+    :meth:`rejected`. :meth:`release` removes what was landed when no result that reads it is needed any more.
     """
 
-    def __init__(self, spark: SparkSession, root: str, glob: str = "*.csv", encoding: str = "UTF-8",
+    def __init__(self, spark: SparkSession, root: str, glob: str = "*.csv", encoding: str | None = None,
                  files: Sequence[str] | None = None):
         self.spark, self.root, self.glob, self.files = spark, root, glob, files
-        self.paths = [scratch_path(spark, "session-profile"), scratch_path(spark, "session-rows")]
+        self.paths = [scratch_path(spark, f"session-{name}") for name in ("profile", "rows", "lines", "odd-profile", "odd-rows")]
         source = root if files is None else list(files)
         listing = session_csv.file_tree(spark, source, glob)
         damaged = damaged_archives(spark, source, glob)
         self.profile, unread = stage_readable(
-            lambda only: session_csv.file_profile(spark, root, glob, encoding, files, only), listing, "profile", self.paths[0], damaged)
+            lambda only: session_csv.file_profile(spark, root, glob, files, only), listing, "profile", self.paths[0], damaged)
         if files is None and self.profile.isEmpty():
             raise ValueError(f"no readable session file below {root}")
-        # A number for each file with cells over line ends; its path is in the condition that keeps it out of the other reader.
-        whole = [r["h"] for r in self.profile.where("multiline").select(file_hash("file").alias("h")).collect()]
+        foreign = F.col("charset") != "UTF-8" if encoding is None else F.lit(False)
+        odd = self.profile.where(F.col("multiline") | foreign).select(
+            "file", "multiline", F.col("charset") if encoding is None else F.lit(encoding).alias("charset"))
+        classes = records.classes_of(odd)
+        left_out = [*damaged, *unread]
 
         def scan(only: Column) -> DataFrame:
-            rows = session_csv.read_sessions(spark, root, glob=glob, encoding=encoding, files=files, only=only & all_but(whole))
-            if whole:
-                rows = rows.unionByName(session_csv.read_sessions(
-                    spark, root, glob=glob, encoding=encoding, files=files, multiline=True, only=only & file_hash().isin(*whole)))
-            return rows
+            rows = session_csv.read_sessions(spark, root, glob=glob, encoding=encoding or "UTF-8", files=files, only=only)
+            return records.without_files(rows, odd, classes, KEY)
 
-        self.rows, more = stage_readable(scan, listing, "rows", self.paths[1], [*damaged, *unread])
+        self.rows, more = stage_readable(scan, listing, "rows", self.paths[1], left_out)
+        if classes:
+            more += self._read_odd(source, listing, odd, classes, [*left_out, *more])
         if more:
             self.profile = self.profile.where(all_but(more, "file"))
+            self.rows = self.rows.where(all_but(more, KEY))
+
+    def _read_odd(self, source, listing: DataFrame, odd: DataFrame, classes: list[int], left_out: list[int]) -> list[int]:
+        """Adds the rows of the files that are not plain lines of UTF-8, and corrects their profile by their records."""
+        def scan(only: Column) -> DataFrame:
+            lines = session_csv.text_lines(self.spark, source, self.glob, only & records.file_class().isin(classes))
+            return lines.join(odd.select("file"), "file", "left_semi")
+
+        lines, more = stage_readable(scan, listing, "lines", self.paths[2], left_out)
+        made = session_csv.odd_records(lines, odd)
+        true = _stage(session_csv.odd_profile(made), "odd-profile", self.paths[3])
+        rows = session_csv.odd_rows(made, true, self.root).repartition(KEY, "_bs").sortWithinPartitions(KEY, *ORDER)
+        self.rows = self.rows.unionByName(_stage(rows, "odd-rows", self.paths[4]))  # a split's rows in file order, as in the scan
+        seen = true.select("file", *[F.col(c).alias(f"_{c}") for c in ("columns", "n_cols", "n_records", "max_cells")])
+        both = self.profile.join(odd.select("file", F.lit(True).alias("_odd")), "file", "left").join(seen, "file", "left")
+
+        def pick(name: str, own: str) -> Column:
+            return F.when(F.col("_odd"), F.col(own)).otherwise(F.col(name)).alias(name)
+
+        lacking = F.col("_n_records").cast("long") <= 0  # a file of a header alone, over several lines
+        self.profile = both.select(
+            "vehicle", "file", pick("columns", "_columns"), pick("n_cols", "_n_cols"),
+            F.when(lacking, F.col("_n_records").cast("long")).otherwise(F.col("n_rows")).alias("n_rows"),
+            pick("max_cells", "_max_cells"), "multiline", "charset")
+        return more
 
     def features(self, extractors: Sequence = ()) -> DataFrame:
         """The features of every file that can be taken (see :meth:`rejected`), files without data rows included."""
         out = session_features(self.rows, extractors, stage=False, headers=session_csv.session_headers(self.profile, self.root))
-        ragged = self.profile.where(~F.col("multiline") & (F.col("max_cells") > F.col("n_cols"))).select(F.col("file").alias(KEY))
-        return out.join(ragged, KEY, "left_anti")
+        return out.join(session_csv.broken(self.profile).select(F.col("file").alias(KEY)), KEY, "left_anti")
 
     def rejected(self, features: DataFrame | None = None) -> DataFrame:
         """``path, reason, severity`` of every file that is left out or taken with nulls (``features``: those of

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ampfold.functions.cleaning import nan_to_null, safe_double
 from ampfold.functions.paths import group_dir, group_dir_of, path_datetime, root_prefix
+from ampfold.sources import records
 
 # The telemetry columns a session file may carry.
 CAPACITY = "available_capacity"
@@ -135,33 +136,56 @@ def file_tree(spark: SparkSession, root: str | Sequence[str], glob: str = "*.csv
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(source)
 
 
-def file_profile(spark: SparkSession, root: str, glob: str = "*.csv", encoding: str = "UTF-8",
-                 files: Sequence[str] | None = None, only: Column | None = None) -> DataFrame:
+def text_lines(spark: SparkSession, root: str | Sequence[str], glob: str = "*.csv", only: Column | None = None,
+               recursive: bool = True) -> DataFrame:
+    """``file, _bs, _mid, value``: the lines of all files (``only``: of those that meet a condition on their path) as
+    bytes, with the offset of their split and an ascending number in it. A read error fails the task, as in :func:`csv_tree`."""
+    raw = (
+        spark.read.format("text")
+        .option("recursiveFileLookup", recursive)
+        .option("pathGlobFilter", glob)
+        .option("ignoreCorruptFiles", False)
+        .load(root if isinstance(root, str) else list(root))
+    )
+    return only_files(raw, only).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_bs"),
+                                        F.monotonically_increasing_id().alias("_mid"), F.col("value"))
+
+
+def header_names(header: Column) -> Column:
+    return F.transform(F.split(header, ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+
+
+#: Fixed value: the two-byte sequences of GBK, as the code points that ISO-8859-1 gives the bytes.
+_GBK_PAIR = "[\\x81-\\xfe][\\x40-\\x7e\\x80-\\xfe]"
+
+
+def _is_gbk(value: str) -> Column:
+    return ~F.regexp_replace(F.decode(F.col(value).cast("binary"), "ISO-8859-1"), _GBK_PAIR, "").rlike("[\\x80-\\xff]")
+
+
+def _charset(utf8: str, gbk: str) -> Column:
+    return F.when(F.col(utf8), "UTF-8").when(F.col(gbk), "GBK").otherwise("ISO-8859-1")
+
+
+def file_profile(spark: SparkSession, root: str, glob: str = "*.csv", files: Sequence[str] | None = None, only: Column | None = None) -> DataFrame:
     """Per file (``only``: those that meet a condition on their path): group, header column names, number of columns, number of data rows (blank lines skipped), the
-    most cells of any line, and whether a quoted cell runs over a line end.
+    most cells of any line, whether a quoted cell runs over a line end, and the first of UTF-8, GBK and ISO-8859-1 in which all lines are valid.
 
     Read with the text source, so large files are split; the header is the first line of the split at offset 0,
-    found with ``min_by`` on the scan-time row id (no window, no per-file task). Empty files yield no row. A read
-    error fails the task, as in :func:`csv_tree`.
+    found with ``min_by`` on the scan-time row id (no window, no per-file task). Empty files yield no row. Only lines
+    with quotes, or with bytes beyond ASCII that are no UTF-8, are looked into. A read error fails the task, as in :func:`csv_tree`.
     """
-    txt = only_files(
-        spark.read.format("text")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .option("encoding", encoding)
-        .option("ignoreCorruptFiles", False)
-        .load(list(files) if files is not None else root),
-        only,
-    ).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_bs"),
-             F.monotonically_increasing_id().alias("_mid"), F.col("value"))
-    unquoted = F.regexp_replace("value", '"[^"]*"', "")
+    txt = text_lines(spark, root if files is None else files, glob, only)
+    unquoted = F.when(F.contains("value", F.lit('"')), F.regexp_replace("value", '"[^"]*"', "")).otherwise(F.col("value"))
+    utf8 = F.expr("is_valid_utf8(value)")
     prof = txt.groupBy("file").agg(
         F.min_by(F.when(F.col("_bs") == 0, F.col("value")), F.when(F.col("_bs") == 0, F.col("_mid"))).alias("header"),
         F.count_if(F.trim(F.col("value")) != F.lit("")).alias("_lines"),
         F.max(F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1).alias("max_cells"),
         F.bool_or(F.contains(unquoted, F.lit('"'))).alias("multiline"),
-    )
-    cols = F.transform(F.split(F.col("header"), ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+        F.bool_and(utf8).alias("_utf8"), F.bool_and(F.when(utf8, True).otherwise(_is_gbk("value"))).alias("_gbk"),
+    ).withColumn("charset", _charset("_utf8", "_gbk"))
+    cols = header_names(F.when(F.col("charset") == "ISO-8859-1", F.decode(F.col("header").cast("binary"), "ISO-8859-1")).otherwise(F.col("header")))
     return prof.select(
         group_dir("file", root).alias("vehicle"),
         "file",
@@ -170,6 +194,38 @@ def file_profile(spark: SparkSession, root: str, glob: str = "*.csv", encoding:
         (F.col("_lines") - F.lit(1)).cast("long").alias("n_rows"),
         F.col("max_cells").cast("int").alias("max_cells"),
         "multiline",
+        "charset",
+    )
+
+
+def odd_records(lines: DataFrame, odd: DataFrame) -> DataFrame:
+    """``file, _bs, _mid, cells, header``: all records of the lines of the ``odd`` files (``file, multiline, charset``), which a
+    source of lines in UTF-8 cannot read, in their own charset; ``header`` marks each file's first one."""
+    whole = records.joined_records(records.of_files(lines, odd.where("multiline"), records.classes_of(odd.where("multiline"))))
+    plain = lines.where(F.trim("value") != "").join(odd.where(~F.col("multiline")).select("file"), "file", "left_semi")
+    made = whole.unionByName(plain.select(*whole.columns)).join(odd.select("file", "charset"), "file")
+    made = made.withColumn("cells", records.cells(records.decoded(F.col("value"), F.col("charset")))).select("file", *ORDER, "cells")
+    first = made.groupBy("file").agg(F.min(F.struct(*ORDER)).alias("_first"))
+    return made.join(first, "file").select("file", *ORDER, "cells", (F.struct(*ORDER) == F.col("_first")).alias("header"))
+
+
+def odd_profile(made: DataFrame) -> DataFrame:
+    """``file, columns, n_cols, n_records, max_cells`` of the files of :func:`odd_records` (those without records have no row)."""
+    names = F.transform(F.max(F.when(F.col("header"), F.col("cells"))), F.trim)
+    per = made.groupBy("file").agg(names.alias("columns"), (F.count(F.lit(1)) - 1).alias("n_records"), F.max(F.size("cells")).alias("max_cells"))
+    return per.select("file", "columns", F.size("columns").alias("n_cols"), "n_records", "max_cells")
+
+
+def odd_rows(made: DataFrame, profile: DataFrame, root: str, columns: Sequence[str] = SESSION_COLUMNS) -> DataFrame:
+    """Rows as of :func:`read_sessions`, of the records of :func:`odd_records`; cells are found by the file's own header."""
+    rows = made.where(~F.col("header")).join(profile.select("file", "columns"), "file")
+    raw = {c: F.get("cells", (F.array_position("columns", c) - 1).cast("int")) for c in columns}  # an absent column: null
+    v = {c: safe_double(raw[c]) for c in columns}
+    return rows.select(
+        F.col("file").alias("session_file"), F.lit(root_prefix(root)).alias("_root"), *ORDER,
+        *[v[c].alias(c) for c in columns],
+        *[F.array_contains("columns", c).alias(f"_has_{c}") for c in columns],
+        *[F.when(v[c].isNull(), F.coalesce(non_numeric(raw[c]), F.lit(False))).otherwise(F.lit(False)).alias(f"_bad_{c}") for c in columns],
     )
 
 
@@ -179,21 +235,24 @@ def session_headers(profile: DataFrame, root: str) -> DataFrame:
     return profile.select(F.col("file").alias("session_file"), F.lit(root_prefix(root)).alias("_root"), "columns", "n_rows")
 
 
+def broken(profile: DataFrame) -> DataFrame:
+    """``file, reason`` of profiled files that cannot be taken: ``unclosed`` (a quoted cell that never ends) and ``ragged``
+    (a row with more cells than the header)."""
+    reason = F.when(F.col("columns").isNull() & F.col("multiline"), "unclosed").when(F.col("max_cells") > F.col("n_cols"), "ragged")
+    return profile.select("file", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def file_problems(spark: SparkSession, root: str | Sequence[str], profile: DataFrame, glob: str = "*.csv") -> DataFrame:
-    """``path, reason, severity`` of files that cannot be taken: ``ragged`` (a row with more cells than the
-    header) and ``unreadable`` (listed, but not in the profile: it could not be read to its end, or has no line).
+    """``path, reason, severity`` of files that cannot be taken: those of :func:`broken`, and ``unreadable`` ones
+    (listed, but not in the profile: it could not be read to its end, or has no line).
     ``root``: a folder, or the files. Spark's sources do not list files without any byte, so those are in no table."""
     listed = file_listing(spark, root, glob).select("file")
-    known = profile.select("file", (~F.col("multiline") & (F.col("max_cells") > F.col("n_cols"))).alias("_ragged"))
-    reason = F.when(F.col("_ragged").isNull(), "unreadable").when(F.col("_ragged"), "ragged")
+    known = profile.select("file", F.lit(True).alias("_known")).join(broken(profile), "file", "left")
+    reason = F.when(F.col("_known").isNull(), "unreadable").otherwise(F.col("reason"))
     out = listed.join(known, "file", "left").select(F.col("file").alias("path"), reason.alias("reason"), F.lit("error").alias("severity"))
     return out.where(F.col("reason").isNotNull())
 
 
-#: Fixed value: the two-byte sequences of GBK, as the code points that ISO-8859-1 gives the bytes.
-_GBK_PAIR = "[\\x81-\\xfe][\\x40-\\x7e\\x80-\\xfe]"
-
-
 def charset_profile(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
     """Per file the first of UTF-8, GBK and ISO-8859-1 in which all its lines are valid.
 
@@ -206,9 +265,7 @@ def charset_profile(spark: SparkSession, root: str, glob: str = "*.csv") -> Data
         .option("pathGlobFilter", glob)
         .load(root)
         .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("length"),
-                F.expr("is_valid_utf8(value)").alias("_ok"),
-                (~F.regexp_replace(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), _GBK_PAIR, "").rlike("[\\x80-\\xff]")).alias("_gbk"))
+                F.expr("is_valid_utf8(value)").alias("_ok"), _is_gbk("value").alias("_gbk"))
     )
     per = txt.groupBy("file").agg(F.max("length").alias("length"), F.bool_and("_ok").alias("utf8"), F.bool_and("_gbk").alias("_gbk"))
-    charset = F.when(F.col("utf8"), "UTF-8").when(F.col("_gbk"), "GBK").otherwise("ISO-8859-1")
-    return per.select("file", "length", "utf8", charset.alias("charset"))
+    return per.select("file", "length", "utf8", _charset("utf8", "_gbk").alias("charset"))
