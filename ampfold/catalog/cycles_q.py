@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ampfold.catalog.registry import register
 from ampfold.catalog.tables import SIGNALS_SQL, rounded, signals, table
 from ampfold.functions.naming import CYCLE_SERIES, STATISTICS
 from ampfold.operators.cycles import early_cycle_stats
+from ampfold.plans.maintained import MaintainedDesign
+from ampfold.session import scratch_path
 
 
 def _fill_sql(c: str) -> str:
@@ -58,3 +62,14 @@ def q_early_cycle_stats_short(spark, sf_dir):
     out = early_cycle_stats(o, "o_custkey", ["o_orderdate", "o_orderkey"], ["o_totalprice"],
                             series_names=["totalprice"], n=40)
     return rounded(out, [c for c in out.columns if c not in ("o_custkey", "final_cycles")])
+
+
+@register("maintained_design", sql=early_stats_sql(SIGNALS_SQL, "user_id", "ts, event_id", {"reading": "reading", "prop_k": "prop_k"}))
+def q_maintained_design(spark, sf_dir):
+    """The same design, kept up to date by three batches that come out of order; the second comes twice."""
+    s = signals(spark, sf_dir)
+    kept = MaintainedDesign(spark, scratch_path(spark, "design"), "user_id", ["ts", "event_id"], ["reading", "prop_k"])
+    for part in (2, 0, 0, 1):
+        kept.append(s.where(F.pmod(F.day("ts"), F.lit(3)) == part), f"days-{part}")
+    out = kept.design()
+    return rounded(out, [c for c in out.columns if c not in ("user_id", "final_cycles")])

@@ -88,6 +88,22 @@ def q_minmax_scale(spark, sf_dir):
     return rounded(out, ["s_acctbal", "s_const", "s_nation"])
 
 
+_SCALED = ("reading", "level", "prop_k")
+
+
+@register("merged_scaler_state", sql=" UNION ALL ".join(f"""
+SELECT user_id, '{c}' AS "column", CAST(count({c}) AS BIGINT) AS n, {_r(f'avg({c})')} AS mean, {_r(f'stddev_pop({c})')} AS std,
+       {_r(f'min({c})')} AS lo, {_r(f'max({c})')} AS hi FROM {SIGNALS_SQL} GROUP BY user_id""" for c in _SCALED))
+def q_merged_scaler_state(spark, sf_dir):
+    """Scaler statistics per user, merged from those of five parts of the rows."""
+    s = signals(spark, sf_dir)
+    kinds = ("click", "error", "purchase", "signup", "view")
+    parts = [scaling.scaler_state(s.where(F.col("event_type") == k), _SCALED, "user_id") for k in kinds]
+    parts.append(scaling.scaler_state(s.where(~F.col("event_type").isin(*kinds) | F.col("event_type").isNull()), _SCALED, "user_id"))
+    merged = scaling.merge_scaler_states(parts, "user_id").withColumn("std", F.sqrt(F.col("m2") / F.nullif(F.col("n"), F.lit(0))))
+    return rounded(merged.drop("m2"), ["mean", "std", "lo", "hi"])
+
+
 @register("normalize_sessions", sql=FEATURES_SQL + f"""
 SELECT vehicle, session,
   {_r(f'({ses.F_V_MEAN} - min({ses.F_V_MEAN}) OVER ()) / CASE WHEN max({ses.F_V_MEAN}) OVER () = min({ses.F_V_MEAN}) OVER () THEN 1.0 ELSE max({ses.F_V_MEAN}) OVER () - min({ses.F_V_MEAN}) OVER () END')} AS v_mean_global,

@@ -274,6 +274,42 @@ def q_custom_extractor(spark, sf_dir):
     return rounded(out, ["voltage_range", "dqdv_median", "shared"])
 
 
+def longest_steady_current() -> ses.MergeableExtractor:
+    """The longest stretch of rows with one charge current. State: rows, the first and the last value, the lengths of the
+    stretches at either end, the longest."""
+    def update(state, pdf):
+        v = pdf[CURRENT]
+        stretch = (v != v.shift()).cumsum()
+        lengths = stretch.value_counts(sort=False).tolist()  # in the order of the rows
+        return merge(state, (len(v), v.iloc[0], v.iloc[-1], lengths[0], lengths[-1], max(lengths)))
+
+    def merge(a, b):
+        if a is None or b is None:
+            return b if a is None else a
+        joint = a[4] + b[3] if a[2] == b[1] else 0
+        head = a[0] + b[3] if joint and a[3] == a[0] else a[3]
+        tail = b[0] + a[4] if joint and b[4] == b[0] else b[4]
+        return (a[0] + b[0], a[1], b[2], head, tail, max(a[5], b[5], joint))
+
+    return ses.MergeableExtractor("steady_rows", lambda: None, update, merge, lambda s: s[5], (CURRENT,))
+
+
+_STEADY = "CASE WHEN cur IS NOT DISTINCT FROM lag(cur) OVER (PARTITION BY vehicle, session ORDER BY ts, event_id) THEN 0 ELSE 1 END"
+
+
+@register("mergeable_extractor", sql=f"""
+WITH raw AS {RAW_SQL},
+steps AS (SELECT vehicle, session, ts, event_id, {_STEADY} AS step FROM raw),
+runs AS (SELECT vehicle, session, sum(step) OVER (PARTITION BY vehicle, session ORDER BY ts, event_id) AS run FROM steps),
+lengths AS (SELECT vehicle, session, run, count(*) AS n FROM runs GROUP BY vehicle, session, run)
+SELECT vehicle, session, CAST(max(n) AS DOUBLE) AS steady_rows FROM lengths GROUP BY vehicle, session
+UNION ALL SELECT vehicle, session, CASE WHEN kind IN (3, 4, 5) THEN 2.0 END FROM ({ODD_NAMES_SQL}) WHERE kind IN (0, 3, 4, 5, 7)""")
+def q_mergeable_extractor(spark, sf_dir):
+    """A custom feature that depends on the rows' order, from states of the file splits."""
+    f = _features(spark, sf_dir, [longest_steady_current()])
+    return f.select("vehicle", "session", F.col("custom")["steady_rows"].alias("steady_rows"))
+
+
 # --- datetime in paths -------------------------------------------------------------------
 
 def _paths_spark(ev):

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from ampfold.functions import signals as S
 from ampfold.functions.paths import group_dir_of, path_datetime, report_datetime, root_prefix
 from ampfold.operators import signals as ops
+from ampfold.operators.mergeable import MergeableExtractor, merged_features
 from ampfold.plans import ordered
 from ampfold.plans.staging import stage as _stage
 from ampfold.plans.staging import all_but, stage_readable
@@ -75,7 +76,7 @@ class PandasExtractor:
     """Slow path: ``fn(pandas.DataFrame of one session, file order) -> scalar | dict``.
 
     Runs through ``groupBy(session).applyInPandas``: a whole session goes to one Python worker,
-    so use it only for bounded sessions. An exception is recorded in ``extractor_errors`` and only
+    so use it only for bounded sessions (a :class:`MergeableExtractor` spreads a session). An exception is recorded in ``extractor_errors`` and only
     that extractor's features are missing.
     """
 
@@ -235,8 +236,7 @@ def session_features(rows: DataFrame, extractors: Sequence = (), chunk: Column |
 
     parts = [a, b, c, d]
     px = _pandas_extractor_frame(rows, extractors)
-    if px is not None:
-        parts.append(px)
+    parts += [p for p in (px, _mergeable_frame(rows, extractors)) if p is not None]
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p, allowMissingColumns=True)
@@ -273,7 +273,8 @@ def session_features(rows: DataFrame, extractors: Sequence = (), chunk: Column |
         F_Q_AREA: F.when(q_ok & has[CAPACITY], F.coalesce(F.col(F_Q_AREA), F.lit(0.0))),
         F_Q_POS: F.when(q_ok & has[CAPACITY], F.coalesce(F.col(F_Q_POS), F.lit(0.0))),
     }
-    custom = _custom_map(m, extractors, px is not None)
+    custom = _custom_map(m, extractors)
+    errors = [F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("extractor_errors", "_mx_errors") if c in m.columns]
     if "vehicle" not in m.columns:
         m = m.withColumn("vehicle", group_dir_of(KEY, "_root")).withColumn("session_ts", path_datetime(KEY))
         if not keep_root_files:
@@ -285,21 +286,31 @@ def session_features(rows: DataFrame, extractors: Sequence = (), chunk: Column |
         *[has[c].alias(f"has_{c}") for c in SESSION_COLUMNS],
         *[(feats[f].cast("long") if f in LONG_FEATURES else feats[f].cast("double")).alias(f) for f in FEATURES],
         custom.alias("custom"),
-        *([F.col("extractor_errors")] if px is not None else []),
+        *([F.concat(*errors).alias("extractor_errors")] if errors else []),
     )
     if headers is not None:
         out = out.unionByName(empty_session_features(headers), allowMissingColumns=True)
     return out
 
 
-def _custom_map(m: DataFrame, extractors, has_pandas: bool) -> Column:
+def _mergeable_frame(rows: DataFrame, extractors) -> DataFrame | None:
+    found = [(i, ex) for i, ex in enumerate(extractors) if isinstance(ex, MergeableExtractor)]
+    if not found:
+        return None
+    out = merged_features(rows, KEY, ORDER, found)
+    return out.select(F.col("key").alias(KEY), F.col("features").alias("_mx"), F.col("errors").alias("_mx_errors"))
+
+
+def _custom_map(m: DataFrame, extractors) -> Column:
     """Custom features as one map. Of extractors that give the same name the last wins, of a custom and a
     built-in feature the built-in."""
     empty = F.create_map().cast(f"map<string, {_ENTRY}>")
     entries = [F.col(c) for c in m.columns if c.startswith("_cx_")]
     columns = F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull())) if entries else empty
-    frames = F.coalesce(F.col("_px"), empty) if has_pandas else empty
-    last = F.map_zip_with(columns, frames, lambda k, a, b: F.when(a.isNull() | (b["i"] > a["i"]), b).otherwise(a))
+    last = columns
+    for frame in ("_px", "_mx"):
+        if frame in m.columns:
+            last = F.map_zip_with(last, F.coalesce(F.col(frame), empty), lambda k, a, b: F.when(a.isNull() | (b["i"] > a["i"]), b).otherwise(a))
     return F.map_filter(F.transform_values(last, lambda k, e: e["v"]), lambda k, v: ~k.isin(*FEATURES))
 
 
