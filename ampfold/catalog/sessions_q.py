@@ -13,6 +13,7 @@ from ampfold.catalog.registry import register
 from ampfold.catalog.tables import SIGNALS_SQL, rounded
 from ampfold.functions.paths import group_dir_of, path_datetime, report_datetime
 from ampfold.operators import sessions as ses
+from ampfold.plans.union_files import union_of_files
 from ampfold.sources import cycle_csv, session_csv
 from ampfold.sources.session_csv import CAPACITY, CURRENT, DQDV, DURATION, TEMPERATURE, VOLTAGE
 
@@ -310,6 +311,25 @@ def q_mergeable_extractor(spark, sf_dir):
     return f.select("vehicle", "session", F.col("custom")["steady_rows"].alias("steady_rows"))
 
 
+_PLAIN = "2 * (SELECT count(*) FROM odd WHERE kind IN (2, 3, 4, 5))"
+_UNION = {CAPACITY: ("string", f"(SELECT count(cap) FROM raw) + {_PLAIN}"), VOLTAGE: ("double", f"(SELECT count(volt) FROM raw) + {_PLAIN}"),
+          CURRENT: ("string", f"(SELECT count(cur) FROM raw) + {_PLAIN}"), TEMPERATURE: ("double", f"(SELECT count(temp) FROM raw) + {_PLAIN}"),
+          DURATION: ("double", f"(SELECT count(dur) FROM raw) + {_PLAIN}"),
+          DQDV: ("double", "(SELECT count(q) FROM raw) + 2 * (SELECT count(*) FROM odd WHERE kind IN (2, 3, 5))"),
+          "note": ("string", "2 * (SELECT count(*) FROM odd WHERE kind IN (3, 5))"), "x" * 40: ("double", "0")}
+
+
+@register("schema_union_files", sql=f"""
+WITH raw AS {RAW_SQL}, odd AS ({ODD_NAMES_SQL})
+""" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{t}' AS type, CAST({n} AS BIGINT) AS n_values""" for c, (t, n) in _UNION.items()))
+def q_schema_union_files(spark, sf_dir):
+    """Every column of all session files as one table: its type and how many values it has."""
+    table = union_of_files(spark, fixtures.session_tree(spark, sf_dir))
+    found = [F.struct(F.lit(c[:40]).alias("column"), F.lit(t).alias("type"), F.col(f"_n{i}").alias("n_values")) for i, (c, t) in enumerate(table.dtypes[3:])]
+    counts = table.agg(*[F.count(F.col(f"`{c}`")).alias(f"_n{i}") for i, c in enumerate(table.columns[3:])])
+    return counts.select(F.inline(F.array(*found)))
+
+
 # --- datetime in paths -------------------------------------------------------------------
 
 def _paths_spark(ev):

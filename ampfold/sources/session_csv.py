@@ -211,7 +211,7 @@ def odd_records(lines: DataFrame, odd: DataFrame) -> DataFrame:
 
 def odd_profile(made: DataFrame) -> DataFrame:
     """``file, columns, n_cols, n_records, max_cells`` of the files of :func:`odd_records` (those without records have no row)."""
-    names = F.transform(F.max(F.when(F.col("header"), F.col("cells"))), F.trim)
+    names = F.transform(F.max(F.when(F.col("header"), F.col("cells"))), lambda c: F.trim(c))
     per = made.groupBy("file").agg(names.alias("columns"), (F.count(F.lit(1)) - 1).alias("n_records"), F.max(F.size("cells")).alias("max_cells"))
     return per.select("file", "columns", F.size("columns").alias("n_cols"), "n_records", "max_cells")
 
