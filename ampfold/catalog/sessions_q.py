@@ -414,6 +414,20 @@ def q_session_features_stream(spark, sf_dir):
     return rounded(f.select(*FEATURE_COLS), dbl)
 
 
+@register("feature_store", sql=FEATURES_SQL + f"\nSELECT {', '.join(FEATURE_COLS)} FROM features")
+def q_feature_store(spark, sf_dir):
+    """The same features from a store that first knew a part of the files and then all of them."""
+    from ampfold.plans.feature_store import FeatureStore
+    from ampfold.session import scratch_path
+
+    root, path = fixtures.session_tree(spark, sf_dir), scratch_path(spark, "feature-store")
+    FeatureStore(spark, root, path, glob="part-0000[0-3]*.csv").refresh()
+    store = FeatureStore(spark, root, path)
+    store.refresh()
+    f = ses.valid_sessions(store.features()).withColumn("session", SESSION_OF()).withColumn("session_time", report_datetime("session_ts"))
+    return rounded(f.select(*FEATURE_COLS), [c for c in ses.FEATURES if c not in ses.LONG_FEATURES])
+
+
 @register("feature_csv_roundtrip", sql=FEATURES_SQL + f"""
 SELECT vehicle, CAST(row_number() OVER (PARTITION BY vehicle ORDER BY st, session) - 1 AS BIGINT) AS position,
        {ses.F_V_MEAN}, {ses.F_C_UNIQUE}, {ses.F_Q_AREA}
