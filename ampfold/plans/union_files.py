@@ -24,7 +24,8 @@ def union_of_files(spark: SparkSession, root: str, glob: str = "*.csv") -> DataF
     never ends and unreadable ones are left out. However many headers there are, the files are read by one scan (after that of the
     profile), with one expression for each column; the driver holds the column names alone.
     """
-    listing, damaged = session_csv.file_tree(spark, root, glob), damaged_archives(spark, root, glob)
+    listing = session_csv.file_tree(spark, root, glob)
+    damaged = damaged_archives(spark, root, glob, listing=listing)
     profile, unread = stage_readable(lambda only: session_csv.file_profile(spark, root, glob, only=only), listing, "union-profile", left_out=damaged)
     if profile.isEmpty():
         raise ValueError(f"no readable file below {root}")
