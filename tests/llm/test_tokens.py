@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -123,3 +125,26 @@ def test_count_query(spark):
     for r in QUERIES["op4_token_counts"](spark, SF_SMALL).collect():
         n = len(lib.encode(docs[r["doc_id"]], add_special_tokens=False).ids)
         assert (r["n_tokens"], r["over_limit"], r["n_bytes"]) == (n, n > 512, len(docs[r["doc_id"]].encode()))
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    """A thousand texts of 100 KB do not come in one batch, and a lower bound that is set already stays."""
+    from ampfold.llm import common
+
+    name, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    @F.arrow_udf("long")
+    def size(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([batch.nbytes] * len(batch), pa.int64())
+
+    try:
+        spark.conf.set(name, "64m")
+        common.text_batches(spark)
+        rows = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+        assert rows.select(size("text").alias("n")).agg(F.max("n")).first()[0] < 2 * common.TEXT_BYTES
+        spark.conf.set(name, "1m")
+        common.text_batches(spark)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
