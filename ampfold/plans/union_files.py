@@ -26,10 +26,10 @@ def union_of_files(spark: SparkSession, root: str, glob: str = "*.csv") -> DataF
     """
     listing = session_csv.file_tree(spark, root, glob)
     damaged = damaged_archives(spark, root, glob, listing=listing)
-    profile, unread = stage_readable(lambda only: session_csv.file_profile(spark, root, glob, only=only), listing, "union-profile", left_out=damaged)
+    profile, unread = stage_readable(lambda only: session_csv.file_profile(spark, root, glob, only=only, listing=listing), listing, "union-profile", left_out=damaged)
     if profile.isEmpty():
         raise ValueError(f"no readable file below {root}")
-    lines, more = stage_readable(lambda only: session_csv.text_lines(spark, root, glob, only), listing, "union-lines", left_out=[*damaged, *unread])
+    lines, more = stage_readable(lambda only: session_csv.text_lines(spark, root, glob, only, listing=listing), listing, "union-lines", left_out=[*damaged, *unread])
     made = session_csv.odd_records(lines, profile.where(all_but(more, "file")).select("file", "multiline", "charset"))
     files = stage(session_csv.odd_profile(made).where(F.col("max_cells") <= F.col("n_cols")), "union-files")
 
