@@ -129,3 +129,24 @@ def test_the_bounds_of_the_sample(spark):
     finally:
         toxicity.learn = keep
     assert seen[0][0] == 60 and seen[1][1] <= 1000 and seen[1][0] >= 20
+
+
+def test_every_labelled_document_is_learned_from(spark, monkeypatch):
+    """More documents than the draw of old took, in several parts, whose network tells the words of both labels."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{n}" for n in rng.integers(0, 300, 12)) + (" vile" if i % 3 == 0 else " kind"), "en" if i % 2 else None) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = df.selectExpr("doc_id", "int(doc_id % 3 = 0) AS toxic")
+    taught = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    held = [i for i in taught if zlib.crc32(str(i).encode()) // 3 % 8 == 0]
+    monkeypatch.setattr(toxicity, "PART_CHARS", 150_000)
+    seen, whole, calibrate = [], toxicity.learn_in_parts, toxicity.calibrate
+    monkeypatch.setattr(toxicity, "learn_in_parts", lambda r, parts: seen.append((r.count(), r.select("_part").distinct().count())) or whole(r, parts))
+    monkeypatch.setattr(toxicity, "calibrate", lambda net, r, default: seen.append(r.count()) or calibrate(net, r, default))
+    model = toxicity.fit(df, labels, lang_col="lang")
+    assert len(taught) > 6_000 and seen[0][0] == len(taught) - len(held) and seen[0][1] >= 2 and seen[1] == len(held)
+    scores = {r["doc_id"]: r["score"] for r in model.transform(df).select("doc_id", "score").collect()}
+    assert np.mean([(scores[i] >= 0.5) == (i % 3 == 0) for i, *_ in rows if i not in taught]) > 0.99
+    s, y = np.array([scores[i] for i in held]), np.array([int(i % 3 == 0) for i in held])
+    want = toxicity.language_thresholds(s, y, [rows[i][2] for i in held], 0.7)
+    assert model.thresholds.keys() == want.keys() and all(abs(model.thresholds[k] - want[k]) < 1e-4 for k in want)
