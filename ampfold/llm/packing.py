@@ -152,8 +152,12 @@ def _queues(docs: DataFrame, most: int, named: Sequence = ()) -> tuple[DataFrame
         own = own | F.col("_source").eqNullSafe(F.lit(name))
     large = sizes.where(own).orderBy("_source").collect()
     sources = [r["_source"] for r in large]
-    names = docs.sparkSession.createDataFrame([(s, i) for i, s in enumerate(sources)], docs.select("_source").schema.add("_queue", "integer"))
-    of = names.select(F.col("_source").alias("_name"), "_queue")
+    if not sources:
+        return docs.withColumn("_queue", F.lit(0)), sources
+    # Literals, since rows of Python objects start a second daemon of Python workers on every executor.
+    kind = docs.schema["_source"].dataType
+    names = [F.struct(F.lit(s).cast(kind).alias("_name"), F.lit(i).alias("_queue")) for i, s in enumerate(sources)]
+    of = docs.sparkSession.range(1).select(F.inline(F.array(*names)))
     joined = docs.join(F.broadcast(of), F.col("_source").eqNullSafe(F.col("_name")), "left")
     return joined.withColumn("_queue", F.coalesce("_queue", F.lit(len(sources)))).drop("_name"), sources
 

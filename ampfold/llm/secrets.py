@@ -236,7 +236,10 @@ def findings(docs: DataFrame, known: CorpusStatistics, id_col: str = "doc_id", t
                     ("features", pa.list_(pa.float64()))])))
 
     found = docs.select(F.col(id_col).alias("_id"), find(whole_text(text_col), path).alias("_found"))
-    return found.select("_id", F.explode("_found").alias("_f")).select(F.col("_id").alias(id_col), "_f.*")
+    # Of a plain explode Spark infers a filter on the array's size, for which every text would be searched a second time,
+    # by a second Python worker beside the first.
+    found = found.select("_id", F.explode_outer("_found").alias("_f")).where(F.col("_f").isNotNull())
+    return found.select(F.col("_id").alias(id_col), "_f.*")
 
 
 @dataclass

@@ -146,3 +146,15 @@ def test_a_long_tail_of_sources_keeps_its_proportions(spark):
             rare[r["sequence_id"]] = rare.get(r["sequence_id"], 0) + r["length"]
     assert abs(rare[0] - 255) <= 1  # half, but for the two tokens of the sources without a weight
     assert sorted(rare) == list(range(len(rare))) and len(rare) <= 4
+
+
+def test_the_table_of_queues_needs_no_python_rows(spark):
+    """Rows of Python objects would start a second daemon of Python workers; a null source has its queue too."""
+    df = spark.createDataFrame([("a", "x" * 50)] * 3 + [(None, "y" * 50)] * 3 + [("b", "")], "_source string, _text string")
+    df = df.select(F.col("_source"), F.col("_text")).localCheckpoint()
+    queues, sources = packing._queues(df, 4)
+    assert sources == [None, "a"] and {(r["_source"], r["_queue"]) for r in queues.collect()} == {(None, 0), ("a", 1), ("b", 2)}
+    names, _ = packing._queues(df.where("_source = 'none such'"), 4)
+    assert names.count() == 0 and names.schema["_queue"].dataType.typeName() == "integer"
+    plan = packing._queues(spark.range(3).selectExpr("string(id) AS _source", "'t' AS _text"), 4)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan

@@ -140,3 +140,11 @@ def test_long_logs_take_time_in_proportion():
     assert took[1] < 100 * max(took[0], 0.005)
     model = secrets.SecretModel(secrets.CorpusStatistics(np.zeros((256, 256), dtype=np.float32), frozenset()), secrets.Forest(), threshold=0.0)
     assert model._redacted(line * 200, "", "[S]") == "key=[S] id [S]\n" * 200
+
+
+def test_every_text_is_searched_once(spark):
+    """One Python evaluation: none for a filter on the array's size beside that of the findings."""
+    df = spark.createDataFrame([(1, "nothing", "a.txt"), (2, None, None)], "doc_id long, text string, source string")
+    found = secrets.findings(df, secrets.corpus_statistics(df))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and found.count() == 0
