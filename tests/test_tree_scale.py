@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from conftest import write_csv
+
+from ampfold.catalog import QUERIES
+from ampfold.operators.sessions import SessionTree
 from ampfold.session import few_listing_tasks
-from ampfold.sinks.writers import write_session_tree
-from ampfold.sources import session_csv
+from ampfold.sinks.writers import write_feature_csv, write_partitioned, write_session_tree
+from ampfold.sources import cycle_csv, session_csv
 
 ROWS = [
     ("a", "s1", 2, 1.5, 'say "x", y'), ("a", "s1", 1, None, "two\nlines"), ("a", "s 2:%", 1, -0.0, " pad "), (None, "s1", 1, 1e20, ""),
@@ -51,3 +55,20 @@ def test_folders_are_listed_in_few_tasks(spark, tmp_path):
     stages = [s for j in set(sc.statusTracker().getJobIdsForGroup(None)) - seen for s in sc.statusTracker().getJobInfo(j).stageIds]
     tasks = [sc.statusTracker().getStageInfo(s).numTasks for s in stages]
     assert tasks and max(tasks) <= 4 * sc.defaultParallelism
+
+
+def test_feature_tree_has_the_bytes_of_sparks_writer(spark, tmp_path):
+    rows = [(g, t, f"f{t}", x, n) for g, t, x, n in (("v=1", 2, 1.5, None), ("v=1", 1, None, 3), (None, 1, -0.0, 2), ("w", 3, None, None), ("w", 1, 1e-7, 1))]
+    df = spark.createDataFrame(rows, "vehicle string, session_ts int, session_file string, x double, n long")
+    write_feature_csv(df, str(tmp_path / "own"), ["x", "n"])
+    write_feature_csv(df, str(tmp_path / "own"), ["x", "n"])  # a second write takes the place of the first
+    write_partitioned(df, str(tmp_path / "spark"), "vehicle", "csv", ["session_ts", "session_file"], drop=["session_ts", "session_file"])
+    parts = lambda root: {str(p.parent.relative_to(root)): [] for p in root.rglob("*.csv")}
+    own, want = (parts(tmp_path / n) for n in ("own", "spark"))
+    for root, found in ((tmp_path / "own", own), (tmp_path / "spark", want)):
+        for p in sorted(root.rglob("*.csv")):
+            found[str(p.parent.relative_to(root))] += p.read_bytes().splitlines()[1:]
+            assert p.read_bytes().splitlines()[0] == b"x,n"
+    assert own == want and len(own) == 3 and own["vehicle=v%3D1"] == [b",3", b"1.5,"]
+    # Hadoop's local file system, which starts a process for each file, leaves checksum files
+    assert not [p for p in (tmp_path / "own").rglob(".*") if p.is_file()]
