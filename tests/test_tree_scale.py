@@ -72,3 +72,13 @@ def test_feature_tree_has_the_bytes_of_sparks_writer(spark, tmp_path):
     assert own == want and len(own) == 3 and own["vehicle=v%3D1"] == [b",3", b"1.5,"]
     # Hadoop's local file system, which starts a process for each file, leaves checksum files
     assert not [p for p in (tmp_path / "own").rglob(".*") if p.is_file()]
+
+
+def test_a_tree_reads_its_small_files_once_and_only_when_asked(spark, tmp_path, monkeypatch):
+    write_csv(tmp_path / "v" / "a_20240101_000000.csv", "available_capacity,max_cell_voltage\n1,2\n2,4\n")
+    write_csv(tmp_path / "v" / "b_20240101_000001.csv", 'available_capacity,note\n1,"two\nlines"\n')
+    read = []
+    monkeypatch.setattr(session_csv, "small_files", lambda *a, own=session_csv.small_files: read.append(a) or own(*a))
+    tree = SessionTree(spark, str(tmp_path), lazy=True)
+    assert tree.sessions().count() == 2 and not read
+    assert tree.rows.count() == 3 and tree.features().count() == 2 and len(read) == 1
