@@ -82,3 +82,15 @@ def test_a_tree_reads_its_small_files_once_and_only_when_asked(spark, tmp_path,
     tree = SessionTree(spark, str(tmp_path), lazy=True)
     assert tree.sessions().count() == 2 and not read
     assert tree.rows.count() == 3 and tree.features().count() == 2 and len(read) == 1
+
+
+def test_session_timeline_opens_no_file(spark, tmp_path, monkeypatch):
+    spark.sql("""SELECT id AS event_id, timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts, id % 2 AS user_id, 'view' AS event_type,
+        1.0D * id AS value, '{"k": 1}' AS props FROM range(6)""").write.parquet(str(tmp_path / "events.parquet"))
+
+    def fails(*_, **__):
+        raise AssertionError("a file is read")
+
+    monkeypatch.setattr(session_csv, "file_profile", fails)
+    found = QUERIES["session_timeline"](spark, str(tmp_path)).collect()
+    assert sorted((r["vehicle"], r["position"]) for r in found) == [("vehicle=0", 0), ("vehicle=0", 1), ("vehicle=1", 0), ("vehicle=1", 1)]
