@@ -20,7 +20,7 @@ from ampfold.sinks.versions import current_version, publish
 from ampfold.sources import session_csv
 
 #: Changed files that are parsed at once: as many paths the driver holds.
-BATCH = 10_000
+BATCH = 100_000
 
 
 @dataclass(frozen=True)

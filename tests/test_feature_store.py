@@ -65,3 +65,11 @@ def test_runs_parse_what_has_changed(spark, tmp_root, monkeypatch):
             store.refresh()
     assert state(store.features(), store.rejected()) == before and store.manifest().count() == 4
     assert store.refresh() == feature_store.Refresh(1, 0) and same()
+
+
+def test_tens_of_thousands_of_changed_files_are_one_batch(spark, tmp_root, monkeypatch):
+    read = []
+    monkeypatch.setattr(feature_store, "SessionTree", lambda spark, root, glob, files: read.append(len(files)))
+    store = feature_store.FeatureStore(spark, tmp_root, f"{tmp_root}/store")
+    list(store._trees(spark.range(40_500).selectExpr("concat('f', id) AS file"), False))
+    assert read == [40_500]
