@@ -94,3 +94,29 @@ def test_session_timeline_opens_no_file(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session_csv, "file_profile", fails)
     found = QUERIES["session_timeline"](spark, str(tmp_path)).collect()
     assert sorted((r["vehicle"], r["position"]) for r in found) == [("vehicle=0", 0), ("vehicle=0", 1), ("vehicle=1", 0), ("vehicle=1", 1)]
+
+
+def _cycle_files(root: Path) -> str:
+    for name, text in {"good": "a,b,note\n1,2,x\n3,4,y\n", "text": "a,b\n1,z\n", "lines": 'a,b,note\n1,2,"two\nlines"\n', "nan": "a,b\nnan,-inf\n 5 ,\n"}.items():
+        write_csv(root / f"{name}.csv", text)
+    return str(root)
+
+
+def test_small_cycle_files_are_taken_whole(spark, tmp_path, monkeypatch):
+    sources = []
+    monkeypatch.setattr(cycle_csv, "text_lines", lambda *a: sources.append(a[5]) or session_csv.text_lines(*a))
+    good, rejected = cycle_csv.usable_cycles(spark, _cycle_files(tmp_path), n_features=2)
+    assert len(sources) == 2 and None not in sources  # of all files, and of those with cells over line ends
+    found = sorted((r["battery_id"], r["c0"], r["c1"]) for r in good.fillna(-1.0).collect())
+    assert found == [("good.csv", 1.0, 2.0), ("good.csv", 3.0, 4.0), ("lines.csv", 1.0, 2.0), ("nan.csv", -1.0, float("-inf")), ("nan.csv", 5.0, -1.0)]
+    assert [(r["path"].rsplit("/", 1)[-1], r["reason"]) for r in rejected.collect()] == [("text.csv", "non_numeric")]
+
+
+def test_checks_of_cycle_files_read_no_cell_and_are_made_once(spark, tmp_path):
+    root = _cycle_files(tmp_path)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "c0" not in plan(cycle_csv.file_checks(cycle_csv.scan_cycles(spark, root, 2), 2))
+    _, checks, rejected = cycle_csv.usable_design_rows(spark, root, n_features=2)
+    assert "Aggregate" not in plan(checks) and "Aggregate" not in plan(rejected)
+    assert {r["_file"].rsplit("/", 1)[-1]: (r["n_cols"], r["final_cycles"], r["reason"]) for r in checks.collect()} == {
+        "good.csv": (3, 2, None), "text.csv": (2, 1, "non_numeric"), "lines.csv": (3, 1, None), "nan.csv": (2, 2, None)}
