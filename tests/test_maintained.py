@@ -171,3 +171,11 @@ def test_mergeable_extractors(spark, tmp_root, monkeypatch):
         assert r["custom"]["rows"] == r["n_rows"] and r["custom"]["shared"] == -1.0 and not {"bad", "late"} & set(r["custom"])
         assert sorted(e.split(":")[0] for e in r["extractor_errors"]) == ["bad", "late"]
     assert found["hot"]["custom"]["rows"] == len(current)
+
+
+def test_states_are_merged_without_a_call_for_each_session(spark, tmp_root):
+    """Sessions cost no group of pandas frames each: states arrive sorted, in batches."""
+    write_csv(Path(tmp_root) / "v" / "a_20240101_000000.csv", "charge_current\n1\n1\n2\n")
+    rows = session_csv.read_sessions(spark, tmp_root)
+    plan = mergeable.merged_features(rows, ses.KEY, session_csv.ORDER, [(0, longest_steady_current())])._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
