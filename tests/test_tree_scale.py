@@ -10,7 +10,7 @@ from ampfold.catalog import QUERIES
 from ampfold.operators.sessions import SessionTree
 from ampfold.session import few_listing_tasks
 from ampfold.sinks.writers import write_feature_csv, write_partitioned, write_session_tree
-from ampfold.sources import cycle_csv, session_csv
+from ampfold.sources import cycle_csv, listing, session_csv
 
 ROWS = [
     ("a", "s1", 2, 1.5, 'say "x", y'), ("a", "s1", 1, None, "two\nlines"), ("a", "s 2:%", 1, -0.0, " pad "), (None, "s1", 1, 1e20, ""),
@@ -120,3 +120,15 @@ def test_checks_of_cycle_files_read_no_cell_and_are_made_once(spark, tmp_path):
     assert "Aggregate" not in plan(checks) and "Aggregate" not in plan(rejected)
     assert {r["_file"].rsplit("/", 1)[-1]: (r["n_cols"], r["final_cycles"], r["reason"]) for r in checks.collect()} == {
         "good.csv": (3, 2, None), "text.csv": (2, 1, "non_numeric"), "lines.csv": (3, 1, None), "nan.csv": (2, 2, None)}
+
+
+def test_feature_tree_is_read_back_by_tasks(spark, tmp_path, monkeypatch):
+    rows = [(g, t, f"f{t}", x, n) for g, t, x, n in (("v=1+%", 2, 1.5, None), ("v=1+%", 1, None, 3), (None, 1, -0.5, 2), ("w é", 3, None, None), ("w é", 1, 1e-7, 1))]
+    df = spark.createDataFrame(rows, "vehicle string, session_ts int, session_file string, x double, n long")
+    write_feature_csv(df, str(tmp_path), ["x", "n"])
+    want = sorted(map(str, ([g, None if x is None else str(x).replace("1e-07", "1.0E-7"), None if n is None else str(n)] for g, _, _, x, n in rows)))
+    for most in (10_000, 1):
+        monkeypatch.setattr(listing, "MOST_INDEXED", most)
+        back = session_csv.read_feature_csv(spark, str(tmp_path), ["x", "n"]).orderBy("vehicle", "_f", "_bs", "_mid").collect()
+        assert sorted(str([r["vehicle"], r["x"], r["n"]]) for r in back) == want
+        assert [r["n"] for r in back if r["vehicle"] == "v=1+%"] == ["3", None]
